@@ -1,6 +1,6 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import bpe, rules
+from pagefold.llm import bpe, rules, tokenfiles
 
-QUERIES = {"op2_byte_bpe": bpe.query, "op7_quality_rules": rules.query}
+QUERIES = {"op2_byte_bpe": bpe.query, "op7_quality_rules": rules.query, "op9_token_files": tokenfiles.query}
 ORACLE_SQL = {"op7_quality_rules": rules.SQL}
