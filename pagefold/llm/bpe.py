@@ -22,15 +22,25 @@ LOW = np.int64((1 << 32) - 1)
 WIDE, CELLS = 256, 1 << 20
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@functools.lru_cache(2)
+def tokens_of(path: str) -> list[bytes]:
+    ids = ranks_of(path)
+    out = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = token
+    return out
+
+
 class Ranks:
-    """A rank file: token bytes by id, and the ranks of pairs of tokens."""
+    """The tokens of a rank file, and the ranks of pairs of them."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = [b""] * (max(self.ids.values()) + 1)
-        for token, i in self.ids.items():
-            self.tokens[i] = token
+        self.ids = ranks_of(path)
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, i in self.ids.items():
@@ -186,11 +196,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
+def decoded(ids: DataFrame, path: str) -> DataFrame:
     """The rows of encoded() with bytes: what the ids stand for."""
 
     def run(batches):
-        tokens = coder(path, pattern)[0].tokens
+        tokens = tokens_of(path)
         for b in batches:
             out = [b"".join(map(tokens.__getitem__, np.frombuffer(i, "<u4").tolist())) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
@@ -203,5 +213,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decoded(encoded(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    out = decoded(encoded(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

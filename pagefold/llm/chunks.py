@@ -15,13 +15,35 @@ AWKWARD = re.compile(r" (?:\s|\Z)")
 LONG = 64
 
 
+class Memory:
+    """Ids of the chunks used lately, at most twice room of them: older ones go when room are full."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def hold(self, wanted: set[str], encode: Callable[[list[str]], list[bytes]], lead: str) -> Callable[[str], bytes]:
+        """Holds the ids of all wanted chunks until it is called again, and returns what looks them up."""
+        if len(self.now) > self.room:
+            self.old, self.now = self.now, {}
+        now, old = self.now, self.old
+        wanted.difference_update(now)
+        now.update((c, old[c]) for c in wanted if c in old)
+        if not (new := [c for c in wanted if c not in old]):
+            return now.__getitem__
+        ids = dict(zip(new, encode([lead + c for c in new]), strict=True))
+        now.update((c, i) for c, i in ids.items() if len(c) <= LONG)
+        long = {c: i for c, i in ids.items() if len(c) > LONG}
+        return (lambda c: now[c] if len(c) <= LONG else long[c]) if long else now.__getitem__
+
+
 class Chunks:
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, room: int = 600_000):
-        """encode: the ids of each of some chunks, as bytes. room: chunks that are remembered."""
-        self.encode, self.room = encode, room
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, room: int = 150_000):
+        """encode: the ids of each of some chunks, as bytes."""
+        self.encode = encode
         self.matches = regex.compile(pattern).findall
-        self.bare: dict[str, bytes] = {}  # as they are
-        self.spaced: dict[str, bytes] = {}  # after a space
+        self.bare, self.spaced = Memory(room), Memory(room)  # chunks as they are, and after a space
 
     def _cut(self, text: str) -> tuple[list[str], list[str]]:
         if AWKWARD.search(text):
@@ -29,32 +51,13 @@ class Chunks:
         head, _, rest = text.partition(" ")
         return [head] if head else [], rest.split(" ") if rest else []
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """Returns those too long to be remembered."""
-        wanted.difference_update(known)
-        if not wanted:
-            return {}
-        chunks = list(wanted)
-        ids = self.encode([lead + c for c in chunks])
-        if len(known) + len(chunks) > self.room:
-            known.clear()
-        known.update((c, i) for c, i in zip(chunks, ids, strict=True) if len(c) <= LONG)
-        return {c: i for c, i in zip(chunks, ids, strict=True) if len(c) > LONG}
-
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         bare, spaced = set(), set()
         for a, b in cut:
             bare.update(a)
             spaced.update(b)
-        # the chunks needed here are looked up in what these calls leave, so a cleared memory must hold them all again
-        if len(self.bare) + len(bare) > self.room:
-            self.bare.clear()
-        if len(self.spaced) + len(spaced) > self.room:
-            self.spaced.clear()
-        long_bare, long_spaced = self._learn(self.bare, bare, ""), self._learn(self.spaced, spaced, " ")
-        one = self.bare.__getitem__ if not long_bare else lambda c: self.bare[c] if len(c) <= LONG else long_bare[c]
-        two = self.spaced.__getitem__ if not long_spaced else lambda c: self.spaced[c] if len(c) <= LONG else long_spaced[c]
+        one, two = self.bare.hold(bare, self.encode, ""), self.spaced.hold(spaced, self.encode, " ")
         return [b"".join(map(one, a)) + b"".join(map(two, b)) for a, b in cut]
 
 
