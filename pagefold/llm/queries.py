@@ -1,6 +1,13 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import bpe, rules, tokenfiles
+from pagefold.llm import bpe, linededup, packing, rules, suffixdedup, tokenfiles
 
-QUERIES = {"op2_byte_bpe": bpe.query, "op7_quality_rules": rules.query, "op9_token_files": tokenfiles.query}
+QUERIES = {
+    "op1_best_fit_packing": packing.query,
+    "op2_byte_bpe": bpe.query,
+    "op4_line_dedup": linededup.query,
+    "op7_quality_rules": rules.query,
+    "op9_token_files": tokenfiles.query,
+    "op10_suffix_array_dedup": suffixdedup.query,
+}
 ORACLE_SQL = {"op7_quality_rules": rules.SQL}
