@@ -11,6 +11,7 @@ document, column by column; first word of each block (u64), and the number of wo
 
 import functools
 import os
+import struct
 import uuid
 import zlib
 
@@ -29,6 +30,19 @@ SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 COUNTS = np.array([1] + [c for c, _ in SELECTORS] + [0])
 
 
+def _visible() -> dict[int, str]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others in
+    turn for those from 256."""
+    out = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + sum(ord(c) > 255 for c in out.values()))
+    return out
+
+
+VISIBLE = _visible()
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """The words of one block of unsigned 64-bit integers. The last word may be filled up with zeros."""
     v = values.astype(np.uint64)
@@ -126,11 +140,19 @@ def coder(path: str, pattern: str) -> tuple[str, Chunks]:
     t.encode_special_tokens = True  # their strings in a text are ordinary text
     kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        found = t.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, kind).tobytes() for x in found]
+    tokenize, code = t.model.tokenize, "H" if kind == "<u2" else "I"
 
-    return kind, Chunks(encode, pattern)
+    def encode(chunks: list[str]) -> list[bytes]:
+        # what the library's own encode() does, less its account of where in the text each token came from
+        cut = [known.matches(c) for c in chunks]
+        ids = {}
+        for p in {p for c in cut for p in c}:
+            found = [x.id for x in tokenize(p.encode().decode("latin-1").translate(VISIBLE))]
+            ids[p] = struct.pack(f"<{len(found)}{code}", *found)
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+
+    known = Chunks(encode, pattern)
+    return kind, known
 
 
 def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, file_ids: int = 1 << 24) -> DataFrame:
