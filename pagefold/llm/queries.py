@@ -1,12 +1,13 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import bpe, linededup, packing, rules, suffixdedup, tokenfiles
+from pagefold.llm import bpe, linededup, nearcopies, packing, rules, suffixdedup, tokenfiles
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_byte_bpe": bpe.query,
     "op4_line_dedup": linededup.query,
     "op7_quality_rules": rules.query,
+    "op8_order_minhash": nearcopies.query,
     "op9_token_files": tokenfiles.query,
     "op10_suffix_array_dedup": suffixdedup.query,
 }
