@@ -26,7 +26,7 @@ GRAM = 32
 #: Bytes that are hashed together, and bytes of a shard.
 STEP, SHARD = 1 << 20, 2 << 20
 #: Occurrences of an anchor from which its segments are cut into runs of so many windows.
-GRAINS = ((2_000, 8), (2_000_000, 1))
+GRAINS = ((8_000, 8), (8_000_000, 1))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,23 +207,24 @@ def repeated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col
             seen.clear()
 
         for b in batches:
-            for key, raw, own in zip(b.column("key").to_pylist(), b.column("raw"), b.column("s"), strict=True):
-                raw, places = z.decompress(raw.as_py()), []
-                for s in own.as_py():
-                    first, count, lead, g = s["at"] >> 16, s["at"] >> 8 & 255, s["at"] & 255, s["grain"]
-                    if g > count:
-                        places.append((s["anchor"], s["hash"], count, first))
-                        continue
-                    for run, t, n in _runs(first, count, lead, g):
-                        common = first + lead - run * g  # up to where the first window of a whole run would end
+            own, ends = b.column("s").values, b.column("s").offsets.to_pylist()
+            at, anchor, digest, grain = (own.field(c).to_numpy() for c in ("at", "anchor", "hash", "grain"))
+            first, count, lead = at >> 16, at >> 8 & 255, at & 255
+            for key, raw, x, y in zip(b.column("key").to_pylist(), b.column("raw"), ends, ends[1:], strict=False):
+                raw, z_ = z.decompress(raw.as_py()), slice(x, y)
+                places = list(zip(*(c[z_][grain[z_] > count[z_]].tolist() for c in (anchor, digest, count, first)), strict=True))
+                for k in np.flatnonzero(grain[z_] <= count[z_]) + x:
+                    begin, g = int(first[k]), int(grain[k])
+                    for run, t, n in _runs(begin, int(count[k]), int(lead[k]), g):
+                        common = begin + int(lead[k]) - run * g  # where the last window of a whole run begins
                         core = xxh3_64_intdigest(raw[common : common - g + 1 + width], run)
-                        places.append((s["anchor"] ^ core - (1 << 63), xxh3_64_intdigest(raw[t : t + n - 1 + width]) - (1 << 63), n, t))
-                for anchor, digest, count, first in places:
-                    if held_ := seen.get(k := (anchor, digest, count)):
+                        places.append((int(anchor[k]) ^ core - (1 << 63), xxh3_64_intdigest(raw[t : t + n - 1 + width]) - (1 << 63), n, t))
+                for k in places:
+                    if held_ := seen.get(k[:3]):
                         held_[1] += 1
                     else:
-                        seen[k] = [raw[first : first + count - 1 + width], 1]
-                        size += count + width + 200
+                        seen[k[:3]] = [raw[k[3] : k[3] + k[2] - 1 + width], 1]
+                        size += k[2] + width + 200
                 c = list(zip(*places, strict=True))
                 yield _batch(pieces, *c[:3], [None] * len(places), [None] * len(places), [key] * len(places), c[3])
                 if size > 24 << 20:
