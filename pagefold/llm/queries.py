@@ -1,11 +1,12 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import bpe, linededup, nearcopies, packing, rules, suffixdedup, tokenfiles
+from pagefold.llm import bpe, linededup, nearcopies, packing, rules, suffixdedup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_byte_bpe": bpe.query,
     "op4_line_dedup": linededup.query,
+    "op5_toxicity": toxicity.query,
     "op7_quality_rules": rules.query,
     "op8_order_minhash": nearcopies.query,
     "op9_token_files": tokenfiles.query,
