@@ -1,10 +1,11 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import bpe, linededup, nearcopies, packing, rules, suffixdedup, tokenfiles, toxicity
+from pagefold.llm import bpe, linededup, nearcopies, packing, quality, rules, suffixdedup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_byte_bpe": bpe.query,
+    "op3_quality_classifier": quality.query,
     "op4_line_dedup": linededup.query,
     "op5_toxicity": toxicity.query,
     "op7_quality_rules": rules.query,
