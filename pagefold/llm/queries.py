@@ -1,6 +1,6 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import bpe, linededup, nearcopies, packing, quality, rules, suffixdedup, tokenfiles, toxicity
+from pagefold.llm import ann, bpe, linededup, nearcopies, packing, quality, rules, suffixdedup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_classifier": quality.query,
     "op4_line_dedup": linededup.query,
     "op5_toxicity": toxicity.query,
+    "op6_hash_prefix_forest": ann.query,
     "op7_quality_rules": rules.query,
     "op8_order_minhash": nearcopies.query,
     "op9_token_files": tokenfiles.query,
