@@ -97,7 +97,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     count as one document and are cut alike. A row whose id is null is left as it is. Other columns stay.
     """
     found = written(repeated(docs, id_col, text_col, min_words), "found")
-    d = docs.drop("n_lines_removed").join(found.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col(id_col) == F.col("__id"), "left")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")).hint("merge")  # its size grows with docs
+    d = docs.drop("n_lines_removed").join(found, F.col(id_col) == F.col("__id"), "left")
     lines = F.split(F.col(text_col), "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
     kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(rest, lambda k: F.get(x, k)), "\n"))[0]

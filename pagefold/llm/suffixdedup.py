@@ -284,7 +284,7 @@ def cut_out(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col:
     each other's repeats. With characters, those cut by the edge of a span stay whole. Rows' keys, anchors and segments
     are told apart by 64-bit hashes.
     """
-    spans = repeated(docs, width, id_col, text_col)
+    spans = repeated(docs, width, id_col, text_col).hint("merge")  # its size grows with docs
     columns = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
     d = docs.select(*columns, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key")).join(spans.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "__key", "left")
 
