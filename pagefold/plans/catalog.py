@@ -1,4 +1,288 @@
-"""Named queries over the driver's tables, each with DuckDB SQL for the same rows."""
+"""Named queries over the driver's tables, each with DuckDB SQL for the same rows.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Documents are conversations: doc_id is conv_id and page_no is turn + 1. Texts are those of documents, file names the urls of
+pages, and coordinates the values of events on a page of 595 by 842.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagefold.functions import drawing, markup, names, pagespec
+from pagefold.operators import overlays, pages, results
+
+WIDTH, HEIGHT = 595.0, 842.0
+COUNTS = "(select conv_id as doc_id, cast(count(*) as integer) as n from conversations group by conv_id)"
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text")
+
+
+def _numbers(spark: SparkSession, *page_nos: int) -> DataFrame:
+    return pages.selection(spark, list(enumerate(page_nos, 1)), "pos int, page_no int")
+
+
+def page_info(spark, d):
+    return pages.page_counts(_pages(spark, d))
+
+
+def merge(spark, d):
+    files = _pages(spark, d).select("doc_id").distinct().select((F.col("doc_id") % 10).alias("job_id"), (-F.col("doc_id")).alias("pos"), "doc_id")
+    return pages.merge(_pages(spark, d).drop("text"), files).select("job_id", "out_page", "src_doc", "src_page")
+
+
+def reorder_files(spark, d):
+    files = _pages(spark, d).select("doc_id").distinct().select((F.col("doc_id") % 7).alias("job_id"), "doc_id", F.col("doc_id").alias("pos"))
+    return pages.reordered(files, 3, 1).select("job_id", "doc_id", "pos")
+
+
+def split_individual(spark, d):
+    return pages.split_pages(_pages(spark, d)).select("doc_id", "part_no", "out_page", F.col("page_no").alias("src_page"), "text")
+
+
+def split_pages(spark, d):
+    parts = pages.split_pages(_pages(spark, d))
+    named = parts.select("doc_id", "part_no", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_split_page"), F.col("part_no").cast("string")).alias("name"))
+    return pages.split_summary(named)
+
+
+def split_groups(spark, d):
+    return pages.split_groups(_pages(spark, d).drop("text"), pages.stated_groups(spark, "1-2,4;99;9,3;1", 99)).select("doc_id", "part_no", "out_page", "src_page")
+
+
+def extract_pages(spark, d):
+    return pages.extract(_pages(spark, d), _numbers(spark, 3, 1, 3, 10)).select("doc_id", "out_page", "src_page", "text")
+
+
+def remove_pages(spark, d):
+    return pages.remove(_pages(spark, d), _numbers(spark, 2, 4).select("page_no")).select("doc_id", "out_page", "src_page")
+
+
+def remove_pages_multiset(spark, d):
+    return pages.remove_each(_pages(spark, d), [2, 2]).select("doc_id", "out_page", "src_page")
+
+
+def unassigned_pages(spark, d):
+    return pages.unassigned(_pages(spark, d), _numbers(spark, 1, 2, 4).select("page_no"))
+
+
+def toggled_pages(spark, d):
+    e = _read(spark, d, "events")
+    return pages.toggled(e.select((F.col("user_id") % 50).alias("doc_id"), (F.col("event_id") % 40).alias("page_no")))
+
+
+def exclusive_groups(spark, d):
+    e = _read(spark, d, "events")
+    return pages.exclusive(e.select((F.col("user_id") % 50).alias("doc_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("group_id"), (F.floor(F.col("value")) % 20).cast("long").alias("page_no")))
+
+
+SPECS = ("1-3", "1,2,5", "1-3,5", "5,1-3", "3,3,1", "5-3", "0-2", "4-99", "1-2-3", "1,2,,", " 2 , 4 - 5 ", "99", ",", "-3", "3-", "1,,2", "x", "x-2", "5-x", "")
+SPEC_TABLE = "(values " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(SPECS)) + ") s(spec_id, spec)"
+
+
+def page_specs(spark, d):
+    counts = pages.page_counts(_pages(spark, d)).select("doc_id", F.col("page_count").cast("int").alias("n"))
+    # a stated list of specifications for each document
+    each = counts.select("doc_id", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("spec_id"), F.lit(s).alias("spec")) for k, s in enumerate(SPECS)))).alias("s"))
+    found = pagespec.group(F.col("s.spec"), F.col("n"))
+    return each.select("doc_id", F.col("s.spec_id").alias("spec_id"), found.isNull().alias("fails"), F.coalesce(F.array_join(found.cast("array<string>"), ","), F.lit("")).alias("pages"))
+
+
+def int_lists(spark, d):
+    text = F.concat_ws(",", F.col("event_id").cast("string"), F.lit(" 7 "), F.element_at(F.array(F.lit("3"), F.lit("5-7"), F.lit("x")), (F.col("event_id") % 3 + 1).cast("int")))
+    found = pagespec.ints(text)
+    return _read(spark, d, "events").select("event_id", found.isNotNull().alias("success"), F.coalesce(F.size(found), F.lit(0)).alias("n"), F.array_join(found.cast("array<string>"), ",").alias("pages"))
+
+
+def form_ranges(spark, d):
+    text = F.concat((F.col("event_id") % 5).cast("string"), F.lit(",9,"), (F.col("event_id") % 4).cast("string"), F.lit("-"), (F.col("event_id") % 7).cast("string"), F.lit(",x"))
+    return _read(spark, d, "events").select("event_id", F.array_join(pagespec.ranges(text).cast("array<string>"), ",").alias("pages"))
+
+
+def serialized_groups(spark, d):
+    page = F.col("page_count").cast("int")
+    grouped = F.array(F.array(F.lit(1), page), F.array().cast("array<int>"), F.array(F.lit(2)))
+    return pages.page_counts(_pages(spark, d)).select("doc_id", pagespec.serialized(grouped).alias("groups"))
+
+
+def watermark(spark, d):
+    p = _pages(spark, d).select("doc_id", F.col("page_no"), "text", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    s = overlays.stamp(p, F.col("text"))
+    return s.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("text").alias("stamp"), "x", "y", *(F.round(F.get("matrix", F.lit(k)), 6).alias("abcd"[k]) for k in range(4)), F.col("rgb").bitwiseAND(F.lit(255)).alias("gray"))
+
+
+def add_text(spark, d):
+    return pages.guarded(_pages(spark, d), 5, results.DONE["text"], results.FAILED["text"])
+
+
+def add_texts(spark, d):
+    p = _pages(spark, d)
+    items = overlays.stated_texts(spark, p, [(1, "one", 100.0, 500.0, 12.0, "helvetica-bold", "#FF0000"), (1, "two", None, None, None, "nonesuch", "0x10"), (3, "three", 1.0, 2.0, 9.5, None, "red"), (99, "no", 1.0, 1.0, 1.0, None, None)])
+    return overlays.texts(p, items).select("doc_id", "page_no", "seq", "text", "x", "y", "font", "font_size", "rgb")
+
+
+def add_texts_status(spark, d):
+    p = _pages(spark, d)
+    items = overlays.stated_texts(spark, p, [(1, "one", None, None, None, None, None), (4, "four", None, None, None, None, None)])
+    return overlays.checked(p, items, results.DONE["text"], results.FAILED["text"])
+
+
+def add_signature(spark, d):
+    image = spark.createDataFrame([(bytearray(b"x"), 100, 50)], "content binary, width int, height int")
+    return overlays.signature(_pages(spark, d), image, 2).select("doc_id", "page_no", "x", "y", "w", "h")
+
+
+def redact(spark, d):
+    return overlays.cover(_pages(spark, d), 100.0, 700.0, 200.0, 30.0, 2).select("doc_id", "page_no", "x", "y", "w", "h", "rgb")
+
+
+BOXES = '[{"x":10.5,"y":20,"width":100,"height":30,"pageNum":1.9},{"x":0,"y":0,"width":50.5,"height":5,"pageNum":3,"more":true},{"x":0,"y":0,"width":1,"height":1,"pageNum":99}]'
+
+
+def redact_multiple(spark, d):
+    p = _pages(spark, d)
+    drawn = overlays.cover_many(p, p.select("doc_id").distinct().withColumn("json", F.lit(BOXES)))
+    return drawn.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "seq", "x", "y", "w", "h")
+
+
+REQUESTS = ("[]", "nope", '{"x":1,"y":1,"width":1,"height":1,"pageNum":1}', '[{"x":1,"y":1,"width":1,"height":1}]', '[{"x":"2","y":1,"width":1,"height":1,"pageNum":1}]', BOXES)
+
+
+def redact_status(spark, d):
+    json = F.element_at(F.array(*map(F.lit, REQUESTS)), (F.col("doc_id") % len(REQUESTS) + 1).cast("int"))
+    return overlays.checked_boxes(_pages(spark, d).select("doc_id").distinct().withColumn("json", json))
+
+
+def fonts_colours(spark, d):
+    fonts, colours = ("helvetica-bold", "Times_Roman", "comic", "COURIER"), ("#FF0000", "#fff", "0x10", "010", "255", "red", "#ffffffff", "")
+    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
+    return _read(spark, d, "events").select("event_id", drawing.font(pick(fonts)).alias("font"), drawing.rgb(pick(colours)).alias("rgb"))
+
+
+def coord_flip(spark, d):
+    v = F.col("value")
+    drawn = drawing.box(F.lit(0.0), F.lit(0.0), v, -v)
+    return _read(spark, d, "events").filter(drawn.isNotNull()).select("event_id", drawing.from_top(F.lit(HEIGHT), v, F.lit(30.0)).alias("pdf_y"), drawing.clamp(F.lit(0.0), v, F.lit(WIDTH - 150.0)).alias("clamp_x"))
+
+
+def to_markdown(spark, d):
+    return _read(spark, d, "documents").select("doc_id", markup.markdown(F.col("text")).alias("markdown"))
+
+
+def document_markdown(spark, d):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
+    return _pages(spark, d).groupBy("doc_id").agg(text.alias("text")).select("doc_id", markup.markdown(F.col("text")).alias("markdown"))
+
+
+def docx_paragraphs(spark, d):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n")
+    whole = _pages(spark, d).groupBy("doc_id").agg(text.alias("text"))
+    return whole.select("doc_id", F.posexplode(markup.paragraphs(F.col("text"))).alias("k", "para")).select("doc_id", (F.col("k") + 1).alias("para_no"), "para")
+
+
+def empty_text(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 3 == 1, F.lit(" \t\n")).otherwise(F.lit("a\n\nb\n\n"))
+    return _read(spark, d, "events").select("event_id", markup.markdown(text).alias("markdown"), F.array_join(markup.paragraphs(text), "|").alias("paragraphs"))
+
+
+def output_name(spark, d):
+    return _read(spark, d, "pages").select("page_id", names.base_name(F.col("url"), "merged").alias("base_name"))
+
+
+def output_files(spark, d):
+    return _read(spark, d, "pages").select("page_id", names.output_name(F.col("url"), "extracted", "pdf", F.col("page_id")).alias("name"), names.download_name(F.concat(F.col("page_id").cast("string"), F.lit(".PDF")), "extracted").alias("saved_as"))
+
+
+NAMES = ("report..v1.pdf", "../etc/passwd", "a\\b.pdf", "x.exe", "  ", "", "...pdf", ".pdf", "x.", "noext", "A b.MD", "d.docx")
+
+
+def validate_name(spark, d):
+    return pages.selection(spark, list(enumerate(NAMES, 1)), "id int, name string").select("id", names.verdict(F.col("name")).alias("verdict"))
+
+
+def validate_urls(spark, d):
+    return _read(spark, d, "pages").select("page_id", names.verdict(F.element_at(F.split("url", "/"), -1)).alias("verdict"))
+
+
+def error_mapping(spark, d):
+    kinds = ("done", "failed", "too_large", "bad_upload", "missing", "bad_input", "other")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    o = results.outcome(kind, F.col("event_type"))
+    return _read(spark, d, "events").select("event_id", o["status"].alias("status"), o["success"].alias("success"), o["message"].alias("message"))
+
+
+def text_results(spark, d):
+    counted = pages.page_counts(_pages(spark, d)).select((F.col("doc_id") % 10).alias("job_id"), "doc_id", "page_count")
+    out = results.results(counted, "text", F.col("page_count") >= 4, F.lit(pages.INVALID_PAGE), F.array(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_text_added.pdf"))))
+    return out.select("job_id", "doc_id", "success", "message", F.array_join("outputs", ",").alias("outputs"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        page_info, merge, reorder_files, split_individual, split_pages, split_groups, extract_pages, remove_pages, remove_pages_multiset, unassigned_pages, toggled_pages, exclusive_groups,
+        page_specs, int_lists, form_ranges, serialized_groups, watermark, add_text, add_texts, add_texts_status, add_signature, redact, redact_multiple, redact_status, fonts_colours, coord_flip,
+        to_markdown, document_markdown, docx_paragraphs, empty_text, output_name, output_files, validate_name, validate_urls, error_mapping, text_results,
+    )
+}
+
+_MARKDOWN = r"""'# PDF Content' || chr(10) || chr(10) || case when coalesce(regexp_replace(text, '[\x00-\x20]+', '', 'g'), '') = '' then '[No extractable text found in this PDF. The document may contain only images or scanned content.]' else array_to_string(list_transform(string_split(regexp_replace(text, '\n+$', ''), chr(10)), lambda l: case when regexp_replace(l, '[\x00-\x20]+', '', 'g') = '' then chr(10) else l || chr(10) || chr(10) end), '') end"""
+_VERDICT = r"""case when regexp_replace(name,'[\x00-\x20]+','','g') = '' then 'Filename cannot be null or empty' when strpos(name,'/')>0 or strpos(name,'\')>0 then 'Invalid filename: path separators are not allowed' when base is null or base = '' or ext = '' then 'Invalid filename: missing or malformed file extension' when lower(ext) not in ('pdf','md','docx') then 'Invalid filename: only .pdf, .md, or .docx extensions are allowed' when base = '..' then 'Invalid filename: parent directory references are not allowed' else 'OK' end"""
+_STEM = r"regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[pP][dD][fF]$', '')"
+
+ORACLE_SQL = {
+    "page_info": "select conv_id as doc_id, count(*) as page_count, 'Pages: ' || count(*) as message from conversations group by conv_id",
+    "merge": "select conv_id % 10 as job_id, cast(row_number() over (partition by conv_id % 10 order by conv_id desc, turn) as integer) as out_page, conv_id as src_doc, turn + 1 as src_page from conversations",
+    "reorder_files": """with f as (select conv_id % 7 as job_id, conv_id as doc_id, row_number() over (partition by conv_id % 7 order by conv_id) - 1 as p, count(*) over (partition by conv_id % 7) as n
+        from (select distinct conv_id from conversations)) select job_id, doc_id, cast(case when n <= 3 then p when p = 3 then 1 when p in (1, 2) then p + 1 else p end as integer) as pos from f""",
+    "split_individual": "select conv_id as doc_id, turn + 1 as part_no, 1 as out_page, turn + 1 as src_page, text from conversations",
+    "split_pages": "select conv_id as doc_id, 'PDF split into ' || count(*) || ' documents' as message, string_agg('d' || conv_id || '_split_page' || (turn + 1), ',' order by turn) as outputs from conversations group by conv_id",
+    "split_groups": "select c.conv_id as doc_id, s.part_no, cast(row_number() over (partition by c.conv_id, s.part_no order by s.pos) as integer) as out_page, c.turn + 1 as src_page from conversations c join (values (1,1,1),(1,2,2),(1,3,4),(2,1,99),(3,1,9),(3,2,3),(4,1,1)) s(part_no,pos,page_no) on c.turn + 1 = s.page_no",
+    "extract_pages": "select c.conv_id as doc_id, cast(row_number() over (partition by c.conv_id order by s.pos) as integer) as out_page, c.turn + 1 as src_page, c.text from conversations c join (values (1,3),(2,1),(3,3),(4,10)) s(pos,page_no) on c.turn + 1 = s.page_no",
+    "remove_pages": "select c.conv_id as doc_id, cast(row_number() over (partition by c.conv_id order by c.turn) as integer) as out_page, c.turn + 1 as src_page from conversations c anti join (values (2),(4)) s(page_no) on c.turn + 1 = s.page_no",
+    "remove_pages_multiset": "select conv_id as doc_id, cast(row_number() over (partition by conv_id order by turn) as integer) as out_page, turn + 1 as src_page from conversations where turn + 1 not in (2,3)",
+    "unassigned_pages": "select c.conv_id as doc_id, c.turn + 1 as page_no from conversations c where not exists (select 1 from (values (1),(2),(4)) s(page_no) where s.page_no = c.turn + 1)",
+    "toggled_pages": "select user_id % 50 as doc_id, event_id % 40 as page_no from events group by 1, 2 having count(*) % 2 = 1",
+    "exclusive_groups": """with c as (select user_id % 50 as doc_id, event_id as seq, event_id % 3 as group_id, cast(floor(value) as bigint) % 20 as page_no from events),
+        l as (select *, first(group_id) over (partition by doc_id, page_no order by seq desc) as last from c),
+        r as (select doc_id, page_no, last, sum((group_id <> last)::int) over (partition by doc_id, page_no order by seq desc rows unbounded preceding) as other from l)
+        select doc_id, page_no, any_value(last) as group_id from r where other = 0 group by 1, 2 having count(*) % 2 = 1""",
+    "page_specs": rf"""with d as (select doc_id, n, spec_id, case when regexp_matches(spec, '^,+$') then [] else string_split(regexp_replace(spec, ',+$', ''), ',') end as items from {COUNTS} cross join {SPEC_TABLE}),
+        b as (select doc_id, n, spec_id, list_transform(items, lambda i: struct_pack(lo := try_cast(nullif(trim(string_split(i, '-')[1]), '') as integer),
+            hi := try_cast(nullif(trim(case when contains(i, '-') then string_split(i, '-')[2] else i end), '') as integer))) as p from d),
+        f as (select *, len(list_filter(p, lambda x: x.lo is null or x.hi is null)) > 0 as fails from b),
+        e as (select doc_id, spec_id, fails, flatten(list_transform(case when fails then [] else p end, lambda x: range(greatest(x.lo, 1), least(x.hi, n) + 1))) as all_ from f)
+        select doc_id, spec_id, fails, array_to_string(list_filter(all_, lambda x, k: list_position(all_, x) = k), ',') as pages from e""",
+    "int_lists": "select event_id, event_id % 3 = 0 as success, case when event_id % 3 = 0 then 3 else 0 end as n, case when event_id % 3 = 0 then event_id || ',7,3' end as pages from events",
+    "form_ranges": """select event_id, array_to_string(list_sort(list_distinct(list_concat([9], list_concat(case when event_id % 5 >= 1 then [event_id % 5] else [] end,
+        case when event_id % 4 >= 1 and event_id % 4 <= event_id % 7 then range(event_id % 4, event_id % 7 + 1) else [] end)))), ',') as pages from events""",
+    "serialized_groups": f"select doc_id, '1,' || n || ';2' as groups from {COUNTS}",
+    "watermark": "select conv_id as doc_id, turn + 1 as page_no, left(text, 30) as stamp, cast(595.0/2 as double) as x, cast(842.0/2 as double) as y, round(cos(radians(45)),6) as a, round(sin(radians(45)),6) as b, round(-sin(radians(45)),6) as c, round(cos(radians(45)),6) as d, cast(trunc(255*(1-0.3)) as int) as gray from conversations",
+    "add_text": f"select doc_id, 5 as page_no, case when n < 5 then 'Failed to add text: Invalid page number' else 'Text added successfully' end as message, n >= 5 as success from {COUNTS}",
+    "add_texts": """select c.conv_id as doc_id, cast(c.turn + 1 as integer) as page_no, i.seq, i.text, i.x, i.y, i.font, i.font_size, i.rgb from conversations c join (values (1, 1, 'one', 100e0, 500e0, 'HELVETICA_BOLD', 12e0, 16711680),
+        (2, 1, 'two', 50e0, 750e0, 'HELVETICA', 12e0, 16), (3, 3, 'three', 1e0, 2e0, 'HELVETICA', 9.5e0, 0)) i(seq, page_no, text, x, y, font, font_size, rgb) on c.turn + 1 = i.page_no""",
+    "add_texts_status": f"select doc_id, n >= 4 as success, case when n < 4 then 'Failed to add text: Invalid page number' else 'Text added successfully' end as message from {COUNTS}",
+    "add_signature": "select conv_id as doc_id, cast(turn + 1 as integer) as page_no, 400e0 as x, 100e0 as y, 30e0 as w, 15e0 as h from conversations where turn = 1",
+    "redact": "select conv_id as doc_id, cast(turn + 1 as integer) as page_no, 100e0 as x, 700e0 as y, 200e0 as w, 30e0 as h, 0 as rgb from conversations where turn = 1",
+    "redact_multiple": "select c.conv_id as doc_id, r.page_no, r.seq, r.x, r.y, r.w, r.h from conversations c join (values (1,cast(1 as bigint),10.5e0,20e0,100e0,30e0),(2,3,0e0,0e0,50.5e0,5e0),(3,99,0e0,0e0,1e0,1e0)) r(seq,page_no,x,y,w,h) on c.turn + 1 = r.page_no",
+    "redact_status": "select distinct conv_id as doc_id, conv_id % 6 in (0, 5) as success from conversations",
+    "fonts_colours": "select event_id, ['HELVETICA_BOLD', 'TIMES_ROMAN', 'HELVETICA', 'COURIER'][event_id % 4 + 1] as font, [16711680, 4095, 16, 8, 255, 0, 0, 0][event_id % 8 + 1] as rgb from events",
+    "coord_flip": "select event_id, 842.0e0 - value - 30e0 as pdf_y, greatest(0e0, least(value, 595e0 - 150e0)) as clamp_x from events where value > 10 and value > 5",
+    "to_markdown": f"select doc_id, {_MARKDOWN} as markdown from documents",
+    "document_markdown": f"select doc_id, {_MARKDOWN} as markdown from (select conv_id as doc_id, string_agg(text, chr(10) order by turn) as text from conversations group by conv_id)",
+    "docx_paragraphs": "select conv_id as doc_id, cast(row_number() over (partition by conv_id order by turn) as integer) as para_no, trim(text) as para from conversations where trim(text) <> ''",
+    "empty_text": f"""select event_id, {_MARKDOWN} as markdown, case when event_id % 3 = 2 then 'a|b' else '[No extractable text found in this PDF. The document may contain only images or scanned content.]' end as paragraphs
+        from (select event_id, case event_id % 3 when 0 then null when 1 then ' ' || chr(9) || chr(10) else 'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) end as text from events)""",
+    "output_name": f"select page_id, case when {_STEM} = '' then 'merged' else {_STEM} || '_merged' end as base_name from pages",
+    "output_files": f"select page_id, case when {_STEM} = '' then 'extracted' else {_STEM} || '_extracted' end || '_' || left(sha256(page_id::varchar), 8) || '.pdf' as name, page_id || '_extracted.pdf' as saved_as from pages",
+    "validate_name": rf"select id, {_VERDICT} as verdict from (select id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (values (1,'report..v1.pdf'),(2,'../etc/passwd'),(3,'a\b.pdf'),(4,'x.exe'),(5,'  '),(6,''),(7,'...pdf'),(8,'.pdf'),(9,'x.'),(10,'noext'),(11,'A b.MD'),(12,'d.docx')) f(id,name))",
+    "validate_urls": rf"select page_id, {_VERDICT} as verdict from (select page_id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (select page_id, string_split(url, '/')[-1] as name from pages))",
+    "error_mapping": """select event_id, [200, 400, 413, 400, 400, 400, 500][event_id % 7 + 1] as status, event_id % 7 = 0 as success, case event_id % 7 when 0 then event_type when 1 then event_type
+        when 2 then 'File size exceeds maximum allowed size of 100MB. Please upload a smaller file.' when 3 then 'Error processing file upload. Please ensure you''re uploading valid PDF files.'
+        when 4 then 'Missing required parameter: ' || event_type when 5 then 'Invalid input: ' || event_type else 'An unexpected error occurred while processing your request. Please try again.' end as message from events""",
+    "text_results": f"select doc_id % 10 as job_id, doc_id, n >= 4 as success, case when n >= 4 then 'Text added successfully' else 'Failed to add text: Invalid page number' end as message, case when n >= 4 then 'd' || doc_id || '_text_added.pdf' else '' end as outputs from {COUNTS}",
+}
