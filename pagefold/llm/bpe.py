@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagefold.llm.chunks import Chunks, in_steps
+from pagefold.llm.chunks import Chunks, in_steps, slices
 from pagefold.llm.common import read, texts
 
 NONE = np.int64(1 << 62)
@@ -188,7 +188,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches):
         _, known = coder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = [i for step in in_steps(b.column("text").to_pylist()) for i in known.ids(step)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

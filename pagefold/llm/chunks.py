@@ -13,33 +13,52 @@ import regex
 #: A space that does not begin a match by itself: such texts are cut at every match instead.
 AWKWARD = re.compile(r" (?:\s|\Z)")
 LONG = 64
+STOPS = ".,"
 
 
 class Memory:
-    """Ids of the chunks used lately, at most twice room of them: older ones go when room are full."""
+    """Ids of the chunks used lately, about twice room of them: older ones go when room are full."""
 
     def __init__(self, room: int):
         self.room = room
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
-    def hold(self, wanted: set[str], encode: Callable[[list[str]], list[bytes]], lead: str) -> Callable[[str], bytes]:
-        """Holds the ids of all wanted chunks until it is called again, and returns what looks them up."""
+    def hold(self, wanted: set[str], encode: Callable[[list[str]], list[bytes]], lead: str) -> dict[str, bytes]:
+        """The ids of all wanted chunks."""
         if len(self.now) > self.room:
             self.old, self.now = self.now, {}
         now, old = self.now, self.old
-        wanted.difference_update(now)
-        now.update((c, old[c]) for c in wanted if c in old)
-        if not (new := [c for c in wanted if c not in old]):
-            return now.__getitem__
-        ids = dict(zip(new, encode([lead + c for c in new]), strict=True))
-        now.update((c, i) for c, i in ids.items() if len(c) <= LONG)
-        long = {c: i for c, i in ids.items() if len(c) > LONG}
-        return (lambda c: now[c] if len(c) <= LONG else long[c]) if long else now.__getitem__
+        # a word and a stop are two matches: the word alone is remembered
+        ended = [c for c in wanted if c[-1:] in STOPS and c[:-1].isalpha()]
+        wanted.difference_update(ended)
+        wanted.update([c[:-1] for c in ended])
+        out, new = {}, []
+        for c in wanted:
+            i = now.get(c)
+            if i is None:
+                i = old.get(c)
+                if i is None:
+                    new.append(c)
+                    continue
+                now[c] = i
+            out[c] = i
+        if new:
+            ids = dict(zip(new, encode([lead + c for c in new]), strict=True))
+            out.update(ids)
+            now.update((c, i) for c, i in ids.items() if len(c) <= LONG)
+        if ended:
+            if not self.stops:
+                self.stops.update(zip(STOPS, encode(list(STOPS)), strict=True))
+            stops = self.stops
+            for c in ended:
+                out[c] = out[c[:-1]] + stops[c[-1]]
+        return out
 
 
 class Chunks:
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, room: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, room: int = 300_000):
         """encode: the ids of each of some chunks, as bytes."""
         self.encode = encode
         self.matches = regex.compile(pattern).findall
@@ -57,7 +76,7 @@ class Chunks:
         for a, b in cut:
             bare.update(a)
             spaced.update(b)
-        one, two = self.bare.hold(bare, self.encode, ""), self.spaced.hold(spaced, self.encode, " ")
+        one, two = self.bare.hold(bare, self.encode, "").__getitem__, self.spaced.hold(spaced, self.encode, " ").__getitem__
         return [b"".join(map(one, a)) + b"".join(map(two, b)) for a, b in cut]
 
 
@@ -72,3 +91,10 @@ def in_steps(texts: list[str], characters: int = 2_000_000):
             step, n = [], 0
     if step:
         yield step
+
+
+def slices(batches, rows: int = 1000):
+    """Batches of fewer rows, so that less of a large batch is held as Python objects."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagefold.llm.chunks import Chunks, in_steps
+from pagefold.llm.chunks import Chunks, in_steps, slices
 from pagefold.llm.common import new_path, partitions, read, texts, written
 
 MAGIC = b"SIMPLE8B"
@@ -49,11 +49,15 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64)
-    width = np.searchsorted(np.array([1 << k for k in range(64)], np.uint64), v, "right")
+    width = np.frexp(v.astype(np.float64))[1] if v.max() < 1 << 53 else np.searchsorted(np.array([1 << k for k in range(64)], np.uint64), v, "right")
     chosen = np.zeros(n, np.int8)
     for s, (count, bits) in reversed(list(enumerate(SELECTORS, 1))):
+        over = width > bits
+        bad = np.flatnonzero(over)
+        if len(bad) and max(bad[0], n - 1 - bad[-1] + count * (bad[-1] < n - 1), np.diff(bad).max(initial=1) - 1) < count:
+            continue  # no such run
         wide = np.zeros(n + count + 1, np.int32)
-        np.cumsum(width > bits, out=wide[1 : n + 1])
+        np.cumsum(over, out=wide[1 : n + 1])
         wide[n + 1 :] = wide[n]
         chosen[wide[count : n + count] == wide[:n]] = s
     follows = (np.arange(n) + COUNTS[chosen]).tolist()
@@ -144,12 +148,15 @@ def coder(path: str, pattern: str) -> tuple[str, Chunks]:
 
     def encode(chunks: list[str]) -> list[bytes]:
         # what the library's own encode() does, less its account of where in the text each token came from
-        cut = [known.matches(c) for c in chunks]
-        ids = {}
-        for p in {p for c in cut for p in c}:
-            found = [x.id for x in tokenize(p.encode().decode("latin-1").translate(VISIBLE))]
-            ids[p] = struct.pack(f"<{len(found)}{code}", *found)
-        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+        out, plain = [], VISIBLE[32]
+        for c in chunks:
+            if c[0] == " " and c[1:].isalpha():  # one match
+                word = plain + c[1:] if c.isascii() else c.encode().decode("latin-1").translate(VISIBLE)
+                found = [x.id for x in tokenize(word)]
+            else:
+                found = [x.id for p in known.matches(c) for x in tokenize(p.encode().decode("latin-1").translate(VISIBLE))]
+            out.append(struct.pack(f"<{len(found)}{code}", *found))
+        return out
 
     known = Chunks(encode, pattern)
     return kind, known
@@ -174,7 +181,7 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id
     def encode(batches):
         kind, known = coder(path, pattern)
         last = np.array([end], kind).tobytes()
-        for b in batches:
+        for b in slices(batches):
             ids = [i + last for step in in_steps(b.column("text").to_pylist()) for i in known.ids(step)]
             doc = b.column("doc_id")
             place = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
