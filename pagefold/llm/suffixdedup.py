@@ -13,6 +13,7 @@ segments meet as one with a count.
 """
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -245,8 +246,12 @@ def repeated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col
                 v[1] += n
             else:
                 own[s, h, w] = [raw, n]
-        hit = matched([v[0] for v in own.values()], [v[1] for v in own.values()], width)
-        rows = [(*k, [x for r in m for x in r]) for k, m in zip(own, hit, strict=True) if m]
+        # a segment that is all there is of its anchor has nothing to be sorted among: only its own copies repeat it
+        alike = Counter(s for s, _, _ in own)
+        rows = [(*k, [0, k[2]]) for k, v in own.items() if alike[k[0]] == 1 and v[1] > 1]
+        if several := {k: v for k, v in own.items() if alike[k[0]] > 1}:
+            hit = matched([v[0] for v in several.values()], [v[1] for v in several.values()], width)
+            rows += [(*k, [x for r in m for x in r]) for k, m in zip(several, hit, strict=True) if m]
         return pa.Table.from_batches([_batch(runs, *zip(*rows, strict=True))] if rows else [], runs)
 
     dealt = cut_.filter("raw is not null").select("shard", "hash", "windows", "raw", "n", F.pmod(F.xxhash64("shard"), F.lit(shards)).alias("task"))
