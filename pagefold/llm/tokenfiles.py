@@ -162,7 +162,7 @@ def coder(path: str, pattern: str) -> tuple[str, Chunks]:
     return kind, known
 
 
-def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, file_ids: int = 1 << 24) -> DataFrame:
+def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, file_ids: int = 1 << 22) -> DataFrame:
     """Writes files to folder, a URI that executors can write to, and returns their manifest: range, part, file, n_docs,
     n_ids. Ascending doc_id (a long; null first) runs through the files in order of range and part.
 
