@@ -224,6 +224,8 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id
 def load(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """One row for each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary,
     unsigned 32-bit). The running total is over the manifest, a row for each file."""
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     order = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     before = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
 
@@ -250,6 +252,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     folder = new_path(spark, "tokens")
     manifest = write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, folder, 2)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return load(spark, folder, manifest).drop("ids")

@@ -122,7 +122,7 @@ def test_simple8b_round_trip():
     assert ids == [1, None, 5, 9] and lengths.tolist() == [len(d) for d in docs] and (flat == np.concatenate(docs)).all()
 
 
-def test_token_files(spark, odd, tmp_path):
+def test_token_files(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
@@ -137,6 +137,8 @@ def test_token_files(spark, odd, tmp_path):
         want = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(want) // 4, zlib.crc32(want), want)
         at += len(want) // 4
+    none = f"file://{tmp_path}/none"
+    assert tokenfiles.load(spark, none, tokenfiles.write(empty, path, P.PATTERN, none, 2)).count() == 0
 
 
 def test_library_chunks():
