@@ -7,8 +7,8 @@ dealt by anchor into shards of a bounded size, each of which gets a suffix array
 prefixes: a window is repeated if its suffix shares width bytes with a neighbour. Each window lies in one segment of
 one shard, so every match found is one of two places, and none is missed.
 
-Segments of an anchor with many occurrences are cut into runs of a few windows each, and dealt by anchor, run and the bytes
-that all windows of the run share: what differs around a common passage then goes to different shards. Equal
+All segments of an anchor with many occurrences, short ones too, are cut into runs of a few windows each, and dealt by
+anchor, run and the bytes that all windows of the run share, so that equal windows stay together: what differs around a common passage then goes to different shards. Equal
 segments meet as one with a count.
 """
 
@@ -28,6 +28,8 @@ GRAM = 32
 STEP, SHARD = 1 << 20, 2 << 20
 #: Occurrences of an anchor from which its segments are cut into runs of so many windows.
 GRAINS = ((8_000, 8), (8_000_000, 1))
+#: The grain of anchors with fewer, whose segments stay whole.
+WHOLE = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,7 +181,7 @@ def repeated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col
         raise ValueError(f"width must be under {256 + GRAM} bytes")
     all_ = keyed.mapInArrow(anchors, "key long, at long, anchor long, hash long")
     twice = written(all_.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    grain = F.lit(1 << 16)
+    grain = F.lit(WHOLE)
     for n, g in GRAINS:
         grain = F.when(F.col("n") >= n, F.lit(g)).otherwise(grain)
     held = all_.join(twice, "anchor").select("key", F.struct("at", "anchor", "hash", grain.alias("grain")).alias("s")).groupBy("key").agg(F.collect_list("s").alias("s"))
@@ -213,8 +215,9 @@ def repeated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col
             first, count, lead = at >> 16, at >> 8 & 255, at & 255
             for key, raw, x, y in zip(b.column("key").to_pylist(), b.column("raw"), ends, ends[1:], strict=False):
                 raw, z_ = z.decompress(raw.as_py()), slice(x, y)
-                places = list(zip(*(c[z_][grain[z_] > count[z_]].tolist() for c in (anchor, digest, count, first)), strict=True))
-                for k in np.flatnonzero(grain[z_] <= count[z_]) + x:
+                whole = grain[z_] == WHOLE
+                places = list(zip(*(c[z_][whole].tolist() for c in (anchor, digest, count, first)), strict=True))
+                for k in np.flatnonzero(~whole) + x:
                     begin, g = int(first[k]), int(grain[k])
                     for run, t, n in _runs(begin, int(count[k]), int(lead[k]), g):
                         common = begin + int(lead[k]) - run * g  # where the last window of a whole run begins

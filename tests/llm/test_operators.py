@@ -397,6 +397,19 @@ def test_repeated_bytes(spark, monkeypatch, grains):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_short_segments_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "GRAINS", ((3, 8), (10**6, 1)))
+    monkeypatch.setattr(suffixdedup, "SHARD", 500)
+    r = random.Random(5)
+    words = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p = words(500)
+    rows = [(i, words(50) + p[(a := r.randint(0, 290)) : a + 200 + (i % 7)] + words(50)) for i in range(40)] + [(i, words(50) + p + words(50)) for i in range(40, 44)]
+    count = collections.Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    want = [(d, sum(b - a for a, b in suffixdedup.union([(i, i + 200) for i in range(len(t) - 199) if count[t[i : i + 200]] > 1]))) for d, t in rows]
+    got = suffixdedup.cut_out(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_repeated_bytes_edges(odd, empty):
     got = suffixdedup.cut_out(odd, characters=True).toPandas()
     assert len(got) == len(ODD) and "source" in got.columns and got[got.doc_id == 12].n_removed.tolist() == [0]
