@@ -3,11 +3,13 @@
 A text is a sequence of 64-bit line hashes. Lines of at least min_words words, of which equal ones rarely meet by chance,
 find a document's partners: for each of its lines the earliest document that has it, so a line of n documents makes n - 1
 pairs, never all. Each pair is aligned by patience diff over the hashes; the aligned blocks with at least one such line
-are deleted from the later document. Texts themselves move once, when the found lines are cut out.
+are deleted from the later document. Lines left over seek the next document in which they are left over too, and at the
+end every earlier document that has them: what is deleted is what an alignment of all pairs would delete. Texts
+themselves move once, when the found lines are cut out.
 """
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +32,43 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+#: Pairs of equal lines from which the longest common subsequence is found by halves.
+MANY = 1 << 20
+#: Pairs for each held line, at most, to which lines left over are paired with all that have them.
+BOUND = 4
+
+
+def _ends(a: list[int], b: list[int]) -> list[int]:
+    """The length of the longest common subsequence of a and b[:j], for each j: bit j of v is unset where it grows."""
+    mask, full = {}, (1 << len(b)) - 1
+    for j, h in enumerate(b):
+        mask[h] = mask.get(h, 0) | 1 << j
+    v = full
+    for h in a:
+        u = v & mask.get(h, 0)
+        v = (v + u | v - u) & full
+    out = [0]
+    for c in reversed(f"{v:0{len(b)}b}" if b else ""):
+        out.append(out[-1] + (c == "0"))
+    return out
+
+
+def longest(a: list[int], b: list[int], i: int = 0, j: int = 0) -> list[tuple[int, int]]:
+    """The places, counted from i and j, of a longest common subsequence."""
+    one, two = Counter(a), Counter(b)
+    if sum(n * two[h] for h, n in one.items()) <= MANY or len(a) == 1:
+        places = defaultdict(list)
+        for k in range(len(b) - 1, -1, -1):
+            places[b[k]].append(j + k)
+        return _rising([(i + k, y) for k, h in enumerate(a) for y in places.get(h, ())])
+    half = len(a) // 2
+    sums = [x + y for x, y in zip(_ends(a[:half], b), reversed(_ends(a[half:][::-1], b[::-1])), strict=True)]
+    cut = sums.index(max(sums))
+    return longest(a[:half], b[:cut], i, j) + longest(a[half:], b[cut:], i + half, j + cut)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """The aligned places (in a, in b), both rising."""
+    """The aligned places (in a, in b), both rising; a longest common subsequence where no line is unique on both sides."""
     out, open_ = [], [(0, len(a), 0, len(b))]
     while open_:
         i, m, j, n = open_.pop()
@@ -47,6 +84,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         place = {h: k for k, h in enumerate(b[j:n], j) if two[h] == 1}
         kept = _rising([(k, place[h]) for k, h in enumerate(a[i:m], i) if one[h] == 1 and h in place])
         if not kept:
+            out += longest(a[i:m], b[j:n], i, j)
             continue
         for x, y in kept:
             open_.append((i, x, j, y))
@@ -76,24 +114,51 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     mark = lambda x: F.xxhash64(F.trim(x)).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(x.rlike(rf"(?:\S+\s+){{{min_words - 1}}}\S"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
     hashed = written(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(line, mark).alias("h")), "lines")
     finding = hashed.select("doc_id", F.explode(F.array_distinct(F.filter("h", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("line"))
-    first = written(finding.groupBy("line").agg(F.min("doc_id").alias("early"), F.max("doc_id").alias("last")).filter("early < last").drop("last"), "first")
-    pairs = written(finding.join(first, "line").filter("early < doc_id").select("early", "doc_id").distinct(), "pairs")
+    first = written(finding.groupBy("line").agg(F.min("doc_id").alias("early"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("early < last").drop("last"), "first")
+    held = written(finding.join(first.drop("n"), "line").select("line", "early", "doc_id"), "held")
+    kind = hashed.schema["doc_id"].dataType.simpleString()
 
     def align(batches):
         for b in batches:
             found = [shared_lines(x, y) for x, y in zip(b.column("eh").to_pylist(), b.column("h").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "lines"])
 
-    both = pairs.join(hashed.select(F.col("doc_id").alias("early"), F.col("h").alias("eh")), "early").join(hashed, "doc_id").select("doc_id", "eh", "h")
-    kind = hashed.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(align, f"doc_id {kind}, lines array<int>").filter(F.size("lines") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(hashed.select(F.col("doc_id").alias("early"), F.col("h").alias("eh")), "early").join(hashed, "doc_id").select("doc_id", "eh", "h")
+        return written(both.mapInArrow(align, f"doc_id {kind}, lines array<int>").filter(F.size("lines") > 0), "aligned")
+
+    def union(found: DataFrame) -> DataFrame:
+        return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+
+    tried = written(held.filter("early < doc_id").select("early", "doc_id").distinct(), "pairs")
+    found, pivots, bound, changed = aligned(tried), first.select("line", "early"), BOUND * held.count(), True
+    while True:
+        rest = F.array_except(F.sequence(F.lit(0), F.size("h") - 1), F.coalesce("lines", F.array().cast("array<int>")))
+        left = hashed.join(tried.select("doc_id").distinct(), "doc_id", "left_semi").join(union(found), "doc_id", "left")
+        left = left.select("doc_id", F.explode(F.array_distinct(F.transform(rest, lambda k: F.get("h", k)))).alias("line")).filter(F.col("line").bitwiseAND(F.lit(1)) == 1).distinct()
+        left = written(left.join(held.filter("early < doc_id").select("doc_id", "line"), ["doc_id", "line"], "left_semi"), "left")
+        work = left.groupBy("line").agg(F.count("*").alias("k")).join(first, "line").agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
+        # lines left over meet all earlier documents that have them once these are few, or no round helps any more
+        last = work <= bound or not changed
+        if last:
+            more = left.join(held.select("line", F.col("doc_id").alias("early")), "line")
+        else:
+            seek = left.join(pivots, "line").filter("doc_id > early").select("line", "doc_id")
+            pivots = written(seek.groupBy("line").agg(F.min("doc_id").alias("early")), "pivots")
+            more = seek.join(pivots, "line")
+        more = written(more.filter("early < doc_id").select("early", "doc_id").distinct().join(tried, ["early", "doc_id"], "left_anti"), "pairs")
+        new = aligned(more)
+        found = found.unionByName(new)
+        if last:
+            return union(found)
+        tried, changed = tried.unionByName(more), new.head(1) != []
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """docs with what earlier documents (by id) have already deleted from text_col, and n_lines_removed (long).
 
     A null text stays null and an empty one empty. A text all of whose lines go becomes empty; no row is dropped. Equal
-    lines need not be unique: ties are aligned by patience diff, and what it leaves open is kept. Rows that repeat an id
+    lines need not be unique: where none is, a longest common subsequence is aligned. Rows that repeat an id
     count as one document and are cut alike. A row whose id is null is left as it is. Other columns stay.
     """
     found = written(repeated(docs, id_col, text_col, min_words), "found")

@@ -204,6 +204,32 @@ def test_lines_go_from_later_documents(spark, odd, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_longest(monkeypatch):
+    r = random.Random(8)
+    for many in (0, 1 << 20):
+        monkeypatch.setattr(linededup, "MANY", many)
+        for _ in range(100):
+            a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 25))] for _ in range(2))
+            pairs = linededup.longest(a, b)
+            assert len(pairs) == common(a, b) and all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+@pytest.mark.parametrize("bound", [0, 4])
+def test_lines_against_all_pairs(spark, monkeypatch, bound):
+    """Passages that the first document has twice or in another order, against alignments of all pairs."""
+    r = random.Random(4)
+    line = lambda k: f"this is line number {k} of a text"
+    passage, texts = [1, 2, 3], [[100, 1, 2, 3, 101, 1, 2, 3, 102], [110, 1, 2, 3, 111], [120, 1, 2, 3, 121], [13, 12, 11, 10], [10, 11, 12, 13], [10, 11, 12, 13]]
+    texts += [[200 + k, *passage, 300 + k, *passage, 400 + k] for k in range(3)] + [r.sample(range(20, 27), 6) for _ in range(20)]
+    own = [[2 * k + 1 for k in t] for t in texts]
+    want = [sorted({y for j in range(k) if set(own[j]) & set(t) for y in linededup.shared_lines(own[j], t)}) for k, t in enumerate(own)]
+    assert want[1] == want[2] == [1, 2, 3] and want[5] == [0, 1, 2, 3]
+    docs = spark.createDataFrame([(k, "\n".join(map(line, t))) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(linededup, "BOUND", bound)
+    got = {r["doc_id"]: sorted(r["lines"]) for r in linededup.repeated(docs).collect()}
+    assert got == {k: w for k, w in enumerate(want) if w}
+
+
 # 5
 
 
