@@ -372,6 +372,26 @@ def test_classes_against_all_pairs(spark):
     assert dict(zip(got.doc_id, got.class_id, strict=True)) == {int(x.doc_id[i]): least[find(i)] for i in range(len(x))}
 
 
+def test_classes_within_groups_of_a_shared_passage(spark):
+    """Texts that share a passage, and few of which are near copies, against all pairs with a sketch in common."""
+    r = random.Random(6)
+    own = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passage = own(102)
+    texts = [passage + own(r.choice([28, 28, 28, 90, 200])) for _ in range(40)]
+    texts += [[*t[:105], *own(25)] for t in texts[::4] if len(t) == 130]
+    raws = [" ".join(t).encode() for t in texts]
+    keys = nearcopies.sketches([nearcopies.labelled(nearcopies.shingles(nearcopies.words(x))) for x in raws]).tolist()
+    root = list(range(len(raws)))
+    for i in range(len(raws)):
+        for j in range(i):
+            if set(keys[i]) & set(keys[j]) and nearcopies.similar(raws[i], raws[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert len(set(root)) < len(raws)
+    got = nearcopies.near_copies(spark.createDataFrame([(k, x.decode()) for k, x in enumerate(raws)], "doc_id long, text string")).toPandas()
+    assert dict(zip(got.doc_id, got.class_id, strict=True)) == dict(enumerate(root))
+
+
 def test_near_copies_edges(odd, empty):
     got = nearcopies.near_copies(odd).toPandas()
     assert len(got) == len(ODD) and set(got[got.doc_id.isin([10, 11])].class_id) == {10} and set(got[got.doc_id.isin([7, 8])].class_id) == {7}
