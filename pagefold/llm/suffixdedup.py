@@ -1,15 +1,17 @@
 """Removal of byte strings that occur twice, by suffix arrays over shards.
 
-Every window of `width` bytes picks the least hash among its grams, the leftmost of equals; equal windows pick equal grams
-at the same place. The windows of a text that pick the same gram follow each other and make one segment. So equal windows
-lie in segments of one anchor hash, and only segments of anchors that occur twice are looked at further. Their bytes are
-dealt by anchor into shards of a bounded size, each of which gets a suffix array by induced sorting and permuted common
-prefixes: a window is repeated if its suffix shares width bytes with a neighbour. Each window lies in one segment of
-one shard, so every match found is one of two places, and none is missed.
-
-All segments of an anchor with many occurrences, short ones too, are cut into runs of a few windows each, and dealt by
-anchor, run and the bytes that all windows of the run share, so that equal windows stay together: what differs around a common passage then goes to different shards. Equal
-segments meet as one with a count.
+Equal texts are one text from the start: all of theirs repeats. Every window of `width` bytes picks the least hash among its
+grams, the leftmost of equals; equal windows pick equal grams at the same place. The windows of a text that pick the same
+gram follow each other and make one segment. So equal windows lie in segments of one anchor hash, and only segments of
+anchors that occur twice are looked at further. Where all segments of an anchor are equal, all their windows repeat.
+
+The other segments are cut into runs of GRAIN windows at most, by the windows' distance from the anchor, and dealt by anchor,
+run and the bytes that all windows of a run share. Equal windows have those in common, so they stay together, and what
+differs around a common passage goes to different shards. Equal runs meet as one with a count. Shards are brought together
+into tasks of a bounded size, each of which gets a suffix array by induced sorting and permuted common prefixes: a window is
+repeated if its suffix shares width bytes with a neighbour. Every window lies in one run of one shard, so none is missed.
+The windows of a shard of more than MANY different runs, as at the ends of a passage that very many texts share, are
+counted one by one instead, by 128-bit hashes of their bytes.
 """
 
 import functools
@@ -24,12 +26,10 @@ from pagefold.llm.common import read, written
 from pagefold.llm.suffixes import common_prefixes, suffix_array
 
 GRAM = 32
-#: Bytes that are hashed together, and bytes of a shard.
-STEP, SHARD = 1 << 20, 2 << 20
-#: Occurrences of an anchor from which its segments are cut into runs of so many windows.
-GRAINS = ((8_000, 8), (8_000_000, 1))
-#: The grain of anchors with fewer, whose segments stay whole.
-WHOLE = 1 << 16
+#: Bytes that are hashed together, and bytes of a task's runs.
+STEP, SHARD = 1 << 18, 1 << 20
+#: Windows of a run, and different runs of a shard, at most.
+GRAIN, MANY = 64, 4_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,15 +110,16 @@ def segments(docs, width: int):
         yield keys[part[a]], base[part[a]] + a - begin, b - a, h[pick[a]].astype(np.int64), pick[a] - a, hashes.of(a, b + width - 1).astype(np.int64)
 
 
-def _runs(first: int, count: int, lead: int, grain: int):
-    """The windows first..first+count of a segment whose anchor lies lead bytes after the first, cut where their distance
-    from the anchor passes a multiple of grain: (number of the run, first window, windows)."""
-    t = 0
-    while t < count:
-        run = (lead - t) // grain
-        n = min(count - t, lead - t - run * grain + 1)
-        yield run, first + t, n
-        t += n
+def runs_of(first: np.ndarray, count: np.ndarray, lead: np.ndarray, grain: int) -> tuple[np.ndarray, ...]:
+    """The windows first..first+count of segments whose anchors lie lead bytes after the first, cut where their distance
+    from the anchor passes a multiple of grain: (segment, number of the run, first window, windows)."""
+    top = lead // grain
+    m = top - (lead - count + 1) // grain + 1
+    own = np.repeat(np.arange(len(first)), m)
+    run = top[own] - (np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m))
+    far = lead[own] - run * grain
+    a = np.maximum(0, far - grain + 1)
+    return own, run, first[own] + a, np.minimum(count[own] - 1, far) - a + 1
 
 
 def matched(raws: list[bytes], counts: list[int], width: int) -> list[list[tuple[int, int]]]:
@@ -154,114 +155,125 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row's own key: of its id and text, so that rows that repeat both are alike, and others apart."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+def node(text_col: str):
+    """128 bits that stand for a text (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _rows(batches):
+ANCHORS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64())])
+PIECES = pa.schema([("shard", pa.int64()), ("hash", pa.int64()), ("windows", pa.int32()), ("raw", pa.binary()), ("n", pa.int64()), ("id", pa.int64()), ("first", pa.int64())])
+RUNS = pa.schema([("shard", pa.int64()), ("hash", pa.int64()), ("windows", pa.int32()), ("runs", pa.list_(pa.int32()))])
+KEY = ["shard", "hash", "windows"]
+
+
+def _cut(batches, width: int):
+    """id, raw, s (segments): a row with raw for each different run among so many, and one with id and first for each
+    occurrence."""
     for b in batches:
-        yield from ((k, r.as_py()) for k, r in zip(b.column("key").to_pylist(), b.column("raw"), strict=True))
+        own, ends = b.column("s").values, b.column("s").offsets.to_numpy()
+        at, anchor = own.field("at").to_numpy(), own.field("anchor").to_numpy().view(np.uint64)
+        first, count, lead = at >> 16, at >> 8 & 255, at & 255
+        ids = b.column("id").to_numpy()
+        for group in _parts(((k, r.as_py()) for k, r in enumerate(b.column("raw"))), width):
+            data = b"".join(p for _, _, p in group)
+            hashes, base, held, shift = Hashes(np.frombuffer(data, np.uint8)), 0, [], []
+            for k, a, part in group:
+                here = ends[k] + np.flatnonzero(first[ends[k] : ends[k + 1]] // STEP == a // STEP)
+                held.append(here)
+                shift.append(np.full(len(here), base - a))
+                base += len(part)
+            here, shift = np.concatenate(held), np.concatenate(shift)
+            seg, run, start, n = runs_of(first[here] + shift, count[here], lead[here], GRAIN)
+            shared = (first[here] + shift + lead[here])[seg] - run * GRAIN  # where the last window of a whole run begins
+            core = hashes.of(shared, shared - GRAIN + 1 + width)
+            shard = _mix(anchor[here][seg] ^ _mix(core + run.astype(np.uint64) * MIX)).view(np.int64)
+            digest = hashes.of(start, start + n - 1 + width).view(np.int64)
+            own_ids = np.repeat(ids[[k for k, _, _ in group]], [len(h) for h in held])[seg]
+            none = [None] * len(seg)
+            yield _batch(PIECES, shard, digest, n.astype(np.int32), none, none, own_ids, start - shift[seg])
+            order = np.lexsort((n, digest, shard))
+            new = np.append(True, (np.diff(shard[order]) != 0) | (np.diff(digest[order]) != 0) | (np.diff(n[order]) != 0))[: len(order)]
+            one, times = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+            for x in range(0, len(one), 5000):
+                k = one[x : x + 5000]
+                raws = [data[i : i + c - 1 + width] for i, c in zip(start[k].tolist(), n[k].tolist(), strict=True)]
+                none = [None] * len(k)
+                yield _batch(PIECES, shard[k], digest[k], n[k].astype(np.int32), raws, times[x : x + 5000], none, none)
+
+
+def _sorted(table: pa.Table, width: int) -> pa.Table:
+    """The runs of windows that repeat, of each run of some shards."""
+    own: dict[tuple[int, int, int], list] = {}
+    for s, h, w, raw, n in zip(*(table.column(c).to_pylist() for c in (*KEY, "raw", "n")), strict=True):
+        if v := own.get((s, h, w)):
+            v[1] += n
+        else:
+            own[s, h, w] = [raw, n]
+    # a run that is all there is of its shard has nothing to be sorted among: only its own copies repeat it
+    alike = Counter(s for s, _, _ in own)
+    rows = [(*k, [0, k[2]]) for k, v in own.items() if alike[k[0]] == 1 and v[1] > 1]
+    if several := {k: v for k, v in own.items() if alike[k[0]] > 1}:
+        hit = matched([v[0] for v in several.values()], [v[1] for v in several.values()], width)
+        rows += [(*k, [x for r in m for x in r]) for k, m in zip(several, hit, strict=True) if m]
+    return pa.Table.from_batches([_batch(RUNS, *zip(*rows, strict=True))] if rows else [], RUNS)
 
 
-def repeated(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (see _keyed) and spans: arrays of from, to, the byte ranges covered by windows that occur elsewhere too, in any
-    order; rows without any are left out."""
-    if width < 2 * GRAM:
-        raise ValueError(f"width must be {2 * GRAM} bytes at least")
-    spark = docs.sparkSession
-    keyed = _keyed(docs, id_col, text_col)
-    found = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64())])
+def _singly(pieces: DataFrame, width: int) -> DataFrame:
+    """The same for runs of large shards, by counting each window among all."""
+    import hashlib
 
-    def anchors(batches):
-        for key, first, count, anchor, lead, own in segments(_rows(batches), width):
-            yield _batch(found, key, first << 16 | count << 8 | lead, anchor, own)
-
-    if width - GRAM >= 256:
-        raise ValueError(f"width must be under {256 + GRAM} bytes")
-    all_ = keyed.mapInArrow(anchors, "key long, at long, anchor long, hash long")
-    twice = written(all_.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    grain = F.lit(WHOLE)
-    for n, g in GRAINS:
-        grain = F.when(F.col("n") >= n, F.lit(g)).otherwise(grain)
-    held = all_.join(twice, "anchor").select("key", F.struct("at", "anchor", "hash", grain.alias("grain")).alias("s")).groupBy("key").agg(F.collect_list("s").alias("s"))
-
-    import zstandard
-    from xxhash import xxh3_64_intdigest
-
-    def squeeze(batches):
-        z = zstandard.ZstdCompressor(3)
+    schema = pa.schema([*(RUNS.field(c) for c in KEY), ("k", pa.int32()), ("window", pa.binary()), ("n", pa.int64())])
+
+    def windows(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([z.compress(r.as_py()) for r in b.column("raw")], pa.binary())], ["key", "raw"])
+            for *key, raw, n in zip(*(b.column(c).to_pylist() for c in (*KEY, "raw", "n")), strict=True):
+                w = [hashlib.blake2b(raw[k : k + width], digest_size=16).digest() for k in range(key[2])]
+                yield _batch(schema, *([x] * len(w) for x in key), range(len(w)), w, [n] * len(w))
 
-    pieces = pa.schema([("shard", pa.int64()), ("hash", pa.int64()), ("windows", pa.int32()), ("raw", pa.binary()), ("n", pa.int64()), ("key", pa.int64()), ("first", pa.int64())])
+    alike = pieces.groupBy(*KEY).agg(F.first("raw").alias("raw"), F.sum("n").alias("n"))
+    each = written(alike.mapInArrow(windows, "shard long, hash long, windows int, k int, window binary, n long"), "windows")
+    twice = each.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window")
+    return each.join(twice, "window").groupBy(*KEY).agg(F.flatten(F.collect_list(F.array("k", F.col("k") + 1))).alias("runs"))
 
-    def cut(batches):
-        """A row with raw for each different segment among so many, and one with key and first for each occurrence."""
-        z = zstandard.ZstdDecompressor()
-        seen: dict[tuple[int, int, int], list] = {}
-        size = 0
 
-        def flush():
-            rows = list(zip(*((*k, *v) for k, v in seen.items()), strict=True))
-            for a in range(0, len(rows[0]) if rows else 0, 5000):
-                c = [x[a : a + 5000] for x in rows]
-                yield _batch(pieces, *c, [None] * len(c[0]), [None] * len(c[0]))
-            seen.clear()
+def repeated(docs: DataFrame, width: int = 200, text_col: str = "text") -> DataFrame:
+    """node (see node()) and spans: arrays of from, to, the byte ranges of a text covered by windows that occur elsewhere too,
+    in any order; texts without any are left out."""
+    if not max(2 * GRAM, GRAIN) <= width < 255 + GRAM:
+        raise ValueError(f"width must be {max(2 * GRAM, GRAIN)} to {254 + GRAM} bytes")
+    raw = docs.select(node(text_col).alias("node"), F.col(text_col).cast("binary").alias("raw")).filter(F.octet_length("raw") >= width)
+    texts = written(raw.groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "texts")
 
+    def anchors(batches):
         for b in batches:
-            own, ends = b.column("s").values, b.column("s").offsets.to_pylist()
-            at, anchor, digest, grain = (own.field(c).to_numpy() for c in ("at", "anchor", "hash", "grain"))
-            first, count, lead = at >> 16, at >> 8 & 255, at & 255
-            for key, raw, x, y in zip(b.column("key").to_pylist(), b.column("raw"), ends, ends[1:], strict=False):
-                raw, z_ = z.decompress(raw.as_py()), slice(x, y)
-                whole = grain[z_] == WHOLE
-                places = list(zip(*(c[z_][whole].tolist() for c in (anchor, digest, count, first)), strict=True))
-                for k in np.flatnonzero(~whole) + x:
-                    begin, g = int(first[k]), int(grain[k])
-                    for run, t, n in _runs(begin, int(count[k]), int(lead[k]), g):
-                        common = begin + int(lead[k]) - run * g  # where the last window of a whole run begins
-                        core = xxh3_64_intdigest(raw[common : common - g + 1 + width], run)
-                        places.append((int(anchor[k]) ^ core - (1 << 63), xxh3_64_intdigest(raw[t : t + n - 1 + width]) - (1 << 63), n, t))
-                for k in places:
-                    if held_ := seen.get(k[:3]):
-                        held_[1] += 1
-                    else:
-                        seen[k[:3]] = [raw[k[3] : k[3] + k[2] - 1 + width], 1]
-                        size += k[2] + width + 200
-                c = list(zip(*places, strict=True))
-                yield _batch(pieces, *c[:3], [None] * len(places), [None] * len(places), [key] * len(places), c[3])
-                if size > 24 << 20:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    both = held.join(keyed.mapInArrow(squeeze, "key long, raw binary"), "key").select("key", "raw", "s")
-    cut_ = written(both.mapInArrow(cut, "shard long, hash long, windows int, raw binary, n long, key long, first long"), "segments")
-    total = cut_.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    runs = pa.schema([("shard", pa.int64()), ("hash", pa.int64()), ("windows", pa.int32()), ("runs", pa.list_(pa.int32()))])
-
-    def sort(table: pa.Table) -> pa.Table:
-        own: dict[tuple[int, int, int], list] = {}
-        for s, h, w, raw, n in zip(*(table.column(c).to_pylist() for c in ("shard", "hash", "windows", "raw", "n")), strict=True):
-            if v := own.get((s, h, w)):
-                v[1] += n
-            else:
-                own[s, h, w] = [raw, n]
-        # a segment that is all there is of its anchor has nothing to be sorted among: only its own copies repeat it
-        alike = Counter(s for s, _, _ in own)
-        rows = [(*k, [0, k[2]]) for k, v in own.items() if alike[k[0]] == 1 and v[1] > 1]
-        if several := {k: v for k, v in own.items() if alike[k[0]] > 1}:
-            hit = matched([v[0] for v in several.values()], [v[1] for v in several.values()], width)
-            rows += [(*k, [x for r in m for x in r]) for k, m in zip(several, hit, strict=True) if m]
-        return pa.Table.from_batches([_batch(runs, *zip(*rows, strict=True))] if rows else [], runs)
-
-    dealt = cut_.filter("raw is not null").select("shard", "hash", "windows", "raw", "n", F.pmod(F.xxhash64("shard"), F.lit(shards)).alias("task"))
-    hits = written(dealt.groupBy("task").applyInArrow(sort, "shard long, hash long, windows int, runs array<int>"), "runs")
-    own = cut_.filter("key is not null").select("shard", "hash", "windows", "key", "first").join(hits, ["shard", "hash", "windows"])
-    spans = own.select("key", F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: F.array(F.col("first") + F.get("runs", k), F.col("first") + F.get("runs", k + 1) + (width - 1))).alias("s"))
-    return written(spans.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans")), "spans")
+            rows = ((k, r.as_py()) for k, r in zip(b.column("id").to_pylist(), b.column("raw"), strict=True))
+            for id_, first, count, anchor, lead, own in segments(rows, width):
+                yield _batch(ANCHORS, id_, first << 16 | count << 8 | lead, anchor, own)
+
+    all_ = written(texts.select("id", "raw").mapInArrow(anchors, "id long, at long, anchor long, hash long"), "anchors")
+    alike = F.struct("hash", F.expr("at & 65535"))
+    twice = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min(alike).alias("x"), F.max(alike).alias("y")).filter("n > 1")
+    held = written(all_.join(twice.select("anchor", (F.col("x") != F.col("y")).alias("several")), "anchor").select("id", "at", "anchor", "several"), "held")
+    cut = held.filter("several").groupBy("id").agg(F.collect_list(F.struct("at", "anchor")).alias("s")).join(texts.select("id", "raw"), "id")
+    pieces = written(cut.select("id", "raw", "s").mapInArrow(lambda b: _cut(b, width), "shard long, hash long, windows int, raw binary, n long, id long, first long"), "pieces")
+    runs = pieces.filter("raw is not null").select(*KEY, "raw", "n")
+    total = runs.agg(F.sum(F.octet_length("raw"))).first()[0]
+    large = written(runs.groupBy("shard").agg(F.count("*").alias("k")).filter(F.col("k") > MANY).select("shard"), "large")
+    tasks = max(1, -(-(total or 0) // SHARD))
+    small = runs.join(large.hint("merge"), "shard", "left_anti") if large.head(1) else runs
+    dealt = small.withColumn("task", F.pmod(F.xxhash64("shard"), F.lit(tasks)))
+    hits = dealt.groupBy("task").applyInArrow(lambda t: _sorted(t, width), "shard long, hash long, windows int, runs array<int>")
+    if large.head(1):
+        hits = hits.unionByName(_singly(runs.join(large.hint("merge"), "shard", "left_semi"), width))
+    hits = written(hits, "runs")
+    span = lambda a, b: F.array(F.col("first") + a, F.col("first") + b + (width - 1))
+    found = pieces.filter("id is not null").select(*KEY, "id", "first").join(hits, KEY)
+    found = found.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda k: span(F.get("runs", k), F.get("runs", k + 1)))).alias("s"))
+    whole = held.filter("not several").select("id", F.shiftright("at", 16).alias("first"), F.shiftright("at", 8).bitwiseAND(F.lit(255)).alias("n")).select("id", span(F.lit(0), F.col("n")).alias("s"))
+    spans = found.unionByName(whole).groupBy("id").agg(F.collect_list("s").alias("spans"))
+    copies = F.when(F.col("n") > 1, F.array(F.array(F.lit(0).cast("long"), F.octet_length("raw").cast("long"))))
+    out = texts.select("id", "node", copies.alias("all")).join(spans, "id", "left").select("node", F.coalesce("all", "spans").alias("spans"))
+    return written(out.filter("spans is not null"), "spans")
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -284,17 +296,18 @@ def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def cut_out(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
+def cut_out(docs: DataFrame, width: int = 200, text_col: str = "text", characters: bool = False) -> DataFrame:
     """All columns of docs, and kept (binary, the bytes that stay), n_removed and n_spans (long).
 
     Every byte covered by a string of width bytes that also starts anywhere else goes, from each of the places, in the
     same row too; strings never cross rows and are judged on the input. A null text counts as empty. Repeated rows are
-    each other's repeats. With characters, those cut by the edge of a span stay whole. Rows' keys, anchors and segments
-    are told apart by 64-bit hashes.
+    each other's repeats. With characters, those cut by the edge of a span stay whole. Columns of docs may have any names;
+    those called kept, n_removed and n_spans are replaced. An empty table gives no rows. Texts are told apart by 128 bits,
+    and so are segments and runs.
     """
-    spans = repeated(docs, width, id_col, text_col).hint("merge")  # its size grows with docs
+    spans = repeated(docs, width, text_col).hint("merge")  # its size grows with docs
     columns = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
-    d = docs.select(*columns, F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key")).join(spans.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "__key", "left")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), node(text_col).alias("node")).join(spans, "node", "left")
 
     @F.pandas_udf("struct<kept binary, n_removed long, n_spans long>")
     def cut(raw, spans):
@@ -309,8 +322,8 @@ def cut_out(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col:
             out.append((b"".join(r[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)), sum(b - a for a, b in gone), len(gone)))
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
 
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return d.withColumn("__cut", cut(raw, F.coalesce(F.col("__spans"), F.array().cast("array<array<bigint>>")))).select(*columns, "__cut.kept", "__cut.n_removed", "__cut.n_spans")
+    with_ = d.withColumn("cut", cut("raw", F.coalesce("spans", F.array().cast("array<array<bigint>>"))))
+    return with_.select(*(F.col("row").getField(c).alias(c) for c in columns), "cut.kept", "cut.n_removed", "cut.n_spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -423,37 +423,54 @@ def test_suffix_arrays(monkeypatch):
             assert (before[b], shared[b]) == (a, n_)
 
 
-@pytest.mark.parametrize("grains", [((10**9, 8),), ((3, 8), (12, 1))])
-def test_repeated_bytes(spark, monkeypatch, grains):
-    monkeypatch.setattr(suffixdedup, "GRAINS", grains)
+def brute_repeats(rows, width=200):
+    raws = [(t or "").encode() for _, t in rows]
+    count = collections.Counter(raw[i : i + width] for raw in raws for i in range(len(raw) - width + 1))
+    want = []
+    for (d, _), raw in zip(rows, raws, strict=True):
+        spans = suffixdedup.union([(i, i + width) for i in range(len(raw) - width + 1) if count[raw[i : i + width]] > 1])
+        kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)], strict=True))
+        want.append((-1 if d is None else d, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+    return sorted(want)
+
+
+def cut_rows(spark, rows):
+    got = suffixdedup.cut_out(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("coalesce(doc_id, -1)", "n_removed", "n_spans", "sha2(kept, 256)")
+    return sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("grain, many", [(64, 4_000), (8, 3), (64, 1)])
+def test_repeated_bytes(spark, monkeypatch, grain, many):
+    monkeypatch.setattr(suffixdedup, "GRAIN", grain)
+    monkeypatch.setattr(suffixdedup, "MANY", many)
     r = random.Random(3)
     words = lambda n: "".join(r.choice(["th", "er", "né", "and ", ". ", "\n", "日"]) for _ in range(n))
     passages = [words(150), words(150), "ab" * 200, "a" * 500]
     rows = [(i, words(r.randint(0, 200)) + "".join(p[(a := r.randint(0, len(p))) : a + r.randint(100, 400)] + words(r.randint(0, 60)) for p in r.sample(passages, 2))) for i in range(40)]
     rows += [(None, words(200)), (None, None), (70, ""), (70, rows[3][1]), (3, rows[3][1])]
-    raws, count = [(t or "").encode() for _, t in rows], collections.Counter()
-    for raw in raws:
-        count.update(raw[i : i + 200] for i in range(len(raw) - 199))
-    want = []
-    for (d, _), raw in zip(rows, raws, strict=True):
-        spans = suffixdedup.union([(i, i + 200) for i in range(len(raw) - 199) if count[raw[i : i + 200]] > 1])
-        kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)], strict=True))
-        want.append((-1 if d is None else d, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-    got = suffixdedup.cut_out(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("coalesce(doc_id, -1)", "n_removed", "n_spans", "sha2(kept, 256)").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert cut_rows(spark, rows) == brute_repeats(rows)
 
 
-def test_short_segments_of_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "GRAINS", ((3, 8), (10**6, 1)))
+@pytest.mark.parametrize("many", [4_000, 5])
+def test_windows_at_the_ends_of_passages(spark, monkeypatch, many):
+    """Long and short shares of a passage that many texts have, brought together in small tasks."""
+    monkeypatch.setattr(suffixdedup, "MANY", many)
     monkeypatch.setattr(suffixdedup, "SHARD", 500)
     r = random.Random(5)
     words = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     p = words(500)
     rows = [(i, words(50) + p[(a := r.randint(0, 290)) : a + 200 + (i % 7)] + words(50)) for i in range(40)] + [(i, words(50) + p + words(50)) for i in range(40, 44)]
-    count = collections.Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
-    want = [(d, sum(b - a for a, b in suffixdedup.union([(i, i + 200) for i in range(len(t) - 199) if count[t[i : i + 200]] > 1]))) for d, t in rows]
-    got = suffixdedup.cut_out(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()
-    assert sorted(map(tuple, got)) == want
+    assert cut_rows(spark, rows) == brute_repeats(rows)
+
+
+def test_an_anchor_of_many_texts(spark):
+    """At the shipped settings: a passage in 9,000 texts, each of which goes on in its own way; equal rows; a long text."""
+    r = random.Random(9)
+    words = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, long = words(230), words(3_000_000)
+    rows = [(i, f"{i} {p[i % 3 :]} {i * 7919}") for i in range(9_000)] + [(10_000 + i, words(210)) for i in range(3)]
+    rows += [(20_000, p * 2)] * 200 + [(30_000, long), (30_001, words(90) + long[1_000_000:1_400_000] + words(90))]
+    assert cut_rows(spark, rows) == brute_repeats(rows)
 
 
 def test_repeated_bytes_edges(odd, empty):
