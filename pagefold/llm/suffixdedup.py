@@ -251,9 +251,12 @@ def repeated(docs: DataFrame, width: int = 200, text_col: str = "text") -> DataF
                 yield _batch(ANCHORS, id_, first << 16 | count << 8 | lead, anchor, own)
 
     all_ = written(texts.select("id", "raw").mapInArrow(anchors, "id long, at long, anchor long, hash long"), "anchors")
-    alike = F.struct("hash", F.expr("at & 65535"))
-    twice = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min(alike).alias("x"), F.max(alike).alias("y")).filter("n > 1")
-    held = written(all_.join(twice.select("anchor", (F.col("x") != F.col("y")).alias("several")), "anchor").select("id", "at", "anchor", "several"), "held")
+    bounds = F.col("at").bitwiseAND(F.lit(65535))
+    least = [f(c) for f in (F.min, F.max) for c in ("hash", bounds)]
+    seen = all_.groupBy("anchor").agg(F.count("*").alias("n"), *(x.alias(c) for c, x in zip("abcd", least, strict=True))).filter("n > 1")
+    # written, so that the join below deals both sides itself and can split a hot anchor
+    twice = written(seen.select("anchor", F.expr("a <> c or b <> d").alias("several")), "twice")
+    held = written(all_.join(twice.hint("merge"), "anchor").select("id", "at", "anchor", "several"), "held")
     cut = held.filter("several").groupBy("id").agg(F.collect_list(F.struct("at", "anchor")).alias("s")).join(texts.select("id", "raw"), "id")
     pieces = written(cut.select("id", "raw", "s").mapInArrow(lambda b: _cut(b, width), "shard long, hash long, windows int, raw binary, n long, id long, first long"), "pieces")
     runs = pieces.filter("raw is not null").select(*KEY, "raw", "n")

@@ -342,7 +342,7 @@ def test_alignment():
         b = [r.randint(0, 8) if r.random() < 0.1 else x for x in a if r.random() < 0.93] or [1]
         x, y = np.array(a), np.array(b)
         assert nearcopies.aligned(x, y) == (common(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9)
-        assert nearcopies.chained(x, y) <= common(a, b)
+        assert nearcopies.chained(x, y) <= common(a, b) == nearcopies.in_order(a, b)
 
 
 @tables
@@ -372,12 +372,20 @@ def test_classes_against_all_pairs(spark):
     assert dict(zip(got.doc_id, got.class_id, strict=True)) == {int(x.doc_id[i]): least[find(i)] for i in range(len(x))}
 
 
-def test_classes_within_groups_of_a_shared_passage(spark):
+def classes(spark, texts):
+    got = nearcopies.near_copies(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).toPandas()
+    assert got.groupby("class_id").kept.sum().eq(1).all()
+    return dict(zip(got.doc_id, got.class_id, strict=True))
+
+
+@pytest.mark.parametrize("listed", [1_000, 12])
+def test_classes_within_groups_of_a_shared_passage(spark, monkeypatch, listed):
     """Texts that share a passage, and few of which are near copies, against all pairs with a sketch in common."""
+    monkeypatch.setattr(nearcopies, "LISTED", listed)
     r = random.Random(6)
     own = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
     passage = own(102)
-    texts = [passage + own(r.choice([28, 28, 28, 90, 200])) for _ in range(40)]
+    texts = [passage + own(r.choice([28, 28, 28, 90, 200, 900])) for _ in range(40)]
     texts += [[*t[:105], *own(25)] for t in texts[::4] if len(t) == 130]
     raws = [" ".join(t).encode() for t in texts]
     keys = nearcopies.sketches([nearcopies.labelled(nearcopies.shingles(nearcopies.words(x))) for x in raws]).tolist()
@@ -388,20 +396,56 @@ def test_classes_within_groups_of_a_shared_passage(spark):
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
     assert len(set(root)) < len(raws)
-    got = nearcopies.near_copies(spark.createDataFrame([(k, x.decode()) for k, x in enumerate(raws)], "doc_id long, text string")).toPandas()
-    assert dict(zip(got.doc_id, got.class_id, strict=True)) == dict(enumerate(root))
+    assert classes(spark, texts) == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("listed, least", [(1_000, 400), (200, 396)])
+def test_near_copies_among_texts_of_one_passage(spark, monkeypatch, listed, least):
+    """400 pairs with one word in 20 changed, and three quarters of all texts' words in common."""
+    monkeypatch.setattr(nearcopies, "LISTED", listed)
+    r = random.Random(12)
+    own = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passage, texts = own(152), []
+    for _ in range(400):
+        texts.append(passage + own(48))
+        texts.append([x if r.random() > 0.05 else f"c{r.randint(0, 10**6)}" for x in texts[-1]])
+    got = classes(spark, texts)
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(400)) >= least
+    assert len(set(got.values())) >= 396
+
+
+def test_long_near_copies(spark):
+    """Texts of over 2 MB, one word in 50 changed; and of other words."""
+    r = random.Random(13)
+    long = [f"w{r.randint(0, 10**5)}" for _ in range(300_000)]
+    got = classes(spark, [long, [x if k % 50 else "c" for k, x in enumerate(long)], long[150_000:], long[::-1]])
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_pairs_of_a_group():
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, 1 << 62, n, np.uint64) for n in (100, 600, 1200)]
+    texts += [np.where(r.random(len(t)) < 0.1, r.integers(0, 1 << 62, len(t), np.uint64), t) for t in texts] + [texts[1][:520]]
+    n, bits = np.array(list(map(len, texts))), [np.array(nearcopies.bit_set(t), np.int64) for t in texts]
+    assert {len(b) for b in bits} == {16, 32, 64}
+    assert np.argwhere(np.triu(np.isfinite(nearcopies.possible(n, bits, [*"abcdefg"])))).tolist() == [[0, 3], [1, 4], [1, 6], [2, 5], [4, 6]]
+    weight = nearcopies.possible(n, bits, [*"abcdebg"])
+    assert sorted(map(sorted, nearcopies.forest(weight, [*"abcdebg"]))) in ([[0, 3], [1, 4], [1, 6], [2, 5]], [[0, 3], [1, 6], [2, 5], [4, 6]])
 
 
 def test_near_copies_edges(odd, empty):
     got = nearcopies.near_copies(odd).toPandas()
     assert len(got) == len(ODD) and set(got[got.doc_id.isin([10, 11])].class_id) == {10} and set(got[got.doc_id.isin([7, 8])].class_id) == {7}
-    assert got[got.doc_id.isna()].kept.all() and nearcopies.near_copies(empty).count() == 0
+    assert got.kept.sum() == got.groupby("class_id", dropna=False).ngroups and got[got.doc_id.isna()].kept.all() and nearcopies.near_copies(empty).count() == 0
 
 
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 3)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    roots = components.joined(None, table([(1, 2), (5, 6), (8, 9)]))
+    assert dict(components.joined(roots, table([(2, 6), (6, 20), (30, 31)])).collect()) == {1: 1, 2: 1, 5: 1, 6: 1, 20: 1, 8: 8, 9: 8, 30: 30, 31: 30}
 
 
 # 10
