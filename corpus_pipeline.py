@@ -24,10 +24,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the least doc_id."""
+    """One document of each class of near copies, the one with the least doc_id; of rows that repeat its id and text, one."""
     kept = common.written(nearcopies.near_copies(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct(), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("__node"))
-    return _documents(docs.join(kept, same, "left_semi"))
+    return _documents(docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
