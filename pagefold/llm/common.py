@@ -17,9 +17,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of this machine's only where none is set, as in tests."""
+    """The cluster's shared folder. One of this machine's only where none is set and all tasks run here, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,7 +36,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

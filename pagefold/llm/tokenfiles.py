@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.llm.chunks import Chunks, in_steps, slices
-from pagefold.llm.common import new_path, partitions, read, texts, written
+from pagefold.llm.common import new_path, read, texts, written
 
 MAGIC = b"SIMPLE8B"
 BLOCK = 1 << 16
@@ -134,66 +134,68 @@ def from_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if x else d for d, x in zip(doc_ids.tolist(), null, strict=True)], lengths.astype(np.int64), np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
-@functools.lru_cache(2)
-def coder(path: str, pattern: str) -> tuple[str, Chunks]:
-    """The type of an id, and the chunks of this worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Coder:
+    """The ids of texts as the library's encode(text, add_special_tokens=False) gives them."""
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    kind = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
+    def __init__(self, path: str, pattern: str, plain: bool = False):
+        """plain: the strings of added tokens in a text are ordinary text."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tokenize, code = t.model.tokenize, "H" if kind == "<u2" else "I"
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.added = [] if plain else [a.content for a in self.library.get_added_tokens_decoder().values()]
+        self.chunks = Chunks(self._new, pattern, 200_000)
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def _new(self, chunks: list[str]) -> list[bytes]:
         # what the library's own encode() does, less its account of where in the text each token came from
-        out, plain = [], VISIBLE[32]
+        tokenize, code, space = self.library.model.tokenize, "H" if self.kind == "<u2" else "I", VISIBLE[32]
+        out = []
         for c in chunks:
             if c[0] == " " and c[1:].isalpha():  # one match
-                word = plain + c[1:] if c.isascii() else c.encode().decode("latin-1").translate(VISIBLE)
+                word = space + c[1:] if c.isascii() else c.encode().decode("latin-1").translate(VISIBLE)
                 found = [x.id for x in tokenize(word)]
             else:
-                found = [x.id for p in known.matches(c) for x in tokenize(p.encode().decode("latin-1").translate(VISIBLE))]
+                found = [x.id for p in self.chunks.matches(c) for x in tokenize(p.encode().decode("latin-1").translate(VISIBLE))]
             out.append(struct.pack(f"<{len(found)}{code}", *found))
         return out
 
-    known = Chunks(encode, pattern)
-    return kind, known
+    def ids(self, texts: list[str]) -> list[bytes]:
+        whole = [any(a in t for a in self.added) for t in texts]  # the library cuts these at its added tokens first
+        found = iter(self.chunks.ids([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w else next(found) for t, w in zip(texts, whole, strict=True)]
+
+
+@functools.lru_cache(2)
+def coder(path: str, pattern: str, plain: bool) -> Coder:
+    """Of this worker."""
+    return Coder(path, pattern, plain)
 
 
-def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, file_ids: int = 1 << 22) -> DataFrame:
+def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, file_ids: int = 1 << 22, plain: bool = False) -> DataFrame:
     """Writes files to folder, a URI that executors can write to, and returns their manifest: range, part, file, n_docs,
     n_ids. Ascending doc_id (a long; null first) runs through the files in order of range and part.
 
-    The documents are encoded where they are read; their ids alone are shuffled, dealt by ranges of doc_id of about
-    docs_per_file rows. A file is closed at file_ids ids. Each is written under another name and then renamed, so a task
-    that is run again leaves the same files. A null or empty text has its end id alone; rows that repeat a doc_id
-    stand in the order of their ids; an empty table gives no file.
+    The documents are dealt by ranges of doc_id of about docs_per_file rows, encoded and written where they come to lie. A
+    file is closed at file_ids ids. Each is written under another name and then renamed, so a task that is run again
+    leaves the same files. A null or empty text has its end id alone; rows that repeat a doc_id stand in the order of a
+    hash of their texts, and may fill many ranges; an empty table gives no file. plain: the strings of the tokenizer's
+    added tokens are ordinary text; else they get their own ids, as by default in the library.
     """
-    d = texts(docs, id_col, text_col)
+    d = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = max(1, -(-d.count() // docs_per_file))
-    steps = [k / n for k in range(1, n)]
-    bounds = (d.agg(F.percentile_approx("doc_id", steps, min(10_000_000, 100 * n)).alias("b")).first()["b"] or []) if steps else []
-    bounds = np.array(sorted(set(bounds)), np.int64)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
     end = int(end_id)
 
-    def encode(batches):
-        kind, known = coder(path, pattern)
-        last = np.array([end], kind).tobytes()
-        for b in slices(batches):
-            ids = [i + last for step in in_steps(b.column("text").to_pylist()) for i in known.ids(step)]
-            doc = b.column("doc_id")
-            place = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), doc, pa.array(ids, pa.binary())], ["range", "doc_id", "ids"])
-
     def save(batches):
         from pyarrow import fs
 
-        kind, _ = coder(path, pattern)
+        known = coder(path, pattern, plain)
+        last = np.array([end], known.kind).tobytes()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        now, part, names, held, size = None, 0, [], [], 0
+        now, part, names, held, size = 0, 0, [], [], 0
 
         def close():
             nonlocal part, names, held, size
@@ -205,20 +207,22 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id
             part, names, held, size = part + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["range", "part", "file", "n_docs", "n_ids"])
 
-        for b in batches:
-            for place, doc, ids in zip(b.column("range").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if held and (place != now or size >= file_ids):
-                    yield close()
-                if place != now:
-                    now, part = place, 0
-                names.append(doc)
-                held.append(np.frombuffer(ids, kind))
-                size += len(held[-1])
+        for b in slices(batches, 500):
+            now = b.column("range")[0].as_py()
+            docs, at = b.column("doc_id").to_pylist(), 0
+            for step in in_steps(b.column("text").to_pylist(), 500_000):
+                for ids in known.ids(step):
+                    names.append(docs[at])
+                    held.append(np.frombuffer(ids + last, known.kind))
+                    size, at = size + len(held[-1]), at + 1
+                    if size >= file_ids:
+                        yield close()
         if held:
             yield close()
 
-    dealt = d.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(encode, "range long, doc_id long, ids binary").repartition(partitions(d.sparkSession), "range").sortWithinPartitions("range", "doc_id", "ids")
-    return written(dealt.mapInArrow(save, "range long, part long, file string, n_docs long, n_ids long"), "manifest")
+    dealt = d.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = dealt.select(F.spark_partition_id().cast("long").alias("range"), "doc_id", "text")
+    return written(ranged.mapInArrow(save, "range long, part long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def load(spark, folder: str, manifest: DataFrame) -> DataFrame:
