@@ -3,10 +3,11 @@
 Heuristic labellers vote good, bad or nothing on each text. Votes are counted by pattern over all texts, and expectation-
 maximisation over those counts (3 to the number of labellers at most) estimates how often each labeller is right on
 good and on bad texts. The posterior labels of a bounded sample then train a linear scorer over hashed words and
-word shapes, which decides on every text.
+word shapes, which decides on every text: executors train one on each part of the sample, and its weights are their mean.
 """
 
 import functools
+import math
 import re
 import zlib
 from operator import eq
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import read, texts, written
+from pagefold.llm.common import read
 
 BAD, NONE, GOOD = 0, 1, 2
-#: Texts that train the scorer at most (those of least hash of their id), and its hashed features.
-SAMPLE, FEATURES = 8_000, 1 << 14
-#: Texts of fewer words are not told apart: no labeller votes on them, and they get the share of good texts.
+#: Different texts that train the scorer at most, texts of a part of them, and the scorer's hashed features.
+SAMPLE, PART, FEATURES = 8_000, 1_000, 1 << 14
+#: No labeller votes on texts of fewer words; the fewer they have, the nearer they are scored to the share of good texts.
 FEW = 8
 
 # Common function words of the languages of the corpus.
@@ -71,8 +72,8 @@ def accuracies(patterns: dict[int, int], rounds: int = 100) -> tuple[float, np.n
     """The share of good texts, and the probability of each vote of each labeller on bad and on good texts."""
     if not patterns:
         return 0.5, np.full((LABELLERS, 2, 3), 1 / 3)
-    p = np.array(list(patterns), np.int64)
-    n = np.array(list(patterns.values()), float)
+    p = np.array(sorted(patterns), np.int64)
+    n = np.array([patterns[k] for k in sorted(patterns)], float)
     v = p[:, None] // 3 ** np.arange(LABELLERS - 1, -1, -1) % 3
     one = v[:, :, None] == np.arange(3)
     # at first a bad vote weighs as much as all good ones: most texts are good, and each kind of bad text has one labeller
@@ -140,7 +141,7 @@ class Scorer:
 
     def score(self, words: list[str]) -> float:
         """The probability that a text is good."""
-        if len(words) < FEW:
+        if not words:
             return self.share
         known, w = self.known, self.weights
         if len(known) > 300_000:
@@ -149,12 +150,16 @@ class Scorer:
             a, b = hashed(x)
             known[x] = w[a] + w[b]
         z = (sum(map(known.__getitem__, words)) + 2 * w[0] * sum(map(eq, words, words[1:]))) / len(words) + w[-1]
+        if len(words) < FEW:
+            share = min(max(self.share, 1e-6), 1 - 1e-6)
+            z = z * len(words) / FEW + math.log(share / (1 - share)) * (1 - len(words) / FEW)
         return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """All texts vote; SAMPLE of them train the scorer. Only pattern counts and the sample's features reach the driver."""
-    d = texts(docs, id_col, text_col)
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+    """All texts vote; sample different ones at most, those of least hash, train the scorer, each once however often it
+    is there. Only pattern counts and the weights of each part of the sample reach the driver."""
+    d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(batches):
         c: dict[int, int] = {}
@@ -164,27 +169,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scor
                 c[p] = c.get(p, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["pattern", "n"])
 
-    found = d.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    found = d.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     share, chance = accuracies({r["pattern"]: r["n"] for r in found})
-    chosen = d.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    key = F.xxhash64("text").alias("key")
+    most = d.select(key).distinct().orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+    if most is None:
+        return Scorer(_trained([]), float(share))
 
     def measured(batches):
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for k, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = text.split()
                 places, value = features(words)
                 good = float(posterior(share, chance, np.array([votes(words, text)]))[0])
-                yield pa.RecordBatch.from_arrays([pa.array([places.astype("<i4").tobytes()]), pa.array([value.astype("<f4").tobytes()]), pa.array([good])], ["places", "value", "good"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([places.astype("<i4").tobytes()]), pa.array([value.astype("<f4").tobytes()]), pa.array([good])], ["key", "places", "value", "good"])
+
+    rows = d.select(key, "text").filter(F.col("key") <= most).mapInArrow(measured, "key long, places binary, value binary, good double")
+    each = rows.groupBy("key").agg(F.first("places").alias("places"), F.first("value").alias("value"), F.first("good").alias("good"))
+    parts = max(1, -(-sample // PART))
+
+    def train(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("good", "places", "value")), strict=True))
+        w = _trained([(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float), g) for g, p, v in rows])
+        return pa.table({"n": [len(rows)], "w": [w.tolist()]})
+
+    trained = each.groupBy(F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(parts)).alias("part")).applyInArrow(train, "n long, w array<double>").collect()
+    return Scorer(_mean(trained), float(share))
+
 
-    sample = written(d.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(measured, "places binary, value binary, good double"), "sample")
-    rows = [(np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), r["good"]) for r in sample.orderBy("good", "places", "value").toLocalIterator()]
-    return Scorer(_trained(rows), float(share))
+def _mean(trained) -> np.ndarray:
+    """The weights of all parts, each by its number of texts."""
+    return sum(r["n"] * np.array(r["w"]) for r in sorted(trained, key=lambda r: r["w"])) / sum(r["n"] for r in trained)
 
 
 def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """All columns of docs, and quality (the probability of a good text) and keep (quality of least or more).
 
-    A null or empty text, or one of fewer than FEW words, has the share of good texts as its quality. Repeated rows are scored alike.
+    A null or empty text has the share of good texts as its quality. Repeated rows are scored alike; the id is not looked at.
+    Other columns stay; those called quality and keep are replaced. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
