@@ -21,8 +21,11 @@ from pagefold.llm.common import read, texts, written
 
 TOKENS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = (4, 5, 6, 7)
-#: Labelled texts that the model is fitted on at most, words and beginnings of the model at most, prior words in all and of each at least, and the drift of a word.
-SAMPLE, WORDS, PRIOR, FLOOR, DRIFT = 30_000, 50_000, 1000.0, 0.5, 0.4
+#: Labelled texts that the model is fitted on at most (a documented parameter), prior words in all and of each at least, and
+#: the drift of a word.
+SAMPLE, PRIOR, FLOOR, DRIFT = 30_000, 1000.0, 0.5, 0.4
+#: How sure (z value) the odds of a word or beginning must be to count; as the texts are bounded, so is the number of these.
+SURE = 3.5
 SIGNIFICANT = 0.05
 
 
@@ -106,11 +109,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """From SAMPLE rows at most of labels (doc_id, toxic), those of least hash; broadcast, as their number is bounded.
-    Without rows of both labels, no word scores."""
-    chosen = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = written(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """From sample rows at most of labels (doc_id, toxic), those of least hash; broadcast, as their number is bounded. An id
+    that is repeated counts once, with its greatest label and the least of its texts. Without rows of both labels, no word scores."""
+    chosen = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = written(found.select("text", "toxic"), "labelled")
 
     def count(batches):
         c = (Counter(), Counter())
@@ -131,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
     scored = counts.select("word", "clean", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
     # a word tells something if its odds are sure; others only drift
-    known = scored.filter("abs(z) >= 3.5").orderBy(F.desc(F.abs("z")), "word").limit(WORDS).collect()
+    known = scored.filter(F.abs("z") >= SURE).collect()
     model = Model({r["word"]: (abs(r["z"]), min(max(r["odds"], -2.0), 6.0)) for r in known}, 1.0, 1.0, np.zeros(3))
 
     def spread(batches):
@@ -167,9 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, score (0 to 1), and passages: from, to (in words) and score of each
-    significant segment. A null or empty text has none, and the score of a text without toxic words."""
+    significant segment. A null or empty text has none, and the score of a text without toxic words. Repeated rows give
+    repeated rows, ties in a passage's bounds go to the earlier one, a null doc_id stays null, other columns are not
+    carried, and an empty table gives no rows."""
     d = texts(docs, id_col, text_col)
-    sent = d.sparkSession.sparkContext.broadcast(model)  # WORDS words at most
+    sent = d.sparkSession.sparkContext.broadcast(model)  # the sure words of a bounded number of texts
 
     def run(batches):
         m = sent.value
@@ -187,7 +193,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # a null id has no label
     model = fit(docs, read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
     out = scored(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
