@@ -38,6 +38,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     order = np.argsort(own, axis=1, kind="stable")
     own = np.take_along_axis(own, order, axis=1)
     h = hashes(q)
+    # by powers of two, which is exact, so that no norm under- or overflows; the cosine stays the same
+    x, q = (np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0.0, keepdims=True))[1]) for v in (x, q))
     norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     low, high = np.zeros((TREES, len(q)), np.int64), np.full((TREES, len(q)), len(x))
     open_ = np.arange(len(q))
