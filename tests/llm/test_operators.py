@@ -127,13 +127,13 @@ def test_token_files(spark, odd, empty, tmp_path):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     folder = f"file://{tmp_path}/tokens"
-    manifest = tokenfiles.write(odd, path, P.PATTERN, folder, 2, docs_per_file=3, file_ids=4000)
+    own = odd.select("doc_id", "text", "key").union(spark.createDataFrame([(13, "a <|endoftext|> b<|endoftext|>", "k")], odd.select("doc_id", "text", "key").schema))
+    manifest = tokenfiles.write(own, path, P.PATTERN, folder, 2, docs_per_file=3, file_ids=4000)
     got = tokenfiles.load(spark, folder, manifest).orderBy("start").collect()
-    assert [r["doc_id"] for r in got] == [None, 7, 8, 9, 10, 10, 11, 12] and manifest.count() > 1
+    assert [r["doc_id"] for r in got] == [None, 7, 8, 9, 10, 10, 11, 12, 13] and manifest.count() > 1
     at = 0
-    for r, text in zip(got, [t or "" for _, t in ODD], strict=True):
+    for r, text in zip(got, [*[t or "" for _, t in ODD], "a <|endoftext|> b<|endoftext|>"], strict=True):
         want = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(want) // 4, zlib.crc32(want), want)
         at += len(want) // 4
@@ -141,16 +141,18 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert tokenfiles.load(spark, none, tokenfiles.write(empty, path, P.PATTERN, none, 2)).count() == 0
 
 
-def test_library_chunks():
+@pytest.mark.parametrize("plain", [False, True])
+def test_library_chunks(plain):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    kind, known = tokenfiles.coder(path, P.PATTERN)
-    texts = strings(800, seed=4) + LONG
+    t.encode_special_tokens = plain
+    known = tokenfiles.Coder(path, P.PATTERN, plain)
+    texts = [*strings(800, seed=4), *LONG, "a <|endoftext|> b", "<|endoftext|>"]
     for text, ids in zip(texts, known.ids(texts), strict=True):
-        assert np.frombuffer(ids, kind).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, known.kind).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert (50256 in np.frombuffer(known.ids(["a <|endoftext|> b"])[0], known.kind)) != plain
 
 
 # 3
@@ -177,9 +179,35 @@ def test_quality_against_labels(spark):
 def test_quality_edges(odd, empty):
     got = quality.scored(odd, quality.fit(odd)).toPandas()
     assert len(got) == len(ODD) and got[got.text.isna()].keep.all() and got.quality.between(0, 1).all()
+    assert quality.scored(odd.withColumnsRenamed({"n": "quality", "key": "keep"}), quality.fit(odd)).columns == ["doc_id", "text", "source", "quality", "keep"]
     assert quality.scored(empty, quality.fit(empty)).count() == 0
 
 
+def test_scorer_by_brute_force(spark, monkeypatch):
+    """Votes, posteriors, parts of the sample and their mean, in plain Python."""
+    monkeypatch.setattr(quality, "PART", 20)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["the", "of", "and", "house", "Garden", "walks", "is."]) for _ in range(r.randint(9, 60))) for _ in range(40)]
+    texts += [" ".join(r.choice(["#$%", "&&&", "BUY", "!!!"]) for _ in range(r.randint(9, 60))) for _ in range(20)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:7], None, "few words"]], "text string")
+    got = quality.fit(docs, sample=40)
+    counts = collections.Counter(quality.pattern(quality.votes((t or "").split(), t or "")) for t in [*texts, *texts[:7], None, "few words"])
+    share, chance = quality.accuracies(counts)
+    key = {t["text"]: (t["k"], t["p"]) for t in docs.na.fill("").distinct().selectExpr("text", "xxhash64(text) as k", "pmod(xxhash64('part', xxhash64(text)), 2) as p").collect()}
+    chosen, total, n = sorted(key, key=lambda t: key[t][0])[:40], 0, 0
+    for part in (0, 1):
+        rows = [(float(quality.posterior(share, chance, np.array([quality.votes(t.split(), t)]))[0]), *quality.features(t.split())) for t in chosen if key[t][1] == part]
+        rows = sorted((g, p.astype("<i4").tobytes(), v.astype("<f4").tobytes()) for g, p, v in rows)
+        total = total + len(rows) * quality._trained([(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float), g) for g, p, v in rows])
+        n += len(rows)
+    assert n == 40 and np.allclose(got.weights, total / n) and got.share == share
+    assert all(got.score(t.split()) > 0.5 for t in texts[:40]) and all(got.score(t.split()) < 0.5 for t in texts[40:])
+    w = np.array(got.weights)
+    for t in texts[::9]:
+        p, v = quality.features(t.split())
+        assert abs(got.score(t.split()) - 1 / (1 + np.exp(-(w[p] @ v + w[-1])))) < 1e-9
+
+
 # 4
 
 
@@ -304,6 +332,8 @@ def test_vectors_that_take_no_part(spark):
     many = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(1, 300)] + [(300, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in ann.nearest(many, many.filter("vec_id = 300")).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
+    far = spark.createDataFrame([(50, [2.0**-700, 0.0]), (1, [3 * 2.0**-700, 2.0**-698]), (2, [3 * 2.0**700, 2.0**702]), (3, [1e-320, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[2:] for r in ann.nearest(far, far.filter("vec_id = 50")).orderBy("rank").collect()] == [(3, 1.0), (1, 0.6), (2, 0.6)]
 
 
 # 7
