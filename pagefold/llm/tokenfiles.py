@@ -28,6 +28,8 @@ BLOCK = 1 << 16
 #: Ids of a word and their width, by selector from 1; 0 is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([1] + [c for c, _ in SELECTORS] + [0])
+#: The width of each value under 2 to the 16.
+WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _visible() -> dict[int, str]:
@@ -49,17 +51,15 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.zeros(0, np.uint64)
-    width = np.frexp(v.astype(np.float64))[1] if v.max() < 1 << 53 else np.searchsorted(np.array([1 << k for k in range(64)], np.uint64), v, "right")
+    width = WIDTHS[v.astype(np.uint16)] if v.max() < 1 << 16 else np.frexp(v.astype(np.float64))[1] if v.max() < 1 << 53 else np.searchsorted(np.array([1 << k for k in range(64)], np.uint64), v, "right")
     chosen = np.zeros(n, np.int8)
     for s, (count, bits) in reversed(list(enumerate(SELECTORS, 1))):
-        over = width > bits
-        bad = np.flatnonzero(over)
-        if len(bad) and max(bad[0], n - 1 - bad[-1] + count * (bad[-1] < n - 1), np.diff(bad).max(initial=1) - 1) < count:
-            continue  # no such run
-        wide = np.zeros(n + count + 1, np.int32)
-        np.cumsum(over, out=wide[1 : n + 1])
-        wide[n + 1 :] = wide[n]
-        chosen[wide[count : n + count] == wide[:n]] = s
+        run, have = np.ones(n + count, bool), 1  # where so many values from here on fit; what follows the last one fits
+        np.less_equal(width, bits, out=run[:n])
+        while have < count:
+            step = min(have, count - have)
+            run, have = run[:-step] & run[step:], have + step
+        chosen[run[:n]] = s
     follows = (np.arange(n) + COUNTS[chosen]).tolist()
     starts, i = [], 0
     while i < n:
@@ -146,7 +146,7 @@ class Coder:
         self.library.encode_special_tokens = plain
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.added = [] if plain else [a.content for a in self.library.get_added_tokens_decoder().values()]
-        self.chunks = Chunks(self._new, pattern, 200_000)
+        self.chunks = Chunks(self._new, pattern)
 
     def _new(self, chunks: list[str]) -> list[bytes]:
         # what the library's own encode() does, less its account of where in the text each token came from
@@ -210,7 +210,7 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id
         for b in slices(batches, 500):
             now = b.column("range")[0].as_py()
             docs, at = b.column("doc_id").to_pylist(), 0
-            for step in in_steps(b.column("text").to_pylist(), 500_000):
+            for step in in_steps(b.column("text").to_pylist(), 1_000_000):
                 for ids in known.ids(step):
                     names.append(docs[at])
                     held.append(np.frombuffer(ids + last, known.kind))
