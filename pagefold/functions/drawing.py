@@ -11,6 +11,8 @@ FONTS = {
     "SYMBOL": "Symbol", "ZAPF_DINGBATS": "ZapfDingbats",
 }
 STAMP_CHARACTERS, STAMP_SIZE, SIGNATURE_SCALE = 30, 60.0, 0.3
+# What a form offers for stamps.
+STAMP_TURN, STAMP_OPACITY = (0, 90), (10, 80)
 
 
 def font(name: Column) -> Column:
@@ -33,8 +35,8 @@ def rgb(colour: Column) -> Column:
 
 
 def gray(opacity: Column) -> Column:
-    """Opacity as a shade of gray; null outside 0..255."""
-    shade = F.floor(F.lit(255.0) * (F.lit(1.0) - opacity)).cast("int")
+    """Opacity as a shade of gray, computed in 32-bit floats and cut to an integer; null outside 0..255."""
+    shade = (F.lit(255.0).cast("float") * (F.lit(1.0).cast("float") - opacity.cast("float"))).cast("int")
     return F.when(shade.between(0, 255), shade)
 
 
@@ -57,3 +59,9 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column, least_width: float = 10.
     """The box between two corners; null if it is not wider and higher than the least."""
     w, h = F.abs(x1 - x0), F.abs(y1 - y0)
     return F.when((w > least_width) & (h > least_height), F.struct(F.least(x0, x1).alias("x"), F.least(y0, y1).alias("y"), w.alias("w"), h.alias("h")))
+
+
+def stamp_fits(text: Column, degrees: Column, opacity: Column) -> Column:
+    """Whether a form would offer a stamp: 1 to 30 characters, a turn of 0 to 90 degrees and an opacity of 10 to 80 %."""
+    percent = F.round(opacity * 100)
+    return F.coalesce(F.char_length(text).between(1, STAMP_CHARACTERS) & degrees.between(*STAMP_TURN) & percent.between(*STAMP_OPACITY), F.lit(False))

@@ -56,13 +56,15 @@ def groups(text: Column, n: Column) -> Column:
     return F.when(blank, each).otherwise(_let(F.transform(parts, lambda g: group(g, n)), lambda a: F.when(~F.exists(a, lambda g: g.isNull()), a)))
 
 
-def ranges(text: Column) -> Column:
-    """'1,3,5-7' as a form reads it: ascending and unique, items that are no numbers left out, no upper bound."""
+def ranges(text: Column, most: int = 100_000) -> Column:
+    """'1,3,5-7' as a form reads it: ascending and unique, items that are no numbers left out. A range of over most pages
+    makes the row null, so that one text can't ask for more memory than there is."""
 
     def pages(item: Column) -> Column:
         one, parts = _int(item), F.split(item, "-")
         lo, hi = _int(F.element_at(parts, 1)), _int(F.try_element_at(parts, F.lit(2)))
-        return F.when(F.contains(item, F.lit("-")) & (lo >= 1) & (lo <= hi), F.sequence(lo, hi)).when(one >= 1, F.array(one)).otherwise(F.array().cast(INTS))
+        wide = F.contains(item, F.lit("-")) & (lo >= 1) & (lo <= hi)
+        return F.when(wide & (hi - lo >= most), F.lit(None).cast(INTS)).when(wide, F.sequence(lo, hi)).when(one >= 1, F.array(one)).otherwise(F.array().cast(INTS))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ","), pages))))
 

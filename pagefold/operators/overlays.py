@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions import drawing
-from pagefold.operators.pages import INVALID_PAGE, STATED, page_counts
+from pagefold.operators.pages import INVALID_PAGE, STATED, guarded, page_counts
+from pagefold.operators.results import DONE, FAILED
 
 SCHEMA = {
     "doc_id": "long", "page_no": "int", "seq": "int", "kind": "string", "x": "double", "y": "double", "w": "double", "h": "double",
     "matrix": "array<double>", "text": "string", "font": "string", "font_size": "double", "rgb": "int", "image": "binary",
 }
+MALFORMED_BOXES = "malformed list of boxes"
+#: Bytes of a signature's image at most, as it is broadcast.
+IMAGE_BYTES = 4 << 20
 BOXES = "array<struct<x:double,y:double,width:double,height:double,pageNum:double>>"
 
 
@@ -43,16 +47,18 @@ def texts(pages: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def signature(pages: DataFrame, image: DataFrame, page_no: int = 1, x: float = 400.0, y: float = 100.0, seq: int = 1) -> DataFrame:
-    """image: one row of content, width and height in pixels, drawn at 0.3 of its size. Its one row is broadcast."""
-    if image.limit(2).count() != 1:
-        raise ValueError("one image is wanted")
+    """image: one row of content, width and height in pixels, drawn at 0.3 of its size. Its one row is broadcast, as it is of
+    IMAGE_BYTES at most. Documents without the page get none; see signature_status()."""
+    sizes = image.limit(2).select(F.octet_length("content")).collect()
+    if len(sizes) != 1 or (sizes[0][0] or 0) > IMAGE_BYTES:
+        raise ValueError(f"one image of {IMAGE_BYTES} bytes at most is wanted")
     image = image.select(F.col("content").alias("image"), (F.col("width") * drawing.SIGNATURE_SCALE).alias("w"), (F.col("height") * drawing.SIGNATURE_SCALE).alias("h"))
     joined = pages.filter(F.col("page_no") == page_no).select("doc_id", "page_no").join(F.broadcast(image))
     return _rows(joined, seq=F.lit(seq), kind=F.lit("image"), x=F.lit(x), y=F.lit(y), w=F.col("w"), h=F.col("h"), image=F.col("image"))
 
 
 def cover(pages: DataFrame, x: float, y: float, w: float, h: float, page_no: int = 1, seq: int = 1) -> DataFrame:
-    """A black box."""
+    """A black box. Documents without the page get none; see cover_status()."""
     return _rows(pages.filter(F.col("page_no") == page_no), seq=F.lit(seq), kind=F.lit("rect"), x=F.lit(x), y=F.lit(y), w=F.lit(w), h=F.lit(h), rgb=F.lit(0))
 
 
@@ -65,15 +71,26 @@ def boxes(json: Column) -> Column:
 
 def cover_many(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """requests: doc_id, json. A row for each box on a page that the document has, seq in the order of the array; the
-    page number is cut to an integer. Requests that boxes() finds malformed give no rows; see checked_boxes()."""
-    drawn = requests.select("doc_id", F.posexplode(boxes(F.col("json"))).alias("k", "b")).select("doc_id", (F.col("k") + 1).alias("seq"), F.col("b.pageNum").cast("int").alias("page_no"), "b")
+    page number is cut to an integer, and one beyond integers is on no page. Requests that boxes() finds malformed give no rows; see checked_boxes()."""
+    drawn = requests.select("doc_id", F.posexplode(boxes(F.col("json"))).alias("k", "b")).select("doc_id", (F.col("k") + 1).alias("seq"), F.greatest(F.lit(-1.0), F.least(F.lit(2147483647.0), F.col("b.pageNum"))).cast("int").alias("page_no"), "b")
     joined = drawn.join(pages.select("doc_id", "page_no"), ["doc_id", "page_no"])
     return _rows(joined, seq=F.col("seq"), kind=F.lit("rect"), x=F.col("b.x"), y=F.col("b.y"), w=F.col("b.width"), h=F.col("b.height"), rgb=F.lit(0))
 
 
 def checked_boxes(requests: DataFrame) -> DataFrame:
-    """doc_id, success."""
-    return requests.select("doc_id", boxes(F.col("json")).isNotNull().alias("success"))
+    """doc_id, success, message."""
+    ok = boxes(F.col("json")).isNotNull()
+    return requests.select("doc_id", ok.alias("success"), F.when(ok, F.lit(DONE["cover"])).otherwise(F.lit(f"{FAILED['cover']}: {MALFORMED_BOXES}")).alias("message"))
+
+
+def signature_status(pages: DataFrame, page_no: int = 1) -> DataFrame:
+    """Of each document whether signature() finds its page: doc_id, page_no, message, success."""
+    return guarded(pages, page_no, DONE["signature"], FAILED["signature"])
+
+
+def cover_status(pages: DataFrame, page_no: int = 1) -> DataFrame:
+    """The same of cover()."""
+    return guarded(pages, page_no, DONE["cover"], FAILED["cover"])
 
 
 def checked(pages: DataFrame, items: DataFrame, done: str, failed: str) -> DataFrame:

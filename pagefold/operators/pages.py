@@ -33,9 +33,18 @@ def renumbered(pages: DataFrame, by: Sequence[str], order: Sequence[str | Column
 
 def merge(pages: DataFrame, files: DataFrame) -> DataFrame:
     """files: job_id, pos, doc_id; a document may stand in a job more than once. The pages of each job's documents in order
-    of pos and page_no: job_id, out_page, src_doc, src_page and the rest of the page."""
-    joined = files.join(pages, "doc_id").withColumnsRenamed({"doc_id": "src_doc", "page_no": "src_page"})
-    return renumbered(joined, ["job_id"], ["pos", "src_page"]).drop("pos")
+    of pos and page_no: job_id, out_page, src_doc, src_page and the rest of the page. Only a job's files are put in order;
+    pages follow from what stands before their file, so a job of many pages is no single task's."""
+    order = Window.partitionBy("job_id").orderBy("pos", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.join(page_counts(pages).select("doc_id", "page_count"), "doc_id").withColumn("before", F.coalesce(F.sum("page_count").over(order), F.lit(0)))
+    joined = placed.drop("page_count").join(renumbered(pages, ["doc_id"], ["page_no"], "within"), "doc_id").withColumnsRenamed({"doc_id": "src_doc", "page_no": "src_page"})
+    return joined.withColumn("out_page", (F.col("before") + F.col("within")).cast("int")).drop("pos", "before", "within")
+
+
+def dropped(files: DataFrame, place: int) -> DataFrame:
+    """files without the one at a place (from 0) of each job, pos counted anew from 0; a place out of bounds drops none."""
+    w = Window.partitionBy("job_id").orderBy("pos")
+    return files.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") != place).withColumn("pos", F.when(F.col("pos") > place, F.col("pos") - 1).otherwise(F.col("pos")).cast("int"))
 
 
 def reordered(files: DataFrame, start: int, to: int) -> DataFrame:
@@ -73,13 +82,21 @@ def stated_groups(spark: SparkSession, text: str, most: int) -> DataFrame:
     return selection(spark, rows, "part_no int, pos int, page_no int")
 
 
-def split_summary(outputs: DataFrame) -> DataFrame:
-    """outputs: doc_id, part_no, name, a row for each part that was written. doc_id, message, outputs."""
+def split_summary(outputs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """outputs: doc_id, part_no, name, a row for each part that was written. doc_id, message, outputs. With docs (doc_id), a
+    document without parts has a row too."""
     parts = F.array_sort(F.collect_list(F.struct("part_no", "name")))
-    return (
-        outputs.groupBy("doc_id").agg(F.count("*").alias("k"), F.array_join(F.transform(parts, lambda x: x["name"]), ",").alias("outputs"))
-        .select("doc_id", F.concat(F.lit("PDF split into "), F.col("k").cast("string"), F.lit(" documents")).alias("message"), "outputs")
-    )
+    found = outputs.groupBy("doc_id").agg(F.count("*").alias("k"), F.array_join(F.transform(parts, lambda x: x["name"]), ",").alias("outputs"))
+    if docs is not None:
+        found = docs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("outputs", F.lit("")).alias("outputs"))
+    return found.select("doc_id", F.concat(F.lit("PDF split into "), F.col("k").cast("string"), F.lit(" documents")).alias("message"), "outputs")
+
+
+def page_outcomes(pages: DataFrame, outputs: DataFrame) -> DataFrame:
+    """doc_id and n_pages of what extract(), remove() or remove_each() gives for each document of pages: 0 where no page is
+    left, which is a document without pages, not a failure."""
+    left = outputs.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    return pages.select("doc_id").distinct().join(left, "doc_id", "left").select("doc_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
 
 
 def extract(pages: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import drawing, markup, names, pagespec
 from pagefold.operators import overlays, pages, results
+from pagefold.sources import files, images
 
 WIDTH, HEIGHT = 595.0, 842.0
 COUNTS = "(select conv_id as doc_id, cast(count(*) as integer) as n from conversations group by conv_id)"
@@ -157,6 +158,79 @@ def redact_status(spark, d):
     return overlays.checked_boxes(_pages(spark, d).select("doc_id").distinct().withColumn("json", json))
 
 
+def redact_far_pages(spark, d):
+    json = F.concat(F.lit('[{"x":1,"y":2,"width":3,"height":4,"pageNum":1e12},{"x":1,"y":2,"width":3,"height":4,"pageNum":-1e12},{"x":1,"y":2,"width":3,"height":4,"pageNum":'), (F.col("doc_id") % 3).cast("string"), F.lit("}]"))
+    p = _pages(spark, d)
+    return overlays.cover_many(p, p.select("doc_id").distinct().withColumn("json", json)).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "seq")
+
+
+def signature_status(spark, d):
+    return overlays.signature_status(_pages(spark, d), 4)
+
+
+def cover_status(spark, d):
+    return overlays.cover_status(_pages(spark, d), 6)
+
+
+def stamp_shades(spark, d):
+    opacity = (F.col("event_id") % 9) / 10
+    return _read(spark, d, "events").select("event_id", drawing.gray(opacity).alias("gray"))
+
+
+def stamp_limits(spark, d):
+    fits = drawing.stamp_fits(F.col("event_type"), F.col("event_id") % 120, (F.col("event_id") % 101) / 100)
+    return _read(spark, d, "events").select("event_id", fits.alias("fits"))
+
+
+def extract_outcomes(spark, d):
+    p = _pages(spark, d)
+    return pages.page_outcomes(p, pages.extract(p, _numbers(spark, 3, 7, 3)))
+
+
+def remove_outcomes(spark, d):
+    p = _pages(spark, d)
+    return pages.page_outcomes(p, pages.remove(p, _numbers(spark, 1, 2, 3, 4, 5).select("page_no")))
+
+
+def split_outcomes(spark, d):
+    p = _pages(spark, d)
+    parts = pages.split_groups(p.drop("text"), pages.stated_groups(spark, "6;3-5", 9)).select("doc_id", "part_no").distinct()
+    return pages.split_summary(parts.withColumn("name", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_"), F.col("part_no").cast("string"))), p)
+
+
+def drop_file(spark, d):
+    files = _pages(spark, d).select("doc_id").distinct().select((F.col("doc_id") % 7).alias("job_id"), "doc_id", F.col("doc_id").alias("pos"))
+    return pages.dropped(files, 2).select("job_id", "doc_id", "pos")
+
+
+def wide_ranges(spark, d):
+    text = F.concat(F.lit("2,1-"), F.element_at(F.array(F.lit("3"), F.lit("2000000000"), F.lit("100000")), (F.col("event_id") % 3 + 1).cast("int")))
+    found = pagespec.ranges(text)
+    return _read(spark, d, "events").select("event_id", found.isNull().alias("fails"), F.coalesce(F.size(found), F.lit(-1)).alias("n"))
+
+
+def _files(spark, d):
+    name = F.concat(F.lit("file"), F.col("page_id").cast("string"), F.element_at(F.array(F.lit(".pdf"), F.lit(".PDF"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int")))
+    return _read(spark, d, "pages").select((F.col("page_id") % 5).alias("job_id"), F.col("page_id").alias("pos"), name.alias("name"), F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
+
+
+def accepted_files(spark, d):
+    return files.accepted(_files(spark, d), most_files=20, most_bytes=3000).select("job_id", "pos", "name", "length")
+
+
+def download_lookup(spark, d):
+    asked = _files(spark, d).select(F.when(F.col("pos") % 4 == 0, F.concat(F.lit("no-"), F.col("name"))).otherwise(F.col("name")).alias("name"))
+    return files.lookup(asked, _files(spark, d)).select("name", "verdict", F.octet_length("content").cast("long").alias("length"))
+
+
+def image_sizes(spark, d):
+    size = lambda k: F.lpad(F.hex(F.col("event_id") % k + 1), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size(977), size(613), F.lit("0806000000")))
+    held = _read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 < 9, png).otherwise(F.lit("no image").cast("binary")).alias("content"))
+    found = images.size(F.col("content"))
+    return held.select("event_id", found["width"].cast("long").alias("width"), found["height"].cast("long").alias("height"))
+
+
 def fonts_colours(spark, d):
     fonts, colours = ("helvetica-bold", "Times_Roman", "comic", "COURIER"), ("#FF0000", "#fff", "0x10", "010", "255", "red", "#ffffffff", "")
     pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
@@ -197,7 +271,7 @@ def output_files(spark, d):
     return _read(spark, d, "pages").select("page_id", names.output_name(F.col("url"), "extracted", "pdf", F.col("page_id")).alias("name"), names.download_name(F.concat(F.col("page_id").cast("string"), F.lit(".PDF")), "extracted").alias("saved_as"))
 
 
-NAMES = ("report..v1.pdf", "../etc/passwd", "a\\b.pdf", "x.exe", "  ", "", "...pdf", ".pdf", "x.", "noext", "A b.MD", "d.docx")
+NAMES = ("plan..b7.pdf", "../up/list", "a\\b.pdf", "x.exe", "  ", "", "...pdf", ".pdf", "x.", "noext", "A b.MD", "d.docx")
 
 
 def validate_name(spark, d):
@@ -226,6 +300,7 @@ QUERIES = {
     for f in (
         page_info, merge, reorder_files, split_individual, split_pages, split_groups, extract_pages, remove_pages, remove_pages_multiset, unassigned_pages, toggled_pages, exclusive_groups,
         page_specs, int_lists, form_ranges, serialized_groups, watermark, add_text, add_texts, add_texts_status, add_signature, redact, redact_multiple, redact_status, fonts_colours, coord_flip,
+        redact_far_pages, signature_status, cover_status, stamp_shades, stamp_limits, extract_outcomes, remove_outcomes, split_outcomes, drop_file, wide_ranges, accepted_files, download_lookup, image_sizes,
         to_markdown, document_markdown, docx_paragraphs, empty_text, output_name, output_files, validate_name, validate_urls, error_mapping, text_results,
     )
 }
@@ -234,6 +309,9 @@ _MARKDOWN = r"""'# PDF Content' || chr(10) || chr(10) || case when coalesce(rege
 _VERDICT = r"""case when regexp_replace(name,'[\x00-\x20]+','','g') = '' then 'Filename cannot be null or empty' when strpos(name,'/')>0 or strpos(name,'\')>0 then 'Invalid filename: path separators are not allowed' when base is null or base = '' or ext = '' then 'Invalid filename: missing or malformed file extension' when lower(ext) not in ('pdf','md','docx') then 'Invalid filename: only .pdf, .md, or .docx extensions are allowed' when base = '..' then 'Invalid filename: parent directory references are not allowed' else 'OK' end"""
 _STEM = r"regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[pP][dD][fF]$', '')"
 
+_FILES = "(select page_id % 5 as job_id, page_id as pos, 'file' || page_id || ['.pdf', '.PDF', '.txt'][page_id % 3 + 1] as name, cast(octet_length(encode(html)) as bigint) as length from pages)"
+
+# The messages below are fixed values.
 ORACLE_SQL = {
     "page_info": "select conv_id as doc_id, count(*) as page_count, 'Pages: ' || count(*) as message from conversations group by conv_id",
     "merge": "select conv_id % 10 as job_id, cast(row_number() over (partition by conv_id % 10 order by conv_id desc, turn) as integer) as out_page, conv_id as src_doc, turn + 1 as src_page from conversations",
@@ -269,7 +347,23 @@ ORACLE_SQL = {
     "add_signature": "select conv_id as doc_id, cast(turn + 1 as integer) as page_no, 400e0 as x, 100e0 as y, 30e0 as w, 15e0 as h from conversations where turn = 1",
     "redact": "select conv_id as doc_id, cast(turn + 1 as integer) as page_no, 100e0 as x, 700e0 as y, 200e0 as w, 30e0 as h, 0 as rgb from conversations where turn = 1",
     "redact_multiple": "select c.conv_id as doc_id, r.page_no, r.seq, r.x, r.y, r.w, r.h from conversations c join (values (1,cast(1 as bigint),10.5e0,20e0,100e0,30e0),(2,3,0e0,0e0,50.5e0,5e0),(3,99,0e0,0e0,1e0,1e0)) r(seq,page_no,x,y,w,h) on c.turn + 1 = r.page_no",
-    "redact_status": "select distinct conv_id as doc_id, conv_id % 6 in (0, 5) as success from conversations",
+    "redact_status": f"select distinct conv_id as doc_id, conv_id % 6 in (0, 5) as success, case when conv_id % 6 in (0, 5) then '{results.DONE['cover']}' else '{results.FAILED['cover']}: {overlays.MALFORMED_BOXES}' end as message from conversations",
+    "redact_far_pages": "select conv_id as doc_id, turn + 1 as page_no, 3 as seq from conversations where turn + 1 = conv_id % 3",
+    "signature_status": f"select doc_id, 4 as page_no, case when n < 4 then '{results.FAILED['signature']}: {pages.INVALID_PAGE}' else '{results.DONE['signature']}' end as message, n >= 4 as success from {COUNTS}",
+    "cover_status": f"select doc_id, 6 as page_no, case when n < 6 then '{results.FAILED['cover']}: {pages.INVALID_PAGE}' else '{results.DONE['cover']}' end as message, n >= 6 as success from {COUNTS}",
+    "stamp_shades": "select event_id, [255, 229, 204, 178, 153, 127, 101, 76, 50][event_id % 9 + 1] as gray from events",
+    "stamp_limits": "select event_id, length(event_type) between 1 and 30 and event_id % 120 <= 90 and event_id % 101 between 10 and 80 as fits from events",
+    "extract_outcomes": f"select doc_id, cast(2 * (n >= 3)::int + (n >= 7)::int as bigint) as n_pages from {COUNTS}",
+    "remove_outcomes": f"select doc_id, cast(greatest(n - 5, 0) as bigint) as n_pages from {COUNTS}",
+    "split_outcomes": f"""select doc_id, 'PDF split into ' || ((n >= 6)::int + (n >= 3)::int) || ' documents' as message,
+        case when n >= 6 then 'd' || doc_id || '_1,d' || doc_id || '_2' when n >= 3 then 'd' || doc_id || '_2' else '' end as outputs from {COUNTS}""",
+    "drop_file": """with f as (select conv_id % 7 as job_id, conv_id as doc_id, row_number() over (partition by conv_id % 7 order by conv_id) - 1 as p from (select distinct conv_id from conversations))
+        select job_id, doc_id, cast(case when p > 2 then p - 1 else p end as integer) as pos from f where p <> 2""",
+    "wide_ranges": "select event_id, event_id % 3 = 1 as fails, [3, -1, 100000][event_id % 3 + 1] as n from events",
+    "accepted_files": f"select job_id, pos, name, length from (select *, row_number() over (partition by job_id order by pos) as k from {_FILES} where lower(name) like '%.pdf' and length <= 3000) where k <= 20",
+    "download_lookup": f"""select case when pos % 4 = 0 then 'no-' || name else name end as name, case when pos % 3 = 2 then 'Invalid filename: only .pdf, .md, or .docx extensions are allowed'
+        when pos % 4 = 0 then 'File not found: no-' || name else 'OK' end as verdict, case when pos % 3 < 2 and pos % 4 > 0 then length end as length from {_FILES}""",
+    "image_sizes": "select event_id, case when event_id % 10 < 9 then event_id % 977 + 1 end as width, case when event_id % 10 < 9 then event_id % 613 + 1 end as height from events",
     "fonts_colours": "select event_id, ['HELVETICA_BOLD', 'TIMES_ROMAN', 'HELVETICA', 'COURIER'][event_id % 4 + 1] as font, [16711680, 4095, 16, 8, 255, 0, 0, 0][event_id % 8 + 1] as rgb from events",
     "coord_flip": "select event_id, 842.0e0 - value - 30e0 as pdf_y, greatest(0e0, least(value, 595e0 - 150e0)) as clamp_x from events where value > 10 and value > 5",
     "to_markdown": f"select doc_id, {_MARKDOWN} as markdown from documents",
@@ -279,7 +373,7 @@ ORACLE_SQL = {
         from (select event_id, case event_id % 3 when 0 then null when 1 then ' ' || chr(9) || chr(10) else 'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) end as text from events)""",
     "output_name": f"select page_id, case when {_STEM} = '' then 'merged' else {_STEM} || '_merged' end as base_name from pages",
     "output_files": f"select page_id, case when {_STEM} = '' then 'extracted' else {_STEM} || '_extracted' end || '_' || left(sha256(page_id::varchar), 8) || '.pdf' as name, page_id || '_extracted.pdf' as saved_as from pages",
-    "validate_name": rf"select id, {_VERDICT} as verdict from (select id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (values (1,'report..v1.pdf'),(2,'../etc/passwd'),(3,'a\b.pdf'),(4,'x.exe'),(5,'  '),(6,''),(7,'...pdf'),(8,'.pdf'),(9,'x.'),(10,'noext'),(11,'A b.MD'),(12,'d.docx')) f(id,name))",
+    "validate_name": rf"select id, {_VERDICT} as verdict from (select id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (values (1,'plan..b7.pdf'),(2,'../up/list'),(3,'a\b.pdf'),(4,'x.exe'),(5,'  '),(6,''),(7,'...pdf'),(8,'.pdf'),(9,'x.'),(10,'noext'),(11,'A b.MD'),(12,'d.docx')) f(id,name))",
     "validate_urls": rf"select page_id, {_VERDICT} as verdict from (select page_id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (select page_id, string_split(url, '/')[-1] as name from pages))",
     "error_mapping": """select event_id, [200, 400, 413, 400, 400, 400, 500][event_id % 7 + 1] as status, event_id % 7 = 0 as success, case event_id % 7 when 0 then event_type when 1 then event_type
         when 2 then 'File size exceeds maximum allowed size of 100MB. Please upload a smaller file.' when 3 then 'Error processing file upload. Please ensure you''re uploading valid PDF files.'

@@ -1,12 +1,14 @@
 """Files of documents: listing, size limit, lookup by name."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions import names
 from pagefold.operators.results import FAILED, MOST_BYTES
 
 NOT_FOUND = "File not found: "
+#: Files whose paths pass through the driver at most.
+MOST_ASKED = 1_000
 
 
 def listed(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -26,6 +28,24 @@ def too_large(spark: SparkSession, folder: str, pattern: str = "*.pdf", most_byt
     return listed(spark, folder, pattern).filter(F.col("length") > most_bytes)
 
 
+def accepted(files: DataFrame, suffix: str = ".pdf", most_files: int = 20, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """files: job_id, pos, name, length, as a client offers them. Those of each job that a form would take: the first
+    most_files of the suffix, in any case, that are not too large."""
+    fine = files.filter(F.lower("name").endswith(suffix) & (F.col("length") <= most_bytes))
+    return fine.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("pos"))).filter(F.col("place") <= most_files).drop("place")
+
+
+def found(spark: SparkSession, asked: DataFrame, folder: str, pattern: str = "*") -> DataFrame:
+    """asked: name, a few. As lookup(), reading only the files of those names: names are resolved by the listing, and the
+    contents of the resolved paths alone are read."""
+    rows = listed(spark, folder, pattern).join(asked.select("name").distinct(), "name", "left_semi").select("path").limit(MOST_ASKED + 1).collect()
+    if len(rows) > MOST_ASKED:
+        raise ValueError(f"at most {MOST_ASKED} files can be looked up by path; join with loaded() for more")
+    paths = [r["path"] for r in rows]
+    stored = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, content binary")
+    return lookup(asked, stored.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
+
+
 def lookup(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """asked: name. stored: name, content. Each asked name with verdict (OK, the rule that it breaks, or that there is no
     such file) and content."""
