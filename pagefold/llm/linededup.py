@@ -1,16 +1,19 @@
 """Line dedup by pairwise alignment.
 
-A text is a sequence of 64-bit line hashes. Lines of at least min_words words, of which equal ones rarely meet by chance,
-find a document's partners: for each of its lines the earliest document that has it, so a line of n documents makes n - 1
-pairs, never all. Each pair is aligned by patience diff over the hashes; the aligned blocks with at least one such line
-are deleted from the later document. Lines left over seek the next document in which they are left over too, and at the
-end every earlier document that has them: what is deleted is what an alignment of all pairs would delete. Texts
-themselves move once, when the found lines are cut out.
+A text is a sequence of line hashes, each with the line's number of words. What finds a document's partners is a run of
+successive lines, the shortest from each line on, or up to it, that has min_words words: one line of that many, or a few
+short ones. Each document is first aligned with the earliest that has its rarest run, then, for lines left over, with
+the earliest that have other runs of it, with the next in which these are left over too, and at the end with every earlier
+one that has them. Each pair is aligned by patience diff; aligned blocks of min_words words are deleted from the later
+document. As each line of such a block lies in a run within the block, what is deleted, blank lines aside, is what an
+alignment of all pairs would delete, though a run of n documents makes about n - 1 pairs. Texts themselves move once, when
+the lines are cut out.
 """
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +37,12 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 #: Pairs of equal lines from which the longest common subsequence is found by halves.
 MANY = 1 << 20
-#: Pairs for each held line, at most, to which lines left over are paired with all that have them.
+#: Pairs for each held run, at most, to which lines left over are paired with all that have them.
 BOUND = 4
+#: The low bits of a line's hash are its words, as many as min_words at most: 0 for a blank line.
+WORDS = 15
+#: Scripts without spaces: two letters count as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def _ends(a: list[int], b: list[int]) -> list[int]:
@@ -94,12 +101,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shared_lines(early: list[int], late: list[int]) -> list[int]:
-    """Lines of late in aligned blocks that have a line that finds partners (an odd hash)."""
+def shared_lines(early: list[int], late: list[int], min_words: int = 5) -> list[int]:
+    """Lines of late in aligned blocks that have so many words."""
     out, block, last = [], [], None
     for x, y in [*patience(early, late), (None, None)]:
         if last is None or x != last[0] + 1 or y != last[1] + 1:
-            if any(late[k] & 1 for k in block):
+            if sum(late[k] & WORDS for k in block) >= min_words:
                 out += block
             block = []
         if x is not None:
@@ -108,19 +115,62 @@ def shared_lines(early: list[int], late: list[int]) -> list[int]:
     return out
 
 
+def runs(h: np.ndarray, text: np.ndarray, gone: np.ndarray, min_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the hash of each run of lines that are not all gone; blank lines don't count. text: each line's, rising."""
+    h, text, gone = (v[h & WORDS > 0] for v in (h, text, gone))
+    words = h & WORDS
+    upto, there = np.cumsum(words), np.cumsum(~gone)
+    before, k = upto - words, np.arange(len(h))
+    last = np.searchsorted(upto, before + min_words)
+    first = np.searchsorted(before, upto - min_words, "right") - 1
+    forth, back = (last < len(h)).nonzero()[0], (first >= 0).nonzero()[0]
+    a, z = np.concatenate([k[forth], first[back]]), np.concatenate([last[forth], k[back]])
+    fine = (text[a] == text[z]) & (there[z] - there[a] + ~gone[a] > 0)
+    a, z = np.unique(np.stack([a[fine], z[fine]]), axis=1)
+    key = np.full(len(a), 1, np.uint64)
+    for step in range(min_words):
+        on = a + step <= z
+        x = (key[on] ^ h[a[on] + step].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key[on] = x ^ x >> np.uint64(29)
+    found = np.unique(np.stack([text[a], key.view(np.int64)]), axis=1)
+    return found[0], found[1]
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """doc_id and lines: the places, from 0, of the lines to delete; documents without any are left out."""
+    """doc_id and lines: the places, from 0, of the lines to delete; documents without any are left out. min_words: 1 to 15."""
+    if not 1 <= min_words <= WORDS:
+        raise ValueError(f"min_words must be from 1 to {WORDS}")
     line = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    mark = lambda x: F.xxhash64(F.trim(x)).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(x.rlike(rf"(?:\S+\s+){{{min_words - 1}}}\S"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+
+    def mark(x):
+        unspaced = F.when(F.octet_length(x) > F.char_length(x), F.floor(F.regexp_count(x, F.lit(UNSPACED)) / 2)).otherwise(F.lit(0))
+        words = F.when(F.trim(x) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(F.lit(min_words), F.greatest(F.size(F.split(F.trim(x), r"\s+", min_words)), unspaced))))
+        return F.xxhash64(F.trim(x)).bitwiseAND(F.lit(~WORDS)).bitwiseOR(words.cast("long"))
+
     hashed = written(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(line, mark).alias("h")), "lines")
-    finding = hashed.select("doc_id", F.explode(F.array_distinct(F.filter("h", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("line"))
-    first = written(finding.groupBy("line").agg(F.min("doc_id").alias("early"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("early < last").drop("last"), "first")
-    held = written(finding.join(first.drop("n"), "line").select("line", "early", "doc_id"), "held")
     kind = hashed.schema["doc_id"].dataType.simpleString()
 
+    def found_by(batches):
+        """doc_id and line, the hash of each run of the text that is not wholly in lines."""
+        for b in batches:
+            h, lines = b.column("h"), b.column("lines")
+            size, less = h.value_lengths().to_numpy(), lines.value_lengths().to_numpy()
+            gone = np.zeros(size.sum(), bool)
+            gone[np.repeat(np.cumsum(size) - size, less) + lines.flatten().to_numpy()] = True
+            row, key = runs(h.flatten().to_numpy(), np.repeat(np.arange(len(size)), size), gone, min_words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(key)], ["doc_id", "line"])
+
+    def finding(texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(found_by, f"doc_id {kind}, line long")
+
+    none = F.array().cast("array<int>")
+    seen = written(finding(hashed.select("doc_id", "h", none.alias("lines"))), "runs")
+    first = written(seen.groupBy("line").agg(F.min("doc_id").alias("early"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("early < last").drop("last"), "first")
+    held = written(seen.join(first, "line").select("line", "early", "n", "doc_id"), "held")
+
     def align(batches):
         for b in batches:
-            found = [shared_lines(x, y) for x, y in zip(b.column("eh").to_pylist(), b.column("h").to_pylist(), strict=True)]
+            found = [shared_lines(x, y, min_words) for x, y in zip(b.column("eh").to_pylist(), b.column("h").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "lines"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
@@ -130,13 +180,22 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     def union(found: DataFrame) -> DataFrame:
         return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
-    tried = written(held.filter("early < doc_id").select("early", "doc_id").distinct(), "pairs")
-    found, pivots, bound, changed = aligned(tried), first.select("line", "early"), BOUND * held.count(), True
+    def left_over(tried: DataFrame, found: DataFrame) -> DataFrame:
+        """doc_id and line: the runs that an earlier document has and that are not all deleted."""
+        texts = hashed.join(tried.select("doc_id").distinct(), "doc_id", "left_semi").join(union(found), "doc_id", "left")
+        left = finding(texts.select("doc_id", "h", F.coalesce("lines", none).alias("lines"))).distinct()
+        return written(left.join(held.filter("early < doc_id").select("doc_id", "line"), ["doc_id", "line"], "left_semi"), "left")
+
+    def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        return written(pairs.filter("early < doc_id").select("early", "doc_id").distinct().join(tried, ["early", "doc_id"], "left_anti"), "pairs")
+
+    tried = written(held.filter("early < doc_id").groupBy("doc_id").agg(F.min_by("early", F.struct("n", "early", "line")).alias("early")).select("early", "doc_id"), "pairs")
+    found = aligned(tried)
+    more = untried(left_over(tried, found).join(first, "line"), tried)
+    tried, found = tried.unionByName(more), found.unionByName(aligned(more))
+    pivots, bound, changed = first.select("line", "early"), BOUND * held.count(), True
     while True:
-        rest = F.array_except(F.sequence(F.lit(0), F.size("h") - 1), F.coalesce("lines", F.array().cast("array<int>")))
-        left = hashed.join(tried.select("doc_id").distinct(), "doc_id", "left_semi").join(union(found), "doc_id", "left")
-        left = left.select("doc_id", F.explode(F.array_distinct(F.transform(rest, lambda k: F.get("h", k)))).alias("line")).filter(F.col("line").bitwiseAND(F.lit(1)) == 1).distinct()
-        left = written(left.join(held.filter("early < doc_id").select("doc_id", "line"), ["doc_id", "line"], "left_semi"), "left")
+        left = left_over(tried, found)
         work = left.groupBy("line").agg(F.count("*").alias("k")).join(first, "line").agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
         # lines left over meet all earlier documents that have them once these are few, or no round helps any more
         last = work <= bound or not changed
@@ -146,7 +205,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             seek = left.join(pivots, "line").filter("doc_id > early").select("line", "doc_id")
             pivots = written(seek.groupBy("line").agg(F.min("doc_id").alias("early")), "pivots")
             more = seek.join(pivots, "line")
-        more = written(more.filter("early < doc_id").select("early", "doc_id").distinct().join(tried, ["early", "doc_id"], "left_anti"), "pairs")
+        more = untried(more, tried)
         new = aligned(more)
         found = found.unionByName(new)
         if last:
@@ -158,7 +217,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """docs with what earlier documents (by id) have already deleted from text_col, and n_lines_removed (long).
 
     A null text stays null and an empty one empty. A text all of whose lines go becomes empty; no row is dropped. Equal
-    lines need not be unique: where none is, a longest common subsequence is aligned. Rows that repeat an id
+    lines need not be unique: where none is, a longest common subsequence is aligned. What is shared with fewer than
+    min_words words in a row stays. Rows that repeat an id
     count as one document and are cut alike. A row whose id is null is left as it is. Other columns stay.
     """
     found = written(repeated(docs, id_col, text_col, min_words), "found")

@@ -219,7 +219,25 @@ def test_patience():
         pairs = linededup.patience(a, b)
         assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
     assert linededup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
-    assert linededup.shared_lines([1, 3, 5, 7], [9, 1, 3, 11, 5, 7]) == [1, 2, 4, 5] and linededup.shared_lines([2, 4], [2, 4]) == []
+    five = [16 * k + 5 for k in range(6)]
+    assert linededup.shared_lines(five[:4], [five[4], *five[:2], five[5], *five[2:4]]) == [1, 2, 4, 5]
+    assert linededup.shared_lines([18, 34], [18, 34]) == [] and linededup.shared_lines([18, 35], [18, 35]) == [0, 1]
+
+
+def test_runs_of_lines():
+    """Each line of a block of min_words words is in a run within it, and equal blocks have equal runs wherever they stand."""
+    r = random.Random(12)
+    for _ in range(300):
+        block = [16 * r.randint(1, 9) + r.choice([0, 1, 1, 2, 3, 5]) for _ in range(r.randint(1, 9))]
+        texts = [[16 * r.randint(100, 199) + r.choice([0, 1, 4, 5]) for _ in range(r.randint(0, 4))] + block + [16 * r.randint(100, 199) + 5] for _ in range(2)]
+        k = np.repeat([0, 1], [len(t) for t in texts])
+        row, key = linededup.runs(np.array(sum(texts, [])), k, np.zeros(len(k), bool))
+        alone = set(linededup.runs(np.array(block), np.zeros(len(block), int), np.zeros(len(block), bool))[1].tolist())
+        assert bool(alone) == (sum(h & 15 for h in block) >= 5) and all(alone <= set(key[row == t].tolist()) for t in (0, 1))
+        for x in range(len(block)) if alone else ():
+            left = np.ones(len(block), bool)
+            left[x] = False
+            assert bool(len(linededup.runs(np.array(block), np.zeros(len(block), int), left)[1])) == (block[x] & 15 > 0)
 
 
 def test_lines_go_from_later_documents(spark, odd, empty):
@@ -227,6 +245,9 @@ def test_lines_go_from_later_documents(spark, odd, empty):
     rows = [(1, "\n".join(map(line, range(6)))), (2, "\n".join(["own words stand here and there", line(1), "x", line(2)])), (3, "\n".join(map(line, range(6)))), (4, "x\ny")]
     got = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("own words stand here and there\nx", 2), 3: ("", 6), 4: ("x\ny", 0)}
+    rows = [(1, "one\n\ntwo three\nfour five"), (2, "one\n\ntwo three\nfour five\nsix"), (3, "吾輩は猫である名前はまだ無い\n二"), (4, "三\n吾輩は猫である名前はまだ無い"), (5, "one\n\ntwo")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "six", 3: rows[2][1], 4: "三", 5: rows[4][1]}
     out = linededup.dedup(odd).toPandas()
     assert len(out) == len(ODD) and out[out.doc_id == 11].text.tolist() == [""] and out[out.doc_id == 10].n_lines_removed.tolist() == [0, 0] and out[out.doc_id == 7].text.isna().all()
     assert linededup.dedup(empty).count() == 0
@@ -244,18 +265,23 @@ def test_longest(monkeypatch):
 
 @pytest.mark.parametrize("bound", [0, 4])
 def test_lines_against_all_pairs(spark, monkeypatch, bound):
-    """Passages that the first document has twice or in another order, against alignments of all pairs."""
+    """Passages that the first document has twice or in another order, and short lines, against alignments of all pairs."""
     r = random.Random(4)
     line = lambda k: f"this is line number {k} of a text"
     passage, texts = [1, 2, 3], [[100, 1, 2, 3, 101, 1, 2, 3, 102], [110, 1, 2, 3, 111], [120, 1, 2, 3, 121], [13, 12, 11, 10], [10, 11, 12, 13], [10, 11, 12, 13]]
     texts += [[200 + k, *passage, 300 + k, *passage, 400 + k] for k in range(3)] + [r.sample(range(20, 27), 6) for _ in range(20)]
-    own = [[2 * k + 1 for k in t] for t in texts]
-    want = [sorted({y for j in range(k) if set(own[j]) & set(t) for y in linededup.shared_lines(own[j], t)}) for k, t in enumerate(own)]
+    short = [[r.randint(1000, 1005) for _ in range(r.randint(1, 8))] for _ in range(40)]  # of two words and of three, or blank
+    texts += short
+    words = lambda k: 5 if k < 1000 else (0, 2, 3)[k % 3]
+    own = [[16 * (k + 1 if words(k) else 0) + words(k) for k in t] for t in texts]
+    want = [sorted({y for j in range(k) for y in linededup.shared_lines(own[j], t)}) for k, t in enumerate(own)]
     assert want[1] == want[2] == [1, 2, 3] and want[5] == [0, 1, 2, 3]
-    docs = spark.createDataFrame([(k, "\n".join(map(line, t))) for k, t in enumerate(texts)], "doc_id long, text string")
+    spell = lambda k: " ".join([f"w{k}"] * words(k)) if k >= 1000 else line(k)
+    docs = spark.createDataFrame([(k, "\n".join(map(spell, t))) for k, t in enumerate(texts)], "doc_id long, text string")
     monkeypatch.setattr(linededup, "BOUND", bound)
     got = {r["doc_id"]: sorted(r["lines"]) for r in linededup.repeated(docs).collect()}
-    assert got == {k: w for k, w in enumerate(want) if w}
+    full = lambda k, lines: [y for y in lines if own[k][y] & 15]
+    assert {k: full(k, v) for k, v in got.items()} == {k: full(k, v) for k, v in enumerate(want) if v}
 
 
 # 5
