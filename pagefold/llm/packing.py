@@ -106,5 +106,20 @@ def pack(
     return dealt.drop("n").groupBy("shard").applyInPandas(run, schema)
 
 
+def sequences(placed: DataFrame, encoded: DataFrame, capacity: int = 8192) -> DataFrame:
+    """Rows shard, bin, doc_ids, starts, ids: each bin's token ids, 32-bit integers one after another, and what begins where.
+
+    placed: rows of pack() with the same capacity, whose lengths count tokens. encoded: doc_id and ids, as bpe.encoded()
+    gives them; of rows that repeat a doc_id, the least ids count. A null doc_id is one more id. A placed row whose document
+    is not in encoded adds no ids. Empty tables give no rows.
+    """
+    ids = encoded.groupBy(F.col("doc_id").alias("__id")).agg(F.min("ids").alias("ids"))
+    part = F.coalesce(F.expr(f"substring(ids, cast(piece * {4 * capacity} + 1 as int), cast(length * 4 as int))"), F.lit("").cast("binary"))
+    rows = placed.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("shard", "bin", F.struct("start", "doc_id", "piece", part.alias("ids")).alias("row"))
+    bins = rows.groupBy("shard", "bin").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    joined = F.aggregate("rows", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
+    return bins.select("shard", "bin", F.col("rows.doc_id").alias("doc_ids"), F.col("rows.start").alias("starts"), joined.alias("ids"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))

@@ -68,6 +68,25 @@ def test_packing_is_best_fit():
         assert list(zip(got["bin"], got["start"], strict=True)) == brute_packing(rows, 64, 3)
 
 
+def test_sequences_of_tokens(spark, odd, empty):
+    """Bins packed by token counts hold each document's ids, piece after piece."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(k, "some words " * k, f"s{k % 3}") for k in range(40)] + [(None, "no id", None)], "doc_id long, text string, source string")
+    ids = bpe.encoded(docs, path, P.PATTERN)
+    sized = docs.join(ids.withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i")))
+    placed = packing.pack(sized, capacity=32, length=F.octet_length("ids") / 4)
+    whole, pieces = {r["doc_id"]: r["ids"] for r in ids.collect()}, collections.defaultdict(list)
+    lengths = {(r["shard"], r["bin"], r["start"], r["doc_id"]): (r["piece"], r["length"]) for r in placed.collect() if r["length"]}
+    for r in packing.sequences(placed, ids, 32).collect():
+        assert len(r["ids"]) <= 4 * 32
+        for i, start in zip(r["doc_ids"], r["starts"], strict=True):
+            piece, length = lengths.get((r["shard"], r["bin"], start, i), (0, 0))
+            pieces[i].append((piece, r["ids"][4 * start : 4 * (start + length)]))
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in pieces.items() if i != 0} == {i: bytes(b) for i, b in whole.items() if i != 0}
+    none = bpe.encoded(empty, path, P.PATTERN)
+    assert packing.sequences(packing.pack(empty), none).count() == 0 and packing.sequences(packing.pack(odd), none).agg(F.sum(F.octet_length("ids"))).first()[0] == 0
+
+
 def test_packing_edges(odd, empty):
     got = packing.pack(odd, capacity=1000).toPandas()
     assert sorted(got.groupby("doc_id", dropna=False).length.sum()) == sorted(pd.DataFrame(ODD).assign(n=lambda d: d[1].fillna("").map(lambda t: -(-len(t) // 4))).groupby(0, dropna=False).n.sum())
