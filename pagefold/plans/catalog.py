@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import drawing, markup, names, pagespec
 from pagefold.operators import overlays, pages, results
-from pagefold.sources import files, images
+from pagefold.sources import documents, files, images
 
 WIDTH, HEIGHT = 595.0, 842.0
 COUNTS = "(select conv_id as doc_id, cast(count(*) as integer) as n from conversations group by conv_id)"
@@ -231,6 +231,47 @@ def image_sizes(spark, d):
     return held.select("event_id", found["width"].cast("long").alias("width"), found["height"].cast("long").alias("height"))
 
 
+def _pdf_files(spark, d):
+    return documents.packed(_pages(spark, d).withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT) + F.col("page_no")}))
+
+
+def pdf_round_trip(spark, d):
+    back = documents.pages(_pdf_files(spark, d).select("doc_id", "content"))
+    return back.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "width", "height", "text", F.coalesce("error", "loss").alias("error"))
+
+
+def pdf_text(spark, d):
+    return documents.document_texts(documents.pages(_pdf_files(spark, d).select("doc_id", "content")))
+
+
+def pdf_overlays(spark, d):
+    p = _pages(spark, d).withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)}).drop("text")
+    drawn = overlays.painted(overlays.stamp(p, "DRAFT").union(overlays.cover(p, 1.0, 2.0, 3.0, 4.0, 2, seq=2)))
+    back = documents.pages(documents.packed(p.withColumn("text", F.lit(None).cast("string")), drawn).select("doc_id", "content"))
+    return back.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "text", F.col("payload").cast("string").contains("1 2 3 4 re f").alias("covered"))
+
+
+def docx_round_trip(spark, d):
+    texts = _pages(spark, d).filter("page_no = 1").select("doc_id", markup.paragraphs(F.concat("text", F.lit("\n\n <a & b> "))).alias("paragraphs"))
+    back = documents.docx_paragraphs(documents.docx_files(texts))
+    return back.select("doc_id", F.posexplode("paragraphs").alias("k", "para")).select("doc_id", (F.col("k") + 1).alias("para_no"), "para")
+
+
+def markdown_files(spark, d):
+    texts = document_markdown(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.encode("markdown", "UTF-8").alias("content"))
+    folder = files.new_folder(spark)
+    documents.stored(texts, folder).count()
+    return files.loaded(spark, folder, "*.md").select("name", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def files_of_a_size(spark, d):
+    stored = _files(spark, d).filter("pos % 3 < 2").select("name", "content")
+    folder = files.new_folder(spark)
+    documents.stored(stored, folder).count()
+    small = files.loaded(spark, folder, "*", most_bytes=3000).select("name", "length", F.lit(False).alias("too_large"))
+    return small.union(files.too_large(spark, folder, "*", most_bytes=3000).select("name", "length", F.lit(True)))
+
+
 def fonts_colours(spark, d):
     fonts, colours = ("helvetica-bold", "Times_Roman", "comic", "COURIER"), ("#FF0000", "#fff", "0x10", "010", "255", "red", "#ffffffff", "")
     pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % len(v) + 1).cast("int"))
@@ -301,6 +342,7 @@ QUERIES = {
         page_info, merge, reorder_files, split_individual, split_pages, split_groups, extract_pages, remove_pages, remove_pages_multiset, unassigned_pages, toggled_pages, exclusive_groups,
         page_specs, int_lists, form_ranges, serialized_groups, watermark, add_text, add_texts, add_texts_status, add_signature, redact, redact_multiple, redact_status, fonts_colours, coord_flip,
         redact_far_pages, signature_status, cover_status, stamp_shades, stamp_limits, extract_outcomes, remove_outcomes, split_outcomes, drop_file, wide_ranges, accepted_files, download_lookup, image_sizes,
+        pdf_round_trip, pdf_text, pdf_overlays, docx_round_trip, markdown_files, files_of_a_size,
         to_markdown, document_markdown, docx_paragraphs, empty_text, output_name, output_files, validate_name, validate_urls, error_mapping, text_results,
     )
 }
@@ -309,6 +351,9 @@ _MARKDOWN = r"""'# PDF Content' || chr(10) || chr(10) || case when coalesce(rege
 _VERDICT = r"""case when regexp_replace(name,'[\x00-\x20]+','','g') = '' then 'Filename cannot be null or empty' when strpos(name,'/')>0 or strpos(name,'\')>0 then 'Invalid filename: path separators are not allowed' when base is null or base = '' or ext = '' then 'Invalid filename: missing or malformed file extension' when lower(ext) not in ('pdf','md','docx') then 'Invalid filename: only .pdf, .md, or .docx extensions are allowed' when base = '..' then 'Invalid filename: parent directory references are not allowed' else 'OK' end"""
 _STEM = r"regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[pP][dD][fF]$', '')"
 
+# characters beyond the fonts' encoding are written as question marks
+_ENCODED = r"regexp_replace(text, '[^\n\x{20}-\x{7e}\x{a0}-\x{ff}]', '?', 'g')"
+
 _FILES = "(select page_id % 5 as job_id, page_id as pos, 'file' || page_id || ['.pdf', '.PDF', '.txt'][page_id % 3 + 1] as name, cast(octet_length(encode(html)) as bigint) as length from pages)"
 
 # The messages below are fixed values.
@@ -364,6 +409,13 @@ ORACLE_SQL = {
     "download_lookup": f"""select case when pos % 4 = 0 then 'no-' || name else name end as name, case when pos % 3 = 2 then 'Invalid filename: only .pdf, .md, or .docx extensions are allowed'
         when pos % 4 = 0 then 'File not found: no-' || name else 'OK' end as verdict, case when pos % 3 < 2 and pos % 4 > 0 then length end as length from {_FILES}""",
     "image_sizes": "select event_id, case when event_id % 10 < 9 then event_id % 977 + 1 end as width, case when event_id % 10 < 9 then event_id % 613 + 1 end as height from events",
+    "pdf_round_trip": f"select conv_id as doc_id, turn + 1 as page_no, 595e0 as width, 843e0 + turn as height, {_ENCODED} as text, cast(null as varchar) as error from conversations",
+    "pdf_text": f"select conv_id as doc_id, string_agg({_ENCODED}, chr(10) order by turn) as text from conversations group by conv_id",
+    "pdf_overlays": "select conv_id as doc_id, turn + 1 as page_no, 'DRAFT' as text, turn = 1 as covered from conversations",
+    "docx_round_trip": """select doc_id, cast(row_number() over (partition by doc_id order by k) as integer) as para_no, para from (select conv_id as doc_id, 1 as k, trim(text) as para from conversations
+        where turn = 0 and trim(text) <> '' union all select conv_id, 2, '<a & b>' from conversations where turn = 0)""",
+    "markdown_files": f"select 'd' || doc_id || '.md' as name, cast(octet_length(encode(markdown)) as bigint) as length, sha256(markdown) as sha256 from (select doc_id, {_MARKDOWN} as markdown from (select conv_id as doc_id, string_agg(text, chr(10) order by turn) as text from conversations group by conv_id))",
+    "files_of_a_size": f"select name, length, length > 3000 as too_large from {_FILES} where pos % 3 < 2",
     "fonts_colours": "select event_id, ['HELVETICA_BOLD', 'TIMES_ROMAN', 'HELVETICA', 'COURIER'][event_id % 4 + 1] as font, [16711680, 4095, 16, 8, 255, 0, 0, 0][event_id % 8 + 1] as rgb from events",
     "coord_flip": "select event_id, 842.0e0 - value - 30e0 as pdf_y, greatest(0e0, least(value, 595e0 - 150e0)) as clamp_x from events where value > 10 and value > 5",
     "to_markdown": f"select doc_id, {_MARKDOWN} as markdown from documents",

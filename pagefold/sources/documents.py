@@ -2,25 +2,35 @@
 
 import io
 import os
+import re
 import uuid
 import zipfile
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions import drawing
 from pagefold.sources import pdf
 
-PAGES = "doc_id long, page_no int, width double, height double, text string, payload binary, error string"
+PAGES = "doc_id long, page_no int, width double, height double, text string, payload binary, error string, loss string"
+_READ = PAGES.replace("text string", "shown array<struct<y:double,x:double,text:string>>")
 
 
-def pages(documents: DataFrame) -> DataFrame:
-    """documents: doc_id, content. A row for each page; a document that can't be read is one row with error alone."""
+def lines(shown: Column) -> Column:
+    """The text of what a page shows (y, x, text): one line for each y, its parts from left to right."""
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("string").alias("text"))
+    add = lambda a, s: F.struct(s.y.alias("y"), F.when(a.text.isNull(), s.text).otherwise(F.concat(a.text, F.when(a.y == s.y, F.lit(" ")).otherwise(F.lit("\n")), s.text)).alias("text"))
+    return F.when(shown.isNotNull(), F.coalesce(F.aggregate(F.array_sort(shown), start, add).getField("text"), F.lit("")))
+
 
-    schema = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("text", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+def pages(documents: DataFrame) -> DataFrame:
+    """documents: doc_id, content. A row for each page; a document that can't be read is one row with error alone. loss says
+    why packed() would lose something of a page, null if it would not."""
+    shown = pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64()), ("text", pa.string())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("shown", shown), ("payload", pa.binary()), ("error", pa.string()), ("loss", pa.string())])
 
     def run(batches):
         for b in batches:
@@ -31,29 +41,55 @@ def pages(documents: DataFrame) -> DataFrame:
                     rows = [{"doc_id": doc_id, "error": str(e) or type(e).__name__}]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return documents.select("doc_id", "content").mapInArrow(run, PAGES)
+    read = documents.select("doc_id", "content").mapInArrow(run, _READ)
+    return read.select("doc_id", "page_no", "width", "height", lines(F.col("shown")).alias("text"), "payload", "error", "loss")
 
 
-def packed(page_rows: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
-    """page_rows: doc_id, page_no, width, height, payload or text. One file for each document, its pages in order of
-    page_no with their overlays painted in order of seq: doc_id, content. A document is one task's."""
-
-    def run(key, own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("page_no")
-        if own.empty:
-            return pd.DataFrame({"doc_id": [], "content": []})
-        place = {p: k for k, p in enumerate(own["page_no"], 1)}
-        by: dict[int, list[dict]] = {}
-        for o in drawn.sort_values("seq").to_dict("records"):
-            if o["page_no"] in place:
-                by.setdefault(place[o["page_no"]], []).append({k: v for k, v in o.items() if not (isinstance(v, float) and pd.isna(v))})
-        content = pdf.write([{k: v for k, v in p.items() if v is not None} for p in own.to_dict("records")], by, drawing.FONTS)
-        return pd.DataFrame({"doc_id": [key[0]], "content": [content]})
+def document_texts(page_rows: DataFrame) -> DataFrame:
+    """doc_id and text: the texts of a document's pages in order, one after another."""
+    held = F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    return page_rows.groupBy("doc_id").agg(F.array_join(held, "\n").alias("text"))
 
+
+def packed(page_rows: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
+    """page_rows: doc_id, page_no, width, height, payload or text, and loss as pages() gives it, if any. One file for each
+    document, its pages in order of page_no with their overlays painted in order of seq: doc_id, content, error. Where a page
+    would lose something, content is null and error says why. Pages are encoded each by itself, under object numbers from a
+    running count; for a document, only its ready objects are put together."""
+    held = {c: F.col(c) if c in page_rows.columns else F.lit(None).cast(kind) for c, kind in (("payload", "binary"), ("text", "string"), ("loss", "string"))}
+    rows = page_rows.select("doc_id", "page_no", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), *(v.alias(c) for c, v in held.items()))
     if overlays is None:
-        overlays = page_rows.sparkSession.createDataFrame([], "doc_id long, page_no int, seq int, kind string")
-    columns = ["doc_id", "page_no", "width", "height", *(c for c in ("payload", "text") if c in page_rows.columns)]
-    return page_rows.select(*columns).groupBy("doc_id").cogroup(overlays.groupBy("doc_id")).applyInPandas(run, "doc_id long, content binary")
+        rows = rows.withColumn("drawn", F.array())
+        images = F.lit(0)
+    else:
+        painted = F.struct(*(c for c in overlays.columns if c not in ("doc_id", "page_no")))
+        by_page = overlays.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(painted)).alias("drawn"))
+        rows = rows.join(by_page, ["doc_id", "page_no"], "left")
+        images = F.coalesce(F.size(F.filter("drawn", lambda o: o.kind == "image")), F.lit(0))
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum(images + 2).over(before), F.lit(0)) + (pdf.FIRST + len(drawing.FONTS) + 1))
+    kind = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("objects", pa.list_(pa.binary())), ("error", pa.string())])
+
+    def encode(batches):
+        for b in batches:
+            out = []
+            for p in b.to_pylist():
+                objects, error = [], p["loss"]
+                try:
+                    objects = pdf.page_objects(p, p["drawn"] or [], p["first"], drawing.FONTS) if error is None else []
+                except ValueError as e:  # an image that can't be drawn
+                    error = str(e)
+                out.append({"doc_id": p["doc_id"], "first": p["first"], "objects": objects, "error": error})
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    @F.pandas_udf("binary")
+    def file(ready: pd.Series) -> pd.Series:
+        return ready.map(lambda own: pdf.assembled([list(x) for x in own], drawing.FONTS))
+
+    encoded = rows.mapInArrow(encode, "doc_id long, first long, objects array<binary>, error string")
+    whole = encoded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "objects"))).alias("own"), F.min("error").alias("error"))
+    content = F.when(F.col("error").isNull(), file(F.transform("own", lambda x: x["objects"])))
+    return whole.select("doc_id", content.alias("content"), "error")
 
 
 # The parts of a minimal word-processing package.
@@ -83,6 +119,20 @@ def docx_files(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", content("paragraphs").alias("content"))
 
 
+def docx_paragraphs(files: DataFrame) -> DataFrame:
+    """files: doc_id, content, as docx_files() makes them. doc_id, paragraphs."""
+
+    @F.pandas_udf("array<string>")
+    def paragraphs(content: pd.Series) -> pd.Series:
+        def read(raw):
+            with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                return [unescape(x) for x in re.findall(r"<w:t[^>]*>(.*?)</w:t>", z.read("word/document.xml").decode(), re.S)]
+
+        return content.map(lambda raw: read(raw) if raw is not None else None)
+
+    return files.select("doc_id", paragraphs("content").alias("paragraphs"))
+
+
 def stored(files: DataFrame, folder: str) -> DataFrame:
     """files: name, content. Writes each under folder (a URI that executors can write to) by another name first, so that a
     task that is run again or lost leaves whole files only. Returns name, n_bytes of what was written."""

@@ -1,5 +1,8 @@
 """Files of documents: listing, size limit, lookup by name."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,15 @@ NOT_FOUND = "File not found: "
 MOST_ASKED = 1_000
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in spark.checkpoint.dir, which driver and executors share; of this machine's only where that is
+    unset and all tasks run here."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(folder or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def listed(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """name, path, length of the files; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)

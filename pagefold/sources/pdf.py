@@ -1,5 +1,6 @@
-"""A small PDF codec for one document at a time: unencrypted files, Flate or plain streams, simple font encodings.
+"""The bytes of PDF files: unencrypted ones, Flate or plain streams, simple font encodings.
 
+What is per page or per file and nothing else; documents.py makes lines and texts, numbers objects and deals pages in Spark.
 Files of other kinds raise ValueError, which the Spark side turns into a status row.
 """
 
@@ -10,6 +11,7 @@ _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*)", re.S)
 _REF = r"(\d+)\s+\d+\s+R"
 _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]*|[^\s/\[\]()<>]+", re.S)
+_TOKEN_STRING = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)", re.S)
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r\n": b""}
 
@@ -54,9 +56,9 @@ def _string(token: bytes) -> str:
     return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
 
 
-def text_of(content: bytes) -> str:
-    """The strings that a content stream shows, sorted by position into lines."""
-    shown: list[tuple[float, float, str]] = []
+def shown(content: bytes) -> list[dict]:
+    """y (downwards), x and text of the strings that a content stream shows."""
+    out: list[dict] = []
     stack: list = []
     a, line, leading = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], [0.0, 0.0], 0.0
     depth = 0
@@ -80,16 +82,28 @@ def text_of(content: bytes) -> str:
             line = [line[0], line[1] - leading]
         if t in (b"Tj", b"'", b'"', b"TJ"):
             text = "".join(_string(x) for x in stack if x[:1] in b"(<")
-            shown.append((-round(a[1] * line[0] + a[3] * line[1] + a[5], 1), a[0] * line[0] + a[2] * line[1] + a[4], text))
+            out.append({"y": -round(a[1] * line[0] + a[3] * line[1] + a[5], 1), "x": a[0] * line[0] + a[2] * line[1] + a[4], "text": text})
         stack = []
-    rows: dict[float, list[str]] = {}
-    for y, _, text in sorted(shown):
-        rows.setdefault(y, []).append(text)
-    return "\n".join(" ".join(x) for x in rows.values())
+    return out
+
+
+#: Marks pages that name no fonts but those that page_objects() gives them.
+OWN = b"/PagefoldFonts true"
+_NAMED = re.compile(rb"/[^\s/\[\]()<>]+\s+(?:[-+.\d]+\s+Tf|Do|gs|cs|CS|sh|scn|SCN|ri|BDC|DP)\b")
+_OWN_NAMED = re.compile(rb"/[^\s/\[\]()<>]+\s+(?:Do|gs|cs|CS|sh|scn|SCN|ri|BDC|DP)\b")
+
+
+def loss(head: bytes, content: bytes, moved: bool) -> str | None:
+    """Why a page can't be written again from its content alone, or null if it can."""
+    if moved or re.search(rb"/Rotate\s+-?0*[1-9]", head):
+        return "the page is turned or its origin is moved"
+    if m := (_OWN_NAMED if OWN in head else _NAMED).search(re.sub(_TOKEN_STRING, b"", content)):
+        return f"the page has a resource of its own: {m[0].split()[0].decode('latin-1')}"
+    return None
 
 
 def read(raw: bytes) -> list[dict]:
-    """page_no, width, height, text, payload (the content) of each page in order."""
+    """page_no, width, height, shown, payload (the content) and loss of each page in order."""
     if b"%PDF-" not in raw[:1024]:
         raise ValueError("Error: End-of-File, expected line")
     if b"/Encrypt" in raw:
@@ -100,7 +114,7 @@ def read(raw: bytes) -> list[dict]:
     if not roots or not (top := refs(roots[-1], b"Pages")):
         raise ValueError("no page tree")
     out: list[dict] = []
-    todo, seen = [(top[0], (612.0, 792.0))], set()
+    todo, seen = [(top[0], (612.0, 792.0, b""))], set()
     while todo:
         number, box = todo.pop()
         if number in seen or number not in objects:
@@ -109,12 +123,14 @@ def read(raw: bytes) -> list[dict]:
         head = objects[number][0]
         if m := re.search(rb"/MediaBox\s*\[([^\]]*)\]", head):
             x0, y0, x1, y1 = map(float, m[1].split())
-            box = (x1 - x0, y1 - y0)
+            box = (x1 - x0, y1 - y0, b"moved" if x0 or y0 else b"")
+        if turned := re.search(rb"/Rotate\s+-?\d+", head):
+            box = (*box[:2], box[2].split(b"/")[0] + turned[0])
         if re.search(rb"/Type\s*/Pages\b", head):
             todo += [(k, box) for k in reversed(refs(head, b"Kids"))]
         else:
             content = b"\n".join(objects[k][1] or b"" for k in refs(head, b"Contents") if k in objects)
-            out.append({"page_no": len(out) + 1, "width": box[0], "height": box[1], "text": text_of(content), "payload": content})
+            out.append({"page_no": len(out) + 1, "width": box[0], "height": box[1], "shown": shown(content), "payload": content, "loss": loss(head + box[2], content, box[2].startswith(b"moved"))})
     return out
 
 
@@ -173,28 +189,38 @@ def _image(data: bytes) -> bytes:
         w, h, b"/DeviceGray" if colours == 1 else b"/DeviceRGB", colours, w, len(body)) + body + b"\nendstream"
 
 
-def write(pages: list[dict], overlays: dict[int, list[dict]], fonts: dict[str, str]) -> bytes:
-    """pages: width, height, and payload (content) or text, in order; overlays by place from 1, each in order of painting."""
-    body: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
-    add = lambda o: body.append(o) or len(body)
-    named = " ".join(f"/{k} {add(f'<< /Type /Font /Subtype /Type1 /BaseFont /{v} >>'.encode())} 0 R" for k, v in fonts.items()) + f" /F1 {add(b'<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>')} 0 R"
+def page_objects(page: dict, drawn: list[dict], first: int, fonts: dict[str, str]) -> list[bytes]:
+    """The objects of a page, numbered from first: its stream, its images and the page itself. page: width, height, and
+    payload (content) or text; drawn: its overlays in order of painting."""
+    images: list[bytes] = []
+    content = page.get("payload")
+    if content is None:
+        lines = (page.get("text") or "").split("\n")
+        content = b"BT /F1 12 Tf 14 TL 50 %d Td " % (page["height"] - 50) + b" ".join(_literal(x) + b" Tj T*" for x in lines) + b" ET" if page.get("text") else b""
+    painted = b"\n".join(_drawn(o, images) for o in drawn)
+    data = zlib.compress(b"q\n" + content + b"\nQ\n" + painted if painted else content)
+    named = " ".join(f"/{k} {n} 0 R" for n, k in enumerate([*fonts, "F1"], FIRST))
+    held = " ".join(f"/I{j} {first + j} 0 R" for j in range(1, len(images) + 1))
+    own = f"<< /Type /Page /Parent 2 0 R {OWN.decode()} /MediaBox [0 0 {page['width']:g} {page['height']:g}] /Resources << /Font << {named} >> /XObject << {held} >> >> /Contents {first} 0 R >>"
+    return [b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(data) + data + b"\nendstream", *map(_image, images), own.encode()]
+
+
+#: The number of the first font's object; pages' objects come after the fonts'.
+FIRST = 3
+
+
+def assembled(pages: list[list[bytes]], fonts: dict[str, str]) -> bytes:
+    """A file of the objects of its pages, which follow each other from FIRST + len(fonts) + 1 on."""
+    body = [f"<< /Type /Font /Subtype /Type1 /BaseFont /{v} >>".encode() for v in [*fonts.values(), "Helvetica"]]
     kids = []
-    for k, p in enumerate(pages, 1):
-        images: list[bytes] = []
-        content = p.get("payload")
-        if content is None:
-            lines = (p.get("text") or "").split("\n")
-            content = b"BT /F1 12 Tf 14 TL 50 %d Td " % (p["height"] - 50) + b" ".join(_literal(x) + b" Tj T*" for x in lines) + b" ET" if p.get("text") else b""
-        painted = b"\n".join(_drawn(o, images) for o in overlays.get(k, ()))
-        data = zlib.compress(b"q\n" + content + b"\nQ\n" + painted if painted else content)
-        stream = add(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(data) + data + b"\nendstream")
-        held = " ".join(f"/I{j} {add(_image(i))} 0 R" for j, i in enumerate(images, 1))
-        kids.append(add(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {p['width']:g} {p['height']:g}] /Resources << /Font << {named} >> /XObject << {held} >> >> /Contents {stream} 0 R >>".encode()))
-    body[1] = f"<< /Type /Pages /Kids [{' '.join(f'{k} 0 R' for k in kids)}] /Count {len(kids)} >>".encode()
-    out, at = bytearray(b"%PDF-1.4\n"), []
+    for objects in pages:
+        body += objects
+        kids.append(f"{len(body) + FIRST - 1} 0 R")
+    body = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>".encode(), *body]
+    out, at, size = [b"%PDF-1.4\n"], [], 9
     for k, o in enumerate(body, 1):
-        at.append(len(out))
-        out += b"%d 0 obj\n" % k + o + b"\nendobj\n"
-    start = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(body) + 1) + b"".join(b"%010d 00000 n \n" % a for a in at)
-    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(body) + 1, start))
+        at.append(size)
+        out.append(b"%d 0 obj\n" % k + o + b"\nendobj\n")
+        size += len(out[-1])
+    out += [b"xref\n0 %d\n0000000000 65535 f \n" % (len(body) + 1), *(b"%010d 00000 n \n" % a for a in at)]
+    return b"".join([*out, b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(body) + 1, size)])

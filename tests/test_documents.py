@@ -22,9 +22,17 @@ def jpeg(width=7, height=9):
     return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + struct.pack(">HH", height, width) + b"\x01\x01\x11\x00\xff\xd9"
 
 
+def made_of(pages):
+    first, objects = pdf.FIRST + 1, []
+    for p in pages:
+        objects.append(pdf.page_objects(p, [], first, {}))
+        first += len(objects[-1])
+    return pdf.assembled(objects, {})
+
+
 @pytest.fixture
 def docs(spark):
-    made = [(1, pdf.write([{"width": 595, "height": 842, "text": f"page {k}\nsecond (line)"} for k in range(1, 6)], {}, {})), (2, pdf.write([{"width": 300, "height": 200, "text": ""}], {}, {})), (3, b"invalid content"), (4, None)]
+    made = [(1, made_of([{"width": 595, "height": 842, "text": f"page {k}\nsecond (line)"} for k in range(1, 6)])), (2, made_of([{"width": 300, "height": 200, "text": ""}])), (3, b"invalid content"), (4, None)]
     return spark.createDataFrame([(d, None if c is None else bytearray(c)) for d, c in made], "doc_id long, content binary")
 
 
@@ -46,6 +54,23 @@ def test_extract_and_paint(spark, docs):
     assert b"/I1 Do" in back[0]["payload"] and b"100 700 200 30 re f" in back[1]["payload"]
 
 
+def test_pages_that_would_lose_something(spark, docs):
+    """A page with fonts or images of its own, turned or moved, is read, and fails when it is packed."""
+    raw = made_of([{"width": 595, "height": 842, "text": "a /X Do (b"}])
+    other = {1: raw.replace(pdf.OWN, b""), 2: raw.replace(b"[0 0 595", b"[5 0 595"), 3: raw.replace(pdf.OWN, b"/Rotate 90 " + pdf.OWN), 4: raw.replace(pdf.OWN, b"/Rotate 0 " + pdf.OWN), 5: raw}
+    read = documents.pages(spark.createDataFrame([(k, bytearray(v)) for k, v in other.items()], "doc_id long, content binary"))
+    assert [r["text"] for r in read.collect()] == ["a /X Do (b"] * 5
+    got = {r["doc_id"]: (r["content"] is not None, r["error"]) for r in documents.packed(read).collect()}
+    moved = "the page is turned or its origin is moved"
+    assert got == {1: (False, "the page has a resource of its own: /F1"), 2: (False, moved), 3: (False, moved), 4: (True, None), 5: (True, None)}
+    p = documents.pages(docs).filter("doc_id = 2")
+    image = spark.createDataFrame([(bytearray(png()), 100, 50)], "content binary, width int, height int")
+    signed = documents.pages(documents.packed(p, overlays.painted(overlays.signature(p, image))).select("doc_id", "content"))
+    assert documents.packed(signed).first()["error"] == "the page has a resource of its own: /I1"
+    broken = overlays.signature(p, image.withColumn("content", F.lit("GIF89a").cast("binary")))
+    assert documents.packed(p, overlays.painted(broken)).first()["error"] == "not a PNG or JPEG image"
+
+
 def test_image_sizes(spark):
     got = spark.createDataFrame([(bytearray(x),) for x in (png(), png(3, 2, 2), jpeg(), b"GIF89a")], "c binary").select(images.size(F.col("c")).alias("s")).collect()
     assert [r["s"] and tuple(r["s"]) for r in got] == [(100, 50), (3, 2), (7, 9), None]
