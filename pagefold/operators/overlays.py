@@ -4,9 +4,10 @@ Operators append rows; nothing is drawn before a sink paints a page's rows in or
 A cover only hides: the text under it can still be extracted.
 """
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions import drawing
@@ -62,11 +63,11 @@ def cover(pages: DataFrame, x: float, y: float, w: float, h: float, page_no: int
     return _rows(pages.filter(F.col("page_no") == page_no), seq=F.lit(seq), kind=F.lit("rect"), x=F.lit(x), y=F.lit(y), w=F.lit(w), h=F.lit(h), rgb=F.lit(0))
 
 
-def boxes(json: Column) -> Column:
+def boxes(text: Column) -> Column:
     """The boxes of a JSON array, or null if it is none or any box lacks a number; other keys are not looked at."""
-    parsed = F.from_json(json, BOXES)
+    parsed = F.from_json(text, BOXES)
     lacks = lambda b: F.coalesce(b.x, b.y, b.width, b.height, b.pageNum).isNull() | b.x.isNull() | b.y.isNull() | b.width.isNull() | b.height.isNull() | b.pageNum.isNull()
-    return F.when(F.ltrim(json).startswith("[") & ~F.exists(parsed, lacks), parsed)
+    return F.when(F.ltrim(text).startswith("[") & ~F.exists(parsed, lacks), parsed)
 
 
 def cover_many(pages: DataFrame, requests: DataFrame) -> DataFrame:
@@ -100,12 +101,17 @@ def checked(pages: DataFrame, items: DataFrame, done: str, failed: str) -> DataF
     return held.select("doc_id", ok.alias("success"), F.when(ok, F.lit(done)).otherwise(F.lit(f"{failed}: {INVALID_PAGE}")).alias("message"))
 
 
-def stated_texts(spark: SparkSession, docs: DataFrame, items: Sequence[tuple]) -> DataFrame:
-    """The same items (page_no, text, x, y, font_size, font, colour) for each doc_id of docs, in their order."""
+ITEM = {"page_no": "int", "text": "string", "x": "double", "y": "double", "font_size": "double", "font": "string", "colour": "string"}
+
+
+def stated_texts(docs: DataFrame, items: Sequence[tuple]) -> DataFrame:
+    """The same items (page_no, text, x, y, font_size, font, colour) for each doc_id of docs, in their order. The items are a
+    literal that each row unfolds, so nothing is joined."""
     if len(items) > STATED:
         raise ValueError(f"{STATED} stated items at most")
-    rows = spark.createDataFrame([(k, *i) for k, i in enumerate(items, 1)], "seq int, page_no int, text string, x double, y double, font_size double, font string, colour string")
-    return docs.select("doc_id").distinct().join(F.broadcast(rows))
+    held = F.from_json(F.lit(json.dumps([dict(zip(ITEM, i, strict=True)) for i in items])), f"array<struct<{','.join(f'{c}:{kind}' for c, kind in ITEM.items())}>>")
+    each = docs.select("doc_id").distinct().select("doc_id", F.posexplode(held).alias("k", "i"))
+    return each.select("doc_id", (F.col("k") + 1).alias("seq"), "i.*")
 
 
 def painted(overlays: DataFrame) -> DataFrame:

@@ -122,13 +122,13 @@ def add_text(spark, d):
 
 def add_texts(spark, d):
     p = _pages(spark, d)
-    items = overlays.stated_texts(spark, p, [(1, "one", 100.0, 500.0, 12.0, "helvetica-bold", "#FF0000"), (1, "two", None, None, None, "nonesuch", "0x10"), (3, "three", 1.0, 2.0, 9.5, None, "red"), (99, "no", 1.0, 1.0, 1.0, None, None)])
+    items = overlays.stated_texts(p, [(1, "one", 100.0, 500.0, 12.0, "helvetica-bold", "#FF0000"), (1, "two", None, None, None, "nonesuch", "0x10"), (3, "three", 1.0, 2.0, 9.5, None, "red"), (99, "no", 1.0, 1.0, 1.0, None, None)])
     return overlays.texts(p, items).select("doc_id", "page_no", "seq", "text", "x", "y", "font", "font_size", "rgb")
 
 
 def add_texts_status(spark, d):
     p = _pages(spark, d)
-    items = overlays.stated_texts(spark, p, [(1, "one", None, None, None, None, None), (4, "four", None, None, None, None, None)])
+    items = overlays.stated_texts(p, [(1, "one", None, None, None, None, None), (4, "four", None, None, None, None, None)])
     return overlays.checked(p, items, results.DONE["text"], results.FAILED["text"])
 
 
