@@ -19,8 +19,8 @@ from pagefold.llm.common import read, written
 TREES, BITS = 32, 64
 #: Candidates of a query in a shard at least, counted in each tree that finds them (all, in a smaller shard).
 ENOUGH = 8_000
-#: Vectors of a shard and queries of a block, about.
-SHARD, BLOCK = 12_000, 2_000
+#: Vectors of a shard and queries of a block, about. Each vector is sent once for each block, each query once for each shard.
+SHARD, BLOCK = 12_000, 10_000
 
 
 def hashes(x: np.ndarray) -> np.ndarray:
