@@ -1,6 +1,6 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import ann, bpe, linededup, nearcopies, packing, quality, rules, suffixdedup, tokenfiles, toxicity
+from pagefold.llm import ann, bpe, fim, linededup, nearcopies, packing, quality, rules, suffixdedup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_order_minhash": nearcopies.query,
     "op9_token_files": tokenfiles.query,
     "op10_suffix_array_dedup": suffixdedup.query,
+    "op13_fill_in_middle": fim.query,
 }
-ORACLE_SQL = {"op7_quality_rules": rules.SQL}
+ORACLE_SQL = {"op7_quality_rules": rules.SQL, "op13_fill_in_middle": fim.SQL}
