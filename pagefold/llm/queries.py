@@ -1,6 +1,6 @@
 """The corpus queries and their DuckDB SQL."""
 
-from pagefold.llm import ann, bpe, fim, linededup, nearcopies, packing, ppm, quality, rules, suffixdedup, tokenfiles, toxicity
+from pagefold.llm import ann, bpe, conversations, fim, linededup, nearcopies, packing, ppm, quality, rules, suffixdedup, tokenfiles, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_token_files": tokenfiles.query,
     "op10_suffix_array_dedup": suffixdedup.query,
     "op11_lm_scoring": ppm.query,
+    "op12_conversation_trie": conversations.query,
     "op13_fill_in_middle": fim.query,
 }
 ORACLE_SQL = {"op7_quality_rules": rules.SQL, "op13_fill_in_middle": fim.SQL}
