@@ -30,7 +30,9 @@ ORDER = 5
 ESCAPED = 0.5
 END, SYMBOLS, SYMBOL_BITS = 256, 257, 9
 #: Bytes of the texts of a block, or one longer text, and bytes looked at together.
-BLOCK, PIECE = 32 << 20, 1 << 20
+BLOCK, PIECE = 24 << 20, 1 << 19
+#: Grams of pieces that are held before they are summed.
+MERGED = 1 << 20
 
 
 def parts(texts: list[bytes], order: int = ORDER):
@@ -80,13 +82,17 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def counted(texts: list[bytes], held: list[bool], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
     """Of a block's texts: all grams, rising, with their counts in the texts that are not held out; the same of words."""
-    keys, counts = [], []
+    keys, counts, size = [], [], 0
     for pieces in parts(texts, order):
         for out in (False, True):
             if own := [p for p in pieces if held[p[0]] == out]:
                 key, n = np.unique(grams(own, order)[0], return_counts=True)
                 keys.append(key)
                 counts.append(np.zeros(len(key), np.int64) if out else n)
+                size += len(key)
+        if size > MERGED:
+            keys, counts = ([x] for x in summed(keys, counts))
+            size = 0
     return *summed(keys, counts), word_counts(texts, held)
 
 
@@ -152,27 +158,28 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
         number = TaskContext.get().partitionId() << 32
 
-        def block(ids, raws, held):
+        def block(ids, raws, held, id_type):
             key, n, words = counted(raws, held, order)
             one = lambda values, t: pa.array([values], pa.list_(t))
             return pa.RecordBatch.from_arrays([
-                pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(raws)], pa.int32()), pa.concat_arrays(ids)), one(held, pa.bool_()), one([len(r) for r in raws], pa.int32()),
+                pa.array([number]), one(ids, id_type), one(held, pa.bool_()), one([len(r) for r in raws], pa.int32()),
                 pa.array([zstandard.ZstdCompressor(3).compress(b"".join(raws))], pa.binary()), one(key, pa.int64()), one(n, pa.int64()), one(list(words), pa.binary()), one(list(words.values()), pa.int64()),
             ], [x.split()[0] for x in packed_.split(", ")])
 
         ids, raws, held, size = [], [], [], 0
         for b in batches:
-            for k, (t, out) in enumerate(zip(b.column("text"), b.column("__held").to_pylist(), strict=True)):
+            id_type = b.schema.field("doc_id").type
+            for i, t, out in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("__held").to_pylist(), strict=True):
                 raw = t.as_py().encode()
                 if raws and size + len(raw) > block_bytes:
-                    yield block(ids, raws, held)
+                    yield block(ids, raws, held, id_type)
                     ids, raws, held, size, number = [], [], [], 0, number + 1
-                ids.append(b.column("doc_id").slice(k, 1))
+                ids.append(i)  # a value: a slice would keep its batch in memory
                 raws.append(raw)
                 held.append(out)
                 size += len(raw)
         if raws:
-            yield block(ids, raws, held)
+            yield block(ids, raws, held, id_type)
 
     blocks = written(d.mapInArrow(packed, packed_), "blocks")
     each = blocks.select("block", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("gram_n").alias("n"))))
