@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagefold.functions import intervals
+
 INTS = "array<int>"
 
 
@@ -69,6 +71,27 @@ def ranges(text: Column, most: int = 100_000) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ","), pages))))
 
 
+def range_set(text: Column) -> Column:
+    """'1,3,5-7' as a form reads it, as a set of intervals in normal form: of any width, as nothing is unfolded. Items that
+    are no numbers of up to 18 digits are left out, as are pages below 1."""
+
+    def number(item: Column) -> Column:
+        return F.when(_trim(item).rlike(r"^[+-]?[0-9]{1,18}$"), _trim(item).try_cast("long"))
+
+    def found(item: Column) -> Column:
+        one, parts = number(item), F.split(item, "-")
+        lo, hi = number(F.element_at(parts, 1)), number(F.try_element_at(parts, F.lit(2)))
+        wide = F.contains(item, F.lit("-")) & (lo >= 1) & (lo <= hi)
+        return F.when(wide, intervals.interval(lo, hi)).when(one >= 1, intervals.interval(one, one))
+
+    return intervals.merged(F.filter(F.transform(F.split(text, ","), found), lambda i: i.isNotNull()))
+
+
+def first_malformed(text: Column) -> Column:
+    """The first item of a list of integers that is none, trimmed; null if all are."""
+    return F.try_element_at(F.transform(F.filter(_items(text), lambda i: _int(i).isNull()), _trim), F.lit(1))
+
+
 def serialized(selection: Column) -> Column:
     """Arrays of pages as 'a,b;c', without empty groups."""
     return F.array_join(F.transform(F.filter(selection, lambda g: F.size(g) > 0), lambda g: F.array_join(g.cast("array<string>"), ",")), ";")

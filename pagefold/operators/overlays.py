@@ -1,7 +1,7 @@
-"""What is drawn on pages, as rows: doc_id, page_no, seq, kind, x, y, w, h, matrix, text, font, font_size, rgb, image.
+"""What is drawn on pages, as rows: doc_id, page_no, seq, kind, x, y, w, h, matrix, text, font, font_size, rgb, image_id.
 
 Operators append rows; nothing is drawn before a sink paints a page's rows in order of seq, so k items cost one join.
-A cover only hides: the text under it can still be extracted.
+An image's bytes are not among them: a sink joins them by image_id where it paints. A cover only hides: the text under it can still be extracted.
 """
 
 import json
@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from pagefold.functions import drawing
 from pagefold.operators.pages import INVALID_PAGE, STATED, guarded, page_counts
 from pagefold.operators.results import DONE, FAILED
+from pagefold.sources import images as image_sizes
 
 SCHEMA = {
     "doc_id": "long", "page_no": "int", "seq": "int", "kind": "string", "x": "double", "y": "double", "w": "double", "h": "double",
-    "matrix": "array<double>", "text": "string", "font": "string", "font_size": "double", "rgb": "int", "image": "binary",
+    "matrix": "array<double>", "text": "string", "font": "string", "font_size": "double", "rgb": "int", "image_id": "string",
 }
 MALFORMED_BOXES = "malformed list of boxes"
-#: Bytes of a signature's image at most, as it is broadcast.
-IMAGE_BYTES = 4 << 20
+#: What is said of an opacity beyond 0 to 1, which gives no colour.
+BAD_SHADE = "Color parameter outside of expected range: Red Green Blue"
 BOXES = "array<struct<x:double,y:double,width:double,height:double,pageNum:double>>"
 
 
@@ -28,10 +29,15 @@ def _rows(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(columns.get(c, F.col(c) if c in ("doc_id", "page_no") else F.lit(None)).cast(kind).alias(c) for c, kind in SCHEMA.items()))
 
 
-def stamp(pages: DataFrame, text: Column | str, x: float | None = None, y: float | None = None, rotation: float = 45.0, opacity: float = 0.3, seq: int = 1) -> DataFrame:
+def _column(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def stamp(pages: DataFrame, text: Column | str, x: float | None = None, y: float | None = None, rotation: float = 45.0, opacity: Column | float = 0.3, seq: int = 1) -> DataFrame:
     """A text across all pages (doc_id, page_no, width, height): cut to 30 characters, from the middle of the page unless x
-    and y are given, in a gray that stands for the opacity."""
-    shade = drawing.gray(F.lit(float(opacity)))
+    and y are given, in a gray that stands for the opacity. Pages whose opacity gives no colour get none; see stamp_status()."""
+    shade = drawing.gray(_column(opacity))
+    pages = pages.filter(shade.isNotNull())
     at = [F.coalesce(F.lit(v).cast("double"), F.col(side) / 2) for v, side in ((x, "width"), (y, "height"))]
     return _rows(
         pages, seq=F.lit(seq), kind=F.lit("stamp"), x=at[0], y=at[1], matrix=drawing.turned(F.lit(float(rotation)), *at), font=F.lit("HELVETICA_BOLD"),
@@ -39,6 +45,12 @@ def stamp(pages: DataFrame, text: Column | str, x: float | None = None, y: float
     )
 
 
+def stamp_status(docs: DataFrame, opacity: Column | float = 0.3) -> DataFrame:
+    """Of each row of docs whether stamp() finds a colour for its opacity: doc_id, success, message."""
+    ok = drawing.gray(_column(opacity)).isNotNull()
+    return docs.select("doc_id", ok.alias("success"), F.when(ok, F.lit(DONE["stamp"])).otherwise(F.lit(f"{FAILED['stamp']}: {BAD_SHADE}")).alias("message"))
+
+
 def texts(pages: DataFrame, items: DataFrame) -> DataFrame:
     """items: doc_id, page_no, seq, text, x, y, font_size, font, colour; null x, y and font_size are 50, 750 and 12. Items on
     pages that a document lacks are left out; see checked()."""
@@ -47,15 +59,28 @@ def texts(pages: DataFrame, items: DataFrame) -> DataFrame:
     return _rows(joined, seq=F.col("seq"), kind=F.lit("text"), x=default("x", 50.0), y=default("y", 750.0), text=F.col("text"), font=drawing.font(F.col("font")), font_size=default("font_size", 12.0), rgb=drawing.rgb(F.col("colour")))
 
 
+def images(content: DataFrame) -> DataFrame:
+    """content: content (bytes). Each different image once: image_id (its SHA-256) and content, for a sink to join."""
+    return content.filter("content is not null").select(F.sha2("content", 256).alias("image_id"), "content").dropDuplicates(["image_id"])
+
+
 def signature(pages: DataFrame, image: DataFrame, page_no: int = 1, x: float = 400.0, y: float = 100.0, seq: int = 1) -> DataFrame:
-    """image: one row of content, width and height in pixels, drawn at 0.3 of its size. Its one row is broadcast, as it is of
-    IMAGE_BYTES at most. Documents without the page get none; see signature_status()."""
-    sizes = image.limit(2).select(F.octet_length("content")).collect()
-    if len(sizes) != 1 or (sizes[0][0] or 0) > IMAGE_BYTES:
-        raise ValueError(f"one image of {IMAGE_BYTES} bytes at most is wanted")
-    image = image.select(F.col("content").alias("image"), (F.col("width") * drawing.SIGNATURE_SCALE).alias("w"), (F.col("height") * drawing.SIGNATURE_SCALE).alias("h"))
-    joined = pages.filter(F.col("page_no") == page_no).select("doc_id", "page_no").join(F.broadcast(image))
-    return _rows(joined, seq=F.lit(seq), kind=F.lit("image"), x=F.lit(x), y=F.lit(y), w=F.col("w"), h=F.col("h"), image=F.col("image"))
+    """image: one row of content, width and height in pixels, drawn at 0.3 of its size. The rows name it by its id; see
+    images(). Documents without the page get none; see signature_status()."""
+    found = image.select(F.sha2("content", 256).alias("image_id"), "width", "height").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("one image is wanted")
+    size = [F.lit(side * drawing.SIGNATURE_SCALE if side is not None else None) for side in (found[0]["width"], found[0]["height"])]
+    return _rows(pages.filter(F.col("page_no") == page_no), seq=F.lit(seq), kind=F.lit("image"), x=F.lit(x), y=F.lit(y), w=size[0], h=size[1], image_id=F.lit(found[0]["image_id"]))
+
+
+def signatures(pages: DataFrame, requests: DataFrame, seq: int = 1) -> DataFrame:
+    """requests: doc_id, page_no, x, y, content; null page_no, x and y are 1, 400 and 100. As signature(), with an image of its own for each request;
+    requests for pages that a document lacks, and those whose image has no size, give no rows."""
+    size = image_sizes.size(F.col("content"))
+    named = requests.select("doc_id", F.coalesce("page_no", F.lit(1)).alias("page_no"), F.coalesce("x", F.lit(400.0)).alias("x"), F.coalesce("y", F.lit(100.0)).alias("y"), F.sha2("content", 256).alias("image_id"), size.alias("size")).filter("size is not null")
+    joined = named.join(pages.select("doc_id", "page_no"), ["doc_id", "page_no"])
+    return _rows(joined, seq=F.lit(seq), kind=F.lit("image"), x=F.col("x"), y=F.col("y"), w=F.col("size.width") * drawing.SIGNATURE_SCALE, h=F.col("size.height") * drawing.SIGNATURE_SCALE, image_id=F.col("image_id"))
 
 
 def cover(pages: DataFrame, x: float, y: float, w: float, h: float, page_no: int = 1, seq: int = 1) -> DataFrame:
@@ -64,10 +89,11 @@ def cover(pages: DataFrame, x: float, y: float, w: float, h: float, page_no: int
 
 
 def boxes(text: Column) -> Column:
-    """The boxes of a JSON array, or null if it is none or any box lacks a number; other keys are not looked at."""
-    parsed = F.from_json(text, BOXES)
+    """The boxes of a JSON array, or null if it is none or any box lacks a number; other keys are not looked at. Numbers in
+    quotes, and what is no number in JSON (NaN, Infinity), are none."""
+    parsed = F.from_json(text, BOXES, {"allowNonNumericNumbers": "false"})
     lacks = lambda b: F.coalesce(b.x, b.y, b.width, b.height, b.pageNum).isNull() | b.x.isNull() | b.y.isNull() | b.width.isNull() | b.height.isNull() | b.pageNum.isNull()
-    return F.when(F.ltrim(text).startswith("[") & ~F.exists(parsed, lacks), parsed)
+    return F.when(text.rlike(r"^[ \t\r\n]*\[") & ~F.exists(parsed, lacks), parsed)
 
 
 def cover_many(pages: DataFrame, requests: DataFrame) -> DataFrame:

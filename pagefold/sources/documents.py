@@ -51,23 +51,29 @@ def document_texts(page_rows: DataFrame) -> DataFrame:
     return page_rows.groupBy("doc_id").agg(F.array_join(held, "\n").alias("text"))
 
 
-def packed(page_rows: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
+def packed(page_rows: DataFrame, overlays: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """page_rows: doc_id, page_no, width, height, payload or text, and loss as pages() gives it, if any. One file for each
     document, its pages in order of page_no with their overlays painted in order of seq: doc_id, content, error. Where a page
-    would lose something, content is null and error says why. Pages are encoded each by itself, under object numbers from a
+    would lose something, content is null and error says why. images: image_id, content of those that overlays name; their
+    bytes move to the pages that show them, once. Pages are encoded each by itself, under object numbers from a
     running count; for a document, only its ready objects are put together."""
     held = {c: F.col(c) if c in page_rows.columns else F.lit(None).cast(kind) for c, kind in (("payload", "binary"), ("text", "string"), ("loss", "string"))}
     rows = page_rows.select("doc_id", "page_no", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), *(v.alias(c) for c, v in held.items()))
     if overlays is None:
         rows = rows.withColumn("drawn", F.array())
-        images = F.lit(0)
+        n_images = F.lit(0)
     else:
         painted = F.struct(*(c for c in overlays.columns if c not in ("doc_id", "page_no")))
         by_page = overlays.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(painted)).alias("drawn"))
         rows = rows.join(by_page, ["doc_id", "page_no"], "left")
-        images = F.coalesce(F.size(F.filter("drawn", lambda o: o.kind == "image")), F.lit(0))
+        n_images = F.coalesce(F.size(F.filter("drawn", lambda o: o.kind == "image")), F.lit(0))
+    shown = F.lit(None).cast("map<string,binary>")
+    if overlays is not None and images is not None:
+        named = overlays.filter("kind = 'image'").select("doc_id", "page_no", "image_id").distinct().join(images.select("image_id", "content"), "image_id")
+        rows = rows.join(named.groupBy("doc_id", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("image_id", "content"))).alias("shown")), ["doc_id", "page_no"], "left")
+        shown = F.col("shown")
     before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("first", F.coalesce(F.sum(images + 2).over(before), F.lit(0)) + (pdf.FIRST + len(drawing.FONTS) + 1))
+    rows = rows.withColumn("shown", shown).withColumn("first", F.coalesce(F.sum(n_images + 2).over(before), F.lit(0)) + (pdf.FIRST + len(drawing.FONTS) + 1))
     kind = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("objects", pa.list_(pa.binary())), ("error", pa.string())])
 
     def encode(batches):
@@ -75,8 +81,10 @@ def packed(page_rows: DataFrame, overlays: DataFrame | None = None) -> DataFrame
             out = []
             for p in b.to_pylist():
                 objects, error = [], p["loss"]
+                found = dict(p["shown"] or [])
                 try:
-                    objects = pdf.page_objects(p, p["drawn"] or [], p["first"], drawing.FONTS) if error is None else []
+                    drawn = [o | {"image": found.get(o["image_id"])} if o["kind"] == "image" else o for o in p["drawn"] or []]
+                    objects = pdf.page_objects(p, drawn, p["first"], drawing.FONTS) if error is None else []
                 except ValueError as e:  # an image that can't be drawn
                     error = str(e)
                 out.append({"doc_id": p["doc_id"], "first": p["first"], "objects": objects, "error": error})

@@ -145,6 +145,8 @@ def _drawn(o: dict, images: list[bytes]) -> bytes:
     if o["kind"] == "rect":
         return b"q " + colour + n(o["x"], o["y"], o["w"], o["h"]) + b" re f Q"
     if o["kind"] == "image":
+        if o["image"] is None:
+            raise ValueError("the image is missing")
         images.append(o["image"])
         return b"q " + n(o["w"], 0, 0, o["h"], o["x"], o["y"]) + f" cm /I{len(images)} Do Q".encode()
     matrix = o.get("matrix") if o.get("matrix") is not None else (1, 0, 0, 1, o["x"], o["y"])

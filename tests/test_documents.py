@@ -48,7 +48,7 @@ def test_extract_and_paint(spark, docs):
     chosen = pages.extract(p, pages.selection(spark, [(1, 3), (2, 1)], "pos int, page_no int")).withColumnRenamed("out_page", "page_no")
     image = spark.createDataFrame([(bytearray(png()),)], "content binary").select("content", images.size(F.col("content")).alias("s")).select("content", "s.width", "s.height")
     drawn = overlays.stamp(chosen, "CONFIDENTIAL").union(overlays.signature(chosen, image, 1, seq=2)).union(overlays.cover(chosen, 100.0, 700.0, 200.0, 30.0, 2, seq=3))
-    out = documents.packed(chosen, overlays.painted(drawn))
+    out = documents.packed(chosen, overlays.painted(drawn), overlays.images(image))
     back = documents.pages(out).filter("doc_id = 1").orderBy("page_no").collect()
     assert [sorted(r["text"].split("\n")) for r in back] == [["CONFIDENTIAL", f"page {k}", "second (line)"] for k in (3, 1)]
     assert b"/I1 Do" in back[0]["payload"] and b"100 700 200 30 re f" in back[1]["payload"]
@@ -65,10 +65,30 @@ def test_pages_that_would_lose_something(spark, docs):
     assert got == {1: (False, "the page has a resource of its own: /F1"), 2: (False, moved), 3: (False, moved), 4: (True, None), 5: (True, None)}
     p = documents.pages(docs).filter("doc_id = 2")
     image = spark.createDataFrame([(bytearray(png()), 100, 50)], "content binary, width int, height int")
-    signed = documents.pages(documents.packed(p, overlays.painted(overlays.signature(p, image))).select("doc_id", "content"))
+    signed = documents.pages(documents.packed(p, overlays.painted(overlays.signature(p, image)), overlays.images(image)).select("doc_id", "content"))
     assert documents.packed(signed).first()["error"] == "the page has a resource of its own: /I1"
-    broken = overlays.signature(p, image.withColumn("content", F.lit("GIF89a").cast("binary")))
-    assert documents.packed(p, overlays.painted(broken)).first()["error"] == "not a PNG or JPEG image"
+    gif = image.withColumn("content", F.lit("GIF89a").cast("binary"))
+    broken = overlays.painted(overlays.signature(p, gif))
+    assert documents.packed(p, broken, overlays.images(gif)).first()["error"] == "not a PNG or JPEG image"
+    assert documents.packed(p, broken).first()["error"] == documents.packed(p, broken, overlays.images(image)).first()["error"] == "the image is missing"
+
+
+@pytest.mark.parametrize("before, want", [(b"\xff\xe1\x00\x04ab" * 70, (7, 9)), (b"\xff" * 300, (7, 9)), (b"\xff\xfe\x00\x03a\xff\xff\xff\x01\xff\xd8", (7, 9)), (b"\xff\xda\x00\x02", None), (b"\xff\xe1\x00\x00", None), (b"ab", None), (b"\xff\xe1\xff\xff", None), (b"\xff\xc4\x00\x02\xff\xcc\x00\x02", (7, 9))])
+def test_segments_before_a_frame(spark, before, want):
+    made = b"\xff\xd8" + before + jpeg()[8:]
+    rows = spark.createDataFrame([(bytearray(made),), (bytearray(made[: len(before) + 2]),), (bytearray(b"\xff\xd8"),)], "c binary")
+    got = [r["s"] and tuple(r["s"]) for r in rows.coalesce(1).select(images.size(F.col("c")).alias("s")).collect()]
+    assert got == [want, None, None]
+
+
+def test_signatures_of_their_own(spark, docs):
+    p = documents.pages(docs).filter("doc_id < 3")
+    asked = spark.createDataFrame([(1, 2, None, 7.0, bytearray(png())), (1, 9, 1.0, 1.0, bytearray(png())), (2, None, None, None, bytearray(jpeg())), (2, 1, 1.0, 1.0, bytearray(b"GIF89a"))], "doc_id long, page_no int, x double, y double, content binary")
+    drawn = overlays.signatures(p, asked)
+    got = sorted((r["doc_id"], r["page_no"], r["x"], r["y"], round(r["w"], 6), round(r["h"], 6)) for r in drawn.collect())
+    assert got == [(1, 2, 400.0, 7.0, 30.0, 15.0), (2, 1, 400.0, 100.0, 2.1, 2.7)]
+    assert documents.packed(p, overlays.painted(drawn), overlays.images(asked)).filter("error is null").count() == 2
+    assert overlays.images(asked).count() == 3
 
 
 def test_image_sizes(spark):

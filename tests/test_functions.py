@@ -51,7 +51,7 @@ def test_markup(spark, text, md, paras):
     assert value(spark, markup.paragraphs(t)) == paras
 
 
-@pytest.mark.parametrize("json, want", [("[]", 0), ("nope", None), ("[1,2]", None), ('{"x":1,"y":1,"width":1,"height":1,"pageNum":1}', None), ('[{"x":1,"y":1,"width":1,"height":1}]', None), ('[{"x":"2","y":1,"width":1,"height":1,"pageNum":1}]', None), ('[{"x":1,"y":1,"width":1,"height":1,"pageNum":1.9,"z":0}]', 1)])
+@pytest.mark.parametrize("json, want", [("[]", 0), ("nope", None), ("[1,2]", None), ('{"x":1,"y":1,"width":1,"height":1,"pageNum":1}', None), ('[{"x":1,"y":1,"width":1,"height":1}]', None), ('[{"x":"2","y":1,"width":1,"height":1,"pageNum":1}]', None), ('[{"x":1,"y":1,"width":1,"height":1,"pageNum":1.9,"z":0}]', 1), ('\n\t [{"x":1,"y":1,"width":1,"height":1,"pageNum":1}]', 1), ('[{"x":"NaN","y":1,"width":1,"height":1,"pageNum":1}]', None), ('[{"x":NaN,"y":1,"width":1,"height":1,"pageNum":1}]', None), ('[{"x":1,"y":"Infinity","width":1,"height":1,"pageNum":1}]', None), ('[{"x":1,"y":-Infinity,"width":1,"height":1,"pageNum":1}]', None), ("[null]", None)])
 def test_boxes(spark, json, want):
     got = value(spark, overlays.boxes(F.lit(json)))
     assert (None if got is None else len(got)) == want
