@@ -138,6 +138,63 @@ def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return at.select(F.shiftleft("context", SYMBOL_BITS).bitwiseOR(F.col("symbol")).alias("gram"), F.col("whole").alias("value"))
 
 
+PACKED = "block long, words boolean, keys binary, numbers binary, first binary"
+#: Rows that a task gathers for the blocks before it sends them.
+GATHERED = 1 << 20
+
+
+def _packs(key: str, number: str, first: str | None = None):
+    """Of rows block, key, number and first, on their way to the blocks: a row for each block of GATHERED rows or the task's."""
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(3).compress
+
+        def packed(held):
+            t = pa.Table.from_batches(held).combine_chunks().sort_by([("block", "ascending"), (key, "ascending")])
+            block = t.column("block").to_numpy()
+            start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            rows = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(block)], strict=True):
+                own = t.slice(a, b - a)
+                raw = b" ".join(own.column(key).to_pylist()) if first else np.diff(own.column(key).to_numpy(), prepend=0).tobytes()
+                rows.append((int(block[a]), bool(first), press(raw), press(own.column(number).to_numpy().tobytes()), press(np.packbits(own.column(first).to_numpy(zero_copy_only=False)).tobytes()) if first else None))
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= GATHERED:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _unpacked(packs: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int, bool]]]:
+    """Grams, rising, with their values; words with their counts, and whether the block is the first that has them."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    keys, values, words = [np.zeros(0, np.int64)], [np.zeros(0)], []
+    for r in packs.to_pylist():
+        if r["words"]:
+            names = open_(r["keys"]).split(b" ")
+            words += zip(names, np.frombuffer(open_(r["numbers"]), np.int64).tolist(), np.unpackbits(np.frombuffer(open_(r["first"]), np.uint8))[: len(names)].astype(bool).tolist(), strict=True)
+        else:
+            keys.append(np.cumsum(np.frombuffer(open_(r["keys"]), np.int64)))
+            values.append(np.frombuffer(open_(r["numbers"]), np.float64))
+    key = np.concatenate(keys)
+    by = np.argsort(key)
+    return key[by], np.concatenate(values)[by], words
+
+
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score and score, the
     logarithm (base 10) of the text's probability under the model of all rows that are not held out.
@@ -188,10 +245,8 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     same = Window.partitionBy("word")
     words = blocks.select("block", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("word_n").alias("n"))))
     words = words.select("block", "word", "n", F.sum("n").over(same).alias("total"), F.min(F.when(F.col("n") > 0, F.col("block"))).over(same).alias("first")).filter("total <> n")
-    none = lambda t: F.lit(None).cast(t)
-    back = values.select("block", "gram", "value", none("binary").alias("word"), none("long").alias("total"), none("boolean").alias("first")).unionByName(
-        words.select("block", none("long").alias("gram"), none("double").alias("value"), "word", "total", (F.col("first") == F.col("block")).alias("first"))
-    )
+    words = words.select("block", "word", "total", (F.col("first") == F.col("block")).alias("first"))
+    back = values.select("block", "gram", "value").mapInArrow(_packs("gram", "value"), PACKED).unionByName(words.mapInArrow(_packs("word", "total", "first"), PACKED))
     out = f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, logs double, score double, new_words long"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -200,8 +255,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         raw, size = zstandard.ZstdDecompressor().decompress(left.column("texts")[0].as_py()), left.column("sizes")[0].as_py()
         held, ends = left.column("held")[0].as_py(), np.cumsum([0, *size]).tolist()
         raws = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        model = right.filter(right.column("gram").is_valid()).sort_by("gram")
-        keys, value = model.column("gram").to_numpy(), model.column("value").to_numpy()
+        keys, value, known = _unpacked(right)
         code = np.zeros(len(raws))
         for pieces in parts(raws, order):
             key, n = grams(pieces, order)
@@ -213,9 +267,8 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
                 np.add.at(code, full, np.add.reduceat(value[np.searchsorted(keys, key)], start))
         count = word_counts(raws, held)
         fresh = sum(n > 0 for n in count.values())
-        known = right.filter(right.column("word").is_valid())
-        for w, n, first in zip(known.column("word").to_pylist(), known.column("total").to_pylist(), known.column("first").to_pylist(), strict=True):
-            fresh -= (count[w] > 0) - bool(first)
+        for w, n, first in known:
+            fresh -= (count[w] > 0) - first
             count[w] = n
         tokens, found, logs = [], [], []
         for t in raws:
