@@ -15,6 +15,20 @@ STAMP_CHARACTERS, STAMP_SIZE, SIGNATURE_SCALE = 30, 60.0, 0.3
 STAMP_TURN, STAMP_OPACITY = (0, 90), (10, 80)
 
 
+# The characters of the fonts' encoding beyond ASCII and the upper half of Latin-1.
+MORE_CHARACTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+#: Fonts of other characters than letters, in which no text is written.
+OTHER_CHARACTERS = ("SYMBOL", "ZAPF_DINGBATS")
+
+
+def lacking(text: Column, font_name: Column) -> Column:
+    """What is said of a text that a font (by its enumeration name) can't show: its first character that the font lacks,
+    also a line break; null if it has all."""
+    beyond = F.regexp_extract(text, rf"[^ -~\u00a0-\u00ff{MORE_CHARACTERS}]", 0)
+    first = F.when(font_name.isin(*OTHER_CHARACTERS), F.substring(text, 1, 1)).otherwise(beyond)
+    return F.when(first != "", F.concat(F.format_string("U+%04X is not available in the font ", F.ascii(first)), font_name))
+
+
 def font(name: Column) -> Column:
     """The enumeration name of a font, in any case and with hyphens; others and null are HELVETICA."""
     known = F.upper(F.translate(name, "-", "_"))

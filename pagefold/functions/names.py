@@ -1,6 +1,8 @@
 """File names: what outputs are called, and which names may be asked for."""
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suffixes of the operations, allowed extensions and verdicts.
@@ -31,6 +33,26 @@ def output_name(name: Column, suffix: str, extension: str, key: Column | None =
     return F.concat(base_name(name, suffix), F.lit("_"), digits, F.lit(f".{extension}"))
 
 
+def part_name(name: Column, kind: str, number: Column, key: Column | None = None) -> Column:
+    """The name of one of the documents that a split makes: base name, kind (page or part) with its number, 8 digits. key: as
+    in output_name(); the digits follow from it and the number."""
+    digits = F.substring(F.expr("uuid()"), 1, 8) if key is None else F.substring(F.sha2(F.concat_ws(":", key.cast("string"), F.lit(kind), number.cast("string")), 256), 1, 8)
+    return F.concat(base_name(name, "split"), F.lit(f"_{kind}"), number.cast("string"), F.lit("_"), digits, F.lit(".pdf"))
+
+
+def settled(files: DataFrame, order: Sequence[str], name: str = "name") -> DataFrame:
+    """files, one row for each name: the last one in order of some columns, as it would be found after all were written, with
+    n_writers. Of rows alike in those, the one of greatest other columns; rows without a name are left out."""
+    rest = [c for c in files.columns if c not in order and c != name and files.schema[c].dataType.typeName() != "map"]
+    last = F.max_by(F.struct(*files.columns), F.struct(*order, *rest))
+    return files.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(last.alias("__last"), F.count("*").alias("n_writers")).select("__last.*", "n_writers")
+
+
+def clashes(files: DataFrame, name: str = "name") -> DataFrame:
+    """job_id, name, n_writers of names that a job would write more than once."""
+    return files.filter(F.col(name).isNotNull()).groupBy("job_id", F.col(name).alias("name")).agg(F.count("*").alias("n_writers")).filter("n_writers > 1")
+
+
 def verdict(name: Column) -> Column:
     """The first rule that a name breaks, or OK."""
     head, tail = F.regexp_extract(name, r"(?s)^(.*)\.([^.]*)$", 1), F.regexp_extract(name, r"(?s)^(.*)\.([^.]*)$", 2)

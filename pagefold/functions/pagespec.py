@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from pagefold.functions import intervals
 
 INTS = "array<int>"
+# What is said of numbers and ranges that can't be read.
+NOT_A_NUMBER = "For input string: "
+OUT_OF_BOUNDS = "Index {0} out of bounds for length {0}"
 
 
 def _trim(text: Column) -> Column:
@@ -17,6 +20,11 @@ def _int(text: Column) -> Column:
     return F.when(_trim(text).rlike(r"^[+-]?[0-9]+$"), _trim(text).try_cast("int"))
 
 
+def integer(text: Column) -> Column:
+    """A 32-bit integer, trimmed; null if it is none."""
+    return _int(text)
+
+
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -87,6 +95,29 @@ def range_set(text: Column) -> Column:
     return intervals.merged(F.filter(F.transform(F.split(text, ","), found), lambda i: i.isNotNull()))
 
 
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit(NOT_A_NUMBER), F.lit('"'), text, F.lit('"'))
+
+
+def list_cause(text: Column) -> Column:
+    """What is said of a malformed list of integers: its first item that is none; null if all are."""
+    return _quoted(first_malformed(text))
+
+
+def groups_cause(text: Column) -> Column:
+    """What is said of malformed groups: of the first item, in order, that can't be read; null if all can, or text is blank."""
+
+    def of(item: Column) -> Column:
+        parts = F.split(F.regexp_replace(item, "-+$", ""), "-")
+        first, last = _trim(F.element_at(parts, 1)), _trim(F.try_element_at(parts, F.lit(2)))
+        wide = F.when(_int(first).isNull(), _quoted(first)).when(last.isNull(), F.lit(OUT_OF_BOUNDS.format(1))).when(_int(last).isNull(), _quoted(last))
+        return F.when(item.rlike("^-+$"), F.lit(OUT_OF_BOUNDS.format(0))).when(F.contains(item, F.lit("-")), wide).when(_int(item).isNull(), _quoted(item))
+
+    parts = F.when(text.rlike("^;+$"), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, ";+$", ""), ";"))
+    each = F.flatten(F.transform(parts, lambda g: F.transform(_items(_trim(g)), lambda i: of(_trim(i)))))
+    return F.when(_trim(text) != "", F.try_element_at(F.filter(each, lambda c: c.isNotNull()), F.lit(1)))
+
+
 def first_malformed(text: Column) -> Column:
     """The first item of a list of integers that is none, trimmed; null if all are."""
     return F.try_element_at(F.transform(F.filter(_items(text), lambda i: _int(i).isNull()), _trim), F.lit(1))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import intervals, pagespec
 from pagefold.operators.pages import page_counts
-from pagefold.operators.results import DONE, FAILED, NOT_A_NUMBER
+from pagefold.operators.results import DONE, FAILED
 
 RUNS = "array<struct<doc_id:bigint,lo:bigint,hi:bigint>>"
 STEP = {"op": "string", "spec": "string", "start": "long", "target": "long", "doc_id": "long"}
@@ -75,7 +75,7 @@ def _chosen(s: Column, n: Column) -> Column:
 
 
 def _cause(s: Column) -> Column:
-    number = F.concat(F.lit(NOT_A_NUMBER), F.lit('"'), F.coalesce(pagespec.first_malformed(s["spec"]), F.lit("")), F.lit('"'))
+    number = pagespec.list_cause(F.coalesce(s["spec"], F.lit("")))
     return F.when(s["op"] == "merge", F.lit(NO_DOCUMENT)).when(s["op"].isin("extract", "remove", "remove_each"), number).otherwise(F.lit(UNKNOWN))
 
 

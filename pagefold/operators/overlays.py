@@ -45,10 +45,15 @@ def stamp(pages: DataFrame, text: Column | str, x: float | None = None, y: float
     )
 
 
-def stamp_status(docs: DataFrame, opacity: Column | float = 0.3) -> DataFrame:
-    """Of each row of docs whether stamp() finds a colour for its opacity: doc_id, success, message."""
-    ok = drawing.gray(_column(opacity)).isNotNull()
-    return docs.select("doc_id", ok.alias("success"), F.when(ok, F.lit(DONE["stamp"])).otherwise(F.lit(f"{FAILED['stamp']}: {BAD_SHADE}")).alias("message"))
+def stamp_cause(text: Column, opacity: Column) -> Column:
+    """Why a stamp can't be painted: an opacity without a colour, or a character that its font lacks; null if it can."""
+    return F.when(drawing.gray(opacity).isNull(), F.lit(BAD_SHADE)).otherwise(drawing.lacking(F.substring(text, 1, drawing.STAMP_CHARACTERS), F.lit("HELVETICA_BOLD")))
+
+
+def stamp_status(docs: DataFrame, opacity: Column | float = 0.3, text: Column | str = "") -> DataFrame:
+    """Of each row of docs whether its stamp can be painted: doc_id, success, message."""
+    cause = stamp_cause(F.lit(text) if isinstance(text, str) else text, _column(opacity))
+    return docs.select("doc_id", cause.isNull().alias("success"), F.when(cause.isNull(), F.lit(DONE["stamp"])).otherwise(F.concat(F.lit(f"{FAILED['stamp']}: "), cause)).alias("message"))
 
 
 def texts(pages: DataFrame, items: DataFrame) -> DataFrame:
@@ -127,6 +132,17 @@ def checked(pages: DataFrame, items: DataFrame, done: str, failed: str) -> DataF
     return held.select("doc_id", ok.alias("success"), F.when(ok, F.lit(done)).otherwise(F.lit(f"{failed}: {INVALID_PAGE}")).alias("message"))
 
 
+def checked_texts(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, success, message of each document with items (doc_id, page_no, seq, text, font): what is wrong with the first,
+    in order of seq, that can't be drawn, as its page is missing or its font lacks a character."""
+    counted = items.join(page_counts(pages).select("doc_id", "page_count"), "doc_id", "left")
+    there = F.coalesce(F.col("page_no").between(F.lit(1), F.col("page_count")), F.lit(False))
+    cause = F.when(~there, F.lit(INVALID_PAGE)).otherwise(drawing.lacking(F.col("text"), drawing.font(F.col("font"))))
+    first = counted.withColumn("cause", cause).groupBy("doc_id").agg(F.min_by("cause", F.when(F.col("cause").isNotNull(), F.struct("seq", "cause"))).alias("cause"))
+    ok = F.col("cause").isNull()
+    return first.select("doc_id", ok.alias("success"), F.when(ok, F.lit(DONE["text"])).otherwise(F.concat(F.lit(f"{FAILED['text']}: "), "cause")).alias("message"))
+
+
 ITEM = {"page_no": "int", "text": "string", "x": "double", "y": "double", "font_size": "double", "font": "string", "colour": "string"}
 
 

@@ -18,7 +18,6 @@ TOO_LARGE = "File size exceeds maximum allowed size of 100MB. Please upload a sm
 BAD_UPLOAD = "Error processing file upload. Please ensure you're uploading valid PDF files."
 MISSING = "Missing required parameter: "
 BAD_INPUT = "Invalid input: "
-NOT_A_NUMBER = "For input string: "
 UNEXPECTED = "An unexpected error occurred while processing your request. Please try again."
 MOST_BYTES = 100 * 1024 * 1024
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.functions import intervals, pagespec
-from pagefold.operators import results
 from pagefold.operators.pages import page_counts
 
 #: What a specification of each kind of request is.
@@ -97,5 +96,5 @@ def outcomes(pages: DataFrame, requests: DataFrame, kind: str) -> DataFrame:
     }[kind]
     read = pagespec.groups(spec, n) if kind in ("split", "unassigned") else pagespec.ints(spec)
     ok = read.isNotNull()
-    cause = F.lit("malformed page groups") if kind in ("split", "unassigned") else F.concat(F.lit(results.NOT_A_NUMBER), F.lit('"'), F.coalesce(pagespec.first_malformed(spec), F.lit("")), F.lit('"'))
+    cause = (pagespec.groups_cause if kind in ("split", "unassigned") else pagespec.list_cause)(F.coalesce(spec, F.lit("")))
     return _counted(pages, requests).select("job_id", "doc_id", ok.alias("success"), F.when(ok, size.cast("long")).alias("n_pages"), F.when(~ok, cause).alias("cause"))

@@ -150,7 +150,7 @@ def redact_multiple(spark, d):
     return drawn.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "seq", "x", "y", "w", "h")
 
 
-REQUESTS = ("[]", "nope", '{"x":1,"y":1,"width":1,"height":1,"pageNum":1}', '[{"x":1,"y":1,"width":1,"height":1}]', '[{"x":"2","y":1,"width":1,"height":1,"pageNum":1}]', BOXES)
+REQUESTS = ("[]", "nope", '{"x":1,"y":1,"width":1,"height":1,"pageNum":1}', '[{"x":1,"y":1,"width":1,"height":1}]', '[{"x":"2","y":1,"width":1,"height":1,"pageNum":1}]', BOXES, '\n\t []', '[{"x":"NaN","y":1,"width":1,"height":1,"pageNum":1}]', '[{"x":Infinity,"y":1,"width":1,"height":1,"pageNum":1}]', "[null]")
 
 
 def redact_status(spark, d):
@@ -173,7 +173,7 @@ def cover_status(spark, d):
 
 
 def stamp_shades(spark, d):
-    opacity = (F.col("event_id") % 9) / 10
+    opacity = (F.col("event_id") % 14 - 2) / 10
     return _read(spark, d, "events").select("event_id", drawing.gray(opacity).alias("gray"))
 
 
@@ -392,11 +392,11 @@ ORACLE_SQL = {
     "add_signature": "select conv_id as doc_id, cast(turn + 1 as integer) as page_no, 400e0 as x, 100e0 as y, 30e0 as w, 15e0 as h from conversations where turn = 1",
     "redact": "select conv_id as doc_id, cast(turn + 1 as integer) as page_no, 100e0 as x, 700e0 as y, 200e0 as w, 30e0 as h, 0 as rgb from conversations where turn = 1",
     "redact_multiple": "select c.conv_id as doc_id, r.page_no, r.seq, r.x, r.y, r.w, r.h from conversations c join (values (1,cast(1 as bigint),10.5e0,20e0,100e0,30e0),(2,3,0e0,0e0,50.5e0,5e0),(3,99,0e0,0e0,1e0,1e0)) r(seq,page_no,x,y,w,h) on c.turn + 1 = r.page_no",
-    "redact_status": f"select distinct conv_id as doc_id, conv_id % 6 in (0, 5) as success, case when conv_id % 6 in (0, 5) then '{results.DONE['cover']}' else '{results.FAILED['cover']}: {overlays.MALFORMED_BOXES}' end as message from conversations",
+    "redact_status": f"select distinct conv_id as doc_id, conv_id % 10 in (0, 5, 6) as success, case when conv_id % 10 in (0, 5, 6) then '{results.DONE['cover']}' else '{results.FAILED['cover']}: {overlays.MALFORMED_BOXES}' end as message from conversations",
     "redact_far_pages": "select conv_id as doc_id, turn + 1 as page_no, 3 as seq from conversations where turn + 1 = conv_id % 3",
     "signature_status": f"select doc_id, 4 as page_no, case when n < 4 then '{results.FAILED['signature']}: {pages.INVALID_PAGE}' else '{results.DONE['signature']}' end as message, n >= 4 as success from {COUNTS}",
     "cover_status": f"select doc_id, 6 as page_no, case when n < 6 then '{results.FAILED['cover']}: {pages.INVALID_PAGE}' else '{results.DONE['cover']}' end as message, n >= 6 as success from {COUNTS}",
-    "stamp_shades": "select event_id, [255, 229, 204, 178, 153, 127, 101, 76, 50][event_id % 9 + 1] as gray from events",
+    "stamp_shades": "select event_id, [null, null, 255, 229, 204, 178, 153, 127, 101, 76, 50, 25, 0, null][event_id % 14 + 1] as gray from events",
     "stamp_limits": "select event_id, length(event_type) between 1 and 30 and event_id % 120 <= 90 and event_id % 101 between 10 and 80 as fits from events",
     "extract_outcomes": f"select doc_id, cast(2 * (n >= 3)::int + (n >= 7)::int as bigint) as n_pages from {COUNTS}",
     "remove_outcomes": f"select doc_id, cast(greatest(n - 5, 0) as bigint) as n_pages from {COUNTS}",

@@ -85,7 +85,7 @@ def packed(page_rows: DataFrame, overlays: DataFrame | None = None, images: Data
                 try:
                     drawn = [o | {"image": found.get(o["image_id"])} if o["kind"] == "image" else o for o in p["drawn"] or []]
                     objects = pdf.page_objects(p, drawn, p["first"], drawing.FONTS) if error is None else []
-                except ValueError as e:  # an image that can't be drawn
+                except ValueError as e:  # an image or a text that can't be drawn
                     error = str(e)
                 out.append({"doc_id": p["doc_id"], "first": p["first"], "objects": objects, "error": error})
             yield pa.RecordBatch.from_pylist(out, kind)

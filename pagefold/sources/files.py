@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions import names
-from pagefold.operators.results import FAILED, MOST_BYTES
+from pagefold.operators.results import FAILED, MOST_BYTES, outcome
 
 NOT_FOUND = "File not found: "
 #: Files whose paths pass through the driver at most.
@@ -47,6 +47,22 @@ def accepted(files: DataFrame, suffix: str = ".pdf", most_files: int = 20, most_
     return fine.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("pos"))).filter(F.col("place") <= most_files).drop("place")
 
 
+def limited(files: DataFrame, most_file: int = MOST_BYTES, most_request: int = MOST_BYTES) -> DataFrame:
+    """files: job_id, length. With refused: whether the whole job is, as one of its files or all of them together are over
+    the limit. A null length counts as 0. Jobs are summed before they are joined, so that a job of many files is no single
+    task's."""
+    sums = files.groupBy("job_id").agg(F.coalesce(F.max("length"), F.lit(0)).alias("most"), F.coalesce(F.sum("length"), F.lit(0)).alias("all"))
+    over = sums.select(F.col("job_id").alias("__job"), ((F.col("most") > most_file) | (F.col("all") > most_request)).alias("refused"))
+    return files.join(over, F.col("job_id").eqNullSafe(F.col("__job"))).drop("__job")
+
+
+def refused(files: DataFrame, most_file: int = MOST_BYTES, most_request: int = MOST_BYTES) -> DataFrame:
+    """files: job_id, length. A row for each job: job_id, n_files, n_bytes, status (413 if it is refused), success, message."""
+    sums = files.groupBy("job_id").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"), F.coalesce(F.max("length"), F.lit(0)).alias("most"))
+    o = outcome(F.when((F.col("most") > most_file) | (F.col("n_bytes") > most_request), F.lit("too_large")).otherwise(F.lit("done")), F.lit("OK"))
+    return sums.select("job_id", "n_files", "n_bytes", o["status"].alias("status"), o["success"].alias("success"), o["message"].alias("message"))
+
+
 def found(spark: SparkSession, asked: DataFrame, folder: str, pattern: str = "*") -> DataFrame:
     """asked: name, a few. As lookup(), reading only the files of those names: names are resolved by the listing, and the
     contents of the resolved paths alone are read."""

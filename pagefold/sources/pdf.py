@@ -7,6 +7,8 @@ Files of other kinds raise ValueError, which the Spark side turns into a status
 import re
 import zlib
 
+from pagefold.functions.drawing import MORE_CHARACTERS, OTHER_CHARACTERS
+
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*)", re.S)
 _REF = r"(\d+)\s+\d+\s+R"
@@ -138,6 +140,14 @@ def _literal(text: str) -> bytes:
     return b"(" + re.sub(rb"([()\\])", rb"\\\1", text.encode("cp1252", "replace")) + b")"
 
 
+def _shown(text: str, font: str) -> bytes:
+    """A drawn text; what the font lacks is not changed but fails."""
+    for c in text:
+        if not (" " <= c <= "~" or "\xa0" <= c <= "\xff" or c in MORE_CHARACTERS) or font in OTHER_CHARACTERS:
+            raise ValueError(f"U+{ord(c):04X} is not available in the font {font}")
+    return _literal(text)
+
+
 def _drawn(o: dict, images: list[bytes]) -> bytes:
     n = lambda *v: " ".join(f"{float(x):.4f}".rstrip("0").rstrip(".") for x in v).encode()
     rgb = int(o.get("rgb") or 0)
@@ -150,7 +160,7 @@ def _drawn(o: dict, images: list[bytes]) -> bytes:
         images.append(o["image"])
         return b"q " + n(o["w"], 0, 0, o["h"], o["x"], o["y"]) + f" cm /I{len(images)} Do Q".encode()
     matrix = o.get("matrix") if o.get("matrix") is not None else (1, 0, 0, 1, o["x"], o["y"])
-    return b"q " + colour + b"BT /" + (o.get("font") or "HELVETICA").encode() + b" " + n(o.get("font_size") or 12) + b" Tf " + n(*matrix) + b" Tm " + _literal(o.get("text") or "") + b" Tj ET Q"
+    return b"q " + colour + b"BT /" + (o.get("font") or "HELVETICA").encode() + b" " + n(o.get("font_size") or 12) + b" Tf " + n(*matrix) + b" Tm " + _shown(o.get("text") or "", o.get("font") or "HELVETICA") + b" Tj ET Q"
 
 
 def _image(data: bytes) -> bytes:
