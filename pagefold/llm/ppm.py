@@ -30,7 +30,7 @@ ORDER = 5
 ESCAPED = 0.5
 END, SYMBOLS, SYMBOL_BITS = 256, 257, 9
 #: Bytes of the texts of a block, or one longer text, and bytes looked at together.
-BLOCK, PIECE = 24 << 20, 1 << 19
+BLOCK, PIECE = 32 << 20, 1 << 19
 #: Grams of pieces that are held before they are summed.
 MERGED = 1 << 20
 
