@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefold.functions import drawing, intervals, names, pagespec
 from pagefold.operators import edits, overlays, pages, requests, results, selections
 from pagefold.plans.catalog import BOXES, COUNTS, _pages, _read
-from pagefold.sources import files, images
+from pagefold.sources import committed, documents, files, images
 
 C = F.col("doc_id")
 
@@ -191,11 +191,35 @@ def jpeg_sizes(spark, d):
     return _read(spark, d, "events").select("event_id", F.unhex(hexed).alias("content")).select("event_id", size["width"].alias("width"), size["height"].alias("height"))
 
 
+def raised_lines(spark, d):
+    """Words of conversations laid out five to a line, of which some stand a point or two lower."""
+    word = lambda w, i: F.struct((F.floor(i / 5) * 14.0 + i % 3).cast("double").alias("y"), (i % 5 * 10.0).cast("double").alias("x"), w.alias("text"))
+    return _pages(spark, d).select("doc_id", "page_no", documents.lines(F.shuffle(F.transform(F.split("text", " "), word))).alias("text"))
+
+
+def _stored(spark, d):
+    name = _text("file", F.col("page_id"), F.element_at(F.array(F.lit(".pdf"), F.lit(".md"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int")))
+    return _read(spark, d, "pages").select("page_id", name.alias("name"), F.encode("html", "UTF-8").alias("content"))
+
+
+def committed_files(spark, d):
+    folder = files.new_folder(spark)
+    committed.write_files(_stored(spark, d), folder)
+    return files.loaded(spark, folder, "*").select("name", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def downloads(spark, d):
+    folder = files.new_folder(spark)
+    committed.write_files(_stored(spark, d).filter("page_id % 4 > 0"), folder)
+    asked = _stored(spark, d).select(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("../"), F.col("name"))).otherwise(F.col("name")).alias("name"))
+    return files.download(spark, asked, folder).select("name", "verdict", F.octet_length("content").cast("long").alias("length"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         own_extracts, own_removals, own_removals_each, own_groups, own_unassigned, own_outcomes, range_sets, edited_pages, edit_outcomes, request_results, request_limits, files_within_limits,
-        split_names, name_clashes, last_writers, stamp_status, texts_status, lacking_characters, jpeg_sizes,
+        split_names, name_clashes, last_writers, stamp_status, texts_status, lacking_characters, jpeg_sizes, raised_lines, committed_files, downloads,
     )
 }
 
@@ -289,4 +313,9 @@ ORACLE_SQL = {
     "lacking_characters": rf"""select doc_id, case when c <> '' then 'U+' || printf('%04X', unicode(c)) || ' is not available in the font COURIER' end as cause
         from (select doc_id, regexp_extract(replace(text, chr(10), ' '), '[^\x{{20}}-\x{{7e}}\x{{a0}}-\x{{ff}}{drawing.MORE_CHARACTERS}]', 0) as c from documents)""",
     "jpeg_sizes": "select event_id, cast(event_id % 977 + 1 as integer) as width, cast(event_id % 613 + 1 as integer) as height from events",
+    "raised_lines": """select conv_id as doc_id, turn + 1 as page_no, array_to_string(list_transform(range(0, (len(string_split(text, ' ')) + 4) // 5), lambda k: array_to_string(string_split(text, ' ')[5 * k + 1 : 5 * k + 5], ' ')), chr(10)) as text from conversations""",
+    "committed_files": "select 'file' || page_id || ['.pdf', '.md', '.txt'][page_id % 3 + 1] as name, cast(octet_length(encode(html)) as bigint) as length, sha256(html) as sha256 from pages where html <> ''",
+    "downloads": f"""with f as (select page_id, 'file' || page_id || ['.pdf', '.md', '.txt'][page_id % 3 + 1] as name, cast(octet_length(encode(html)) as bigint) as length from pages),
+        a as (select *, case when page_id % 7 = 0 then '../' || name else name end as asked, case when page_id % 7 = 0 then '{names.SEPARATOR}' when page_id % 3 = 2 then '{names.EXTENSION}' when page_id % 4 = 0 or length = 0 then 'File not found: ' || name else 'OK' end as verdict from f)
+        select asked as name, verdict, case when verdict = 'OK' then length end as length from a""",
 }

@@ -19,11 +19,26 @@ PAGES = "doc_id long, page_no int, width double, height double, text string, pay
 _READ = PAGES.replace("text string", "shown array<struct<y:double,x:double,text:string>>")
 
 
-def lines(shown: Column) -> Column:
-    """The text of what a page shows (y, x, text): one line for each y, its parts from left to right."""
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("string").alias("text"))
-    add = lambda a, s: F.struct(s.y.alias("y"), F.when(a.text.isNull(), s.text).otherwise(F.concat(a.text, F.when(a.y == s.y, F.lit(" ")).otherwise(F.lit("\n")), s.text)).alias("text"))
-    return F.when(shown.isNotNull(), F.coalesce(F.aggregate(F.array_sort(shown), start, add).getField("text"), F.lit("")))
+#: Points by which the text of a line may be raised or lowered.
+RISE = 4.0
+
+
+def lines(shown: Column, rise: float = RISE) -> Column:
+    """The text of what a page shows (y, x, text): lines from top to bottom, the parts of each from left to right. A line
+    begins with what stands highest and holds all that is lower by rise at most, so that raised text stays in it."""
+    held = "array<struct<line:int,x:double,y:double,text:string>>"
+    begin = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("top"), F.array().cast(held).alias("out"))
+
+    def deal(a: Column, s: Column) -> Column:
+        new = F.coalesce(s["y"] - a["top"] > rise, F.lit(True))
+        line, top = a["line"] + new.cast("int"), F.when(new, s["y"]).otherwise(a["top"])
+        part = F.struct(line.alias("line"), s["x"].alias("x"), s["y"].alias("y"), s["text"].alias("text"))
+        return F.struct(line.alias("line"), top.alias("top"), F.concat(a["out"], F.array(part)).alias("out"))
+
+    start = F.struct(F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text"))
+    add = lambda a, s: F.struct(s["line"].alias("line"), F.when(a["text"].isNull(), s["text"]).otherwise(F.concat(a["text"], F.when(a["line"] == s["line"], F.lit(" ")).otherwise(F.lit("\n")), s["text"])).alias("text"))
+    dealt = F.array_sort(F.aggregate(F.array_sort(shown), begin, deal)["out"])
+    return F.when(shown.isNotNull(), F.coalesce(F.aggregate(dealt, start, add)["text"], F.lit("")))
 
 
 def pages(documents: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """Files of documents: listing, size limit, lookup by name."""
 
+import os
+import posixpath
+import re
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +15,13 @@ from pagefold.functions import names
 from pagefold.operators.results import FAILED, MOST_BYTES, outcome
 
 NOT_FOUND = "File not found: "
-#: Files whose paths pass through the driver at most.
-MOST_ASKED = 1_000
+# Fixed value.
+ACCESS_DENIED = "Access denied: file is outside the allowed directory"
 
 
 def new_folder(spark: SparkSession) -> str:
     """A folder of its own in spark.checkpoint.dir, which driver and executors share; of this machine's only where that is
-    unset and all tasks run here."""
+    unset and all tasks run here, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -63,15 +68,48 @@ def refused(files: DataFrame, most_file: int = MOST_BYTES, most_request: int = M
     return sums.select("job_id", "n_files", "n_bytes", o["status"].alias("status"), o["success"].alias("success"), o["message"].alias("message"))
 
 
-def found(spark: SparkSession, asked: DataFrame, folder: str, pattern: str = "*") -> DataFrame:
-    """asked: name, a few. As lookup(), reading only the files of those names: names are resolved by the listing, and the
-    contents of the resolved paths alone are read."""
-    rows = listed(spark, folder, pattern).join(asked.select("name").distinct(), "name", "left_semi").select("path").limit(MOST_ASKED + 1).collect()
-    if len(rows) > MOST_ASKED:
-        raise ValueError(f"at most {MOST_ASKED} files can be looked up by path; join with loaded() for more")
-    paths = [r["path"] for r in rows]
-    stored = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, content binary")
-    return lookup(asked, stored.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
+def resolved(asked: DataFrame, folder: str) -> DataFrame:
+    """asked: path and more. With inside: whether the path, after all links and dots are followed, still lies in folder.
+    Links are followed on executors, and where the store has none (another scheme than file) only dots are."""
+    local = not urlparse(folder).scheme or urlparse(folder).scheme == "file"
+    plain = lambda uri: re.sub("^[a-z0-9+.-]+:(//[^/]*)?", "", uri)
+    follow = os.path.realpath if local else posixpath.normpath
+
+    @F.pandas_udf("boolean")
+    def inside(path: pd.Series) -> pd.Series:
+        root = follow(plain(folder)).rstrip("/")
+        return path.map(lambda p: None if p is None else follow(plain(p)).startswith(f"{root}/"))
+
+    return asked.withColumn("inside", inside("path"))
+
+
+def download(spark: SparkSession, asked: DataFrame, folder: str) -> DataFrame:
+    """asked: name, any number of them. Each with verdict (OK, the rule that it breaks, that there is no such file, or that it
+    lies outside the folder) and content. Names are joined with the listing, and executors read the files that were asked
+    for and no others. Of equal names, the file written last counts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    stored = files.select(F.element_at(F.split("path", "/"), -1).alias("__name"), "path", "modificationTime")
+    last = stored.groupBy("__name").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+    checked = asked.select("name", names.verdict(F.col("name")).alias("verdict"))
+    known = resolved(checked.join(last, (F.col("name") == F.col("__name")) & (F.col("verdict") == "OK"), "left"), folder)
+    missing, outside = (F.col("verdict") == "OK") & F.col("path").isNull(), (F.col("verdict") == "OK") & ~F.col("inside")
+    judged = known.select(
+        "name", F.when(missing, F.concat(F.lit(NOT_FOUND), F.col("name"))).when(outside, F.lit(ACCESS_DENIED)).otherwise(F.col("verdict")).alias("verdict"), F.when(F.col("inside"), F.col("path")).alias("path")
+    )
+
+    @F.pandas_udf("binary")
+    def content(path: pd.Series) -> pd.Series:
+        def read(p):
+            from pyarrow import fs
+
+            local = re.sub("^file:(//)?", "", p)
+            store, at = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(p)
+            with store.open_input_stream(at) as f:
+                return f.read()
+
+        return path.map(lambda p: None if p is None else read(p))
+
+    return judged.select("name", "verdict", content("path").alias("content"))
 
 
 def lookup(asked: DataFrame, stored: DataFrame) -> DataFrame:
