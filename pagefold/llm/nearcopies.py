@@ -7,12 +7,12 @@ Jaccard similarity: at 0.8 (one word in 50 changed) all SKETCHES differ once in
 in 30,000, at 0.5 three times in a thousand.
 
 Equal texts are one node from the start. A group of candidates is first compared with one pivot, the least node, which is
-the same in all groups of the same texts: k - 1 pairs. A group that then still has several components is settled exactly
-if it has up to LISTED texts, by one task: bit sets of their words rule out the pairs that differ in too many, and what they
+the same in all groups of the same texts: k - 1 pairs. A group that then still has several components is settled exactly,
+by one task if it has up to LISTED texts: bit sets of their words rule out the pairs that differ in too many, and what they
 leave between different components is compared, first along a forest of the likeliest pairs, then all the rest; a pair
-that has several such groups is compared in one. Only links leave the task, fewer than texts. A larger group is split by each further sketch of its texts, again and again, until its parts are settled or small. So two candidates
-are compared, or lie in one class already, unless more than LISTED texts of several classes share every sketch that the
-two have in common; of such only the links to the pivots are found.
+that has several such groups is compared in one. Only links leave the task, fewer than texts. A larger group, or one of
+very long texts, is cut into blocks by length and hash, and each two blocks whose lengths allow a link are one task's group;
+large groups of the same texts are one. So two candidates are always compared, or lie in one class already.
 """
 
 import functools
@@ -32,8 +32,8 @@ SKETCHES = 20
 LEAST = 0.8
 #: Longs of the least bit set of words.
 BITS = 16
-#: Texts of a group all of whose pairs are looked at.
-LISTED = 1_000
+#: Texts of a group, and their words, that one task looks at; of larger groups it gets two blocks of about half as many.
+LISTED, HELD = 1_000, 1 << 23
 #: Words of a text from which places are lists, and words between two looks at how far an alignment has come.
 LONG, ROWS = 4_096, 64
 
@@ -374,6 +374,29 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([f(nodes[i], nodes[j]) for i, j in found], pa.binary()) for f in (min, max)], schema=LINKS)
 
 
+def tiles(large: DataFrame) -> DataFrame:
+    """large: gid, node, n of groups. gid, node, n of groups that one task can hold: each two texts of a group whose lengths
+    allow a link are together in one of these.
+
+    Texts of a group are dealt to bands of length, so wide that linked texts are in one or in neighbouring ones, and those
+    of a band by hash to blocks; a tile is two blocks of a band, the same twice too, or of neighbouring ones."""
+    name = F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
+    alike_ = large.groupBy("gid").agg(F.count("*").alias("c"), F.sum(name).alias("s"), F.sum(name.bitwiseXOR(F.lit(0x5555555555)) % 1_000_003).alias("t"))
+    once = alike_.groupBy("c", "s", "t").agg(F.min("gid").alias("gid")).select("gid")
+    band = F.floor(F.log(F.col("n") + 0.5) / -np.log(LEAST) - 1e-9).cast("int")
+    banded_ = written(large.join(once.hint("merge"), "gid", "left_semi").select("gid", "node", "n", band.alias("band")), "banded")
+    counts = banded_.groupBy("gid", "band").agg(F.greatest(F.lit(1), F.ceil(2 * F.count("*") / LISTED), F.ceil(2 * F.sum("n") / HELD)).cast("int").alias("blocks"))
+    at = lambda c, step: counts.select("gid", (F.col("band") + step).alias("band"), F.col("blocks").alias(c)).hint("merge")
+    known = banded_.join(at("blocks", 0), ["gid", "band"]).join(at("below", 1), ["gid", "band"], "left").join(at("above", -1), ["gid", "band"], "left")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    each = lambda n, tile: F.transform(F.filter(F.sequence(F.lit(-1), F.coalesce(n, F.lit(0)) - 1), lambda k: k >= 0), tile)
+    named = lambda lower, i, upper, j: F.xxhash64(F.col("gid"), lower, i, upper, j)
+    own = each(F.col("blocks"), lambda k: named(F.col("band"), F.least(k, F.col("block")), F.col("band"), F.greatest(k, F.col("block"))))
+    below = each(F.col("below"), lambda k: named(F.col("band") - 1, k, F.col("band"), F.col("block")))
+    above = each(F.col("above"), lambda k: named(F.col("band"), F.col("block"), F.col("band") + 1, k))
+    return written(known.withColumn("block", block).select(F.explode(F.concat(own, below, above)).alias("gid"), "node", "n"), "tiles")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, node (MD5 of its text), class_id (the least doc_id of its class), n_class (the
     different texts of its class) and kept (true for one row of each class, of that doc_id).
@@ -388,25 +411,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = written(own.select("node", "raw").mapInArrow(_sketched, "node binary, n long, keys array<long>, bits array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "sketches")
 
     def grouped(keyed: DataFrame) -> DataFrame:
-        """gid, last, node, n: with k (texts) and p (the pivot) of each group of two or more."""
-        groups = written(keyed.groupBy("gid").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("p")).filter("k > 1"), "groups")
-        return written(keyed.join(groups.hint("merge"), "gid").select("gid", "last", "node", "n", "k", "p"), "members")
+        """gid, node, n: with k (texts), words (of all) and p (the pivot) of each group of two or more."""
+        groups = written(keyed.groupBy("gid").agg(F.count("*").alias("k"), F.sum("n").alias("words"), F.min(F.struct("node", "n")).alias("p")).filter("k > 1"), "groups")
+        return written(keyed.join(groups.hint("merge"), "gid").select("gid", "node", "n", "k", "words", "p"), "members")
 
-    members = grouped(nodes.select("node", "n", F.posexplode("keys").alias("last", "gid")))
+    members = grouped(nodes.select("node", "n", F.explode("keys").alias("gid")))
     raws = written(
         own.select("node", "raw").mapInArrow(_squeezed, "node binary, raw binary").groupBy("node").agg(F.first("raw").alias("raw")).join(members.select("node").distinct(), "node", "left_semi"), "texts"
     )
-    roots = tests = None
-
-    def tried(pairs: DataFrame) -> None:
-        nonlocal roots, tests
-        pairs = written(pairs.distinct() if tests is None else pairs.distinct().join(tests.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        at = lambda c: raws.select(F.col("node").alias(c), F.col("raw").alias(f"r{c}")).hint("merge")
-        both = pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "ra", "rb")
-        found = written(both.mapInArrow(_verified, "a binary, b binary, ok boolean"), "tried")
-        tests = found if tests is None else tests.unionByName(found)
-        if roots is None or found.filter("ok").head(1):
-            roots = joined(roots, found.filter("ok"))
+    # each group with its pivot
+    close = (F.least("n", "p.n") >= LEAST * F.greatest("n", "p.n")) & (F.col("node") != F.col("p.node"))
+    pairs = written(members.filter(close).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    at = lambda c: raws.select(F.col("node").alias(c), F.col("raw").alias(f"r{c}")).hint("merge")
+    both = pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "ra", "rb")
+    roots = joined(None, written(both.mapInArrow(_verified, "a binary, b binary, ok boolean"), "tried").filter("ok"))
 
     def unsettled(members: DataFrame) -> DataFrame:
         """Members, with their roots, of groups with several."""
@@ -414,18 +432,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         several = written(rooted.groupBy("gid").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("gid"), "several")
         return written(rooted.join(several.hint("merge"), "gid"), "unsettled")
 
-    small = None
-    while True:
-        close = (F.least("n", "p.n") >= LEAST * F.greatest("n", "p.n")) & (F.col("node") != F.col("p.node"))
-        tried(members.filter(close).select(F.col("p.node").alias("a"), F.col("node").alias("b")))
-        rest = unsettled(members)
-        few = rest.filter(F.col("k") <= LISTED).select("gid", "node", "n")
-        small = few if small is None else small.unionByName(few)
-        large = rest.filter(F.col("k") > LISTED).select("gid", "last", "node", "n")
-        if not large.head(1):
-            break
-        further = large.join(nodes.select("node", "keys").hint("merge"), "node").select("gid", "last", "node", "n", F.posexplode("keys").alias("next", "key")).filter("next > last")
-        members = grouped(further.select(F.xxhash64("gid", "key").alias("gid"), F.col("next").alias("last"), "node", "n"))
+    rest = unsettled(members)
+    fits = (F.col("k") <= LISTED) & (F.col("words") <= HELD)
+    small, large = rest.filter(fits).select("gid", "node", "n"), rest.filter(~fits)
+    if large.head(1):
+        small = small.unionByName(tiles(large))
     small = unsettled(small)
     if small.head(1):
         several = small.groupBy("node").agg(F.collect_list("gid").alias("gids")).join(nodes.select("node", "bits").hint("merge"), "node").join(raws.hint("merge"), "node")
