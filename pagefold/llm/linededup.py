@@ -7,7 +7,8 @@ the earliest that have other runs of it, with the next in which these are left o
 one that has them. Each pair is aligned by patience diff; aligned blocks of min_words words are deleted from the later
 document. As each line of such a block lies in a run within the block, what is deleted, blank lines aside, is what an
 alignment of all pairs would delete, though a run of n documents makes about n - 1 pairs. Texts themselves move once, when
-the lines are cut out.
+the lines are cut out. Documents of the same lines are one: only the earliest of them is aligned, as the others lose all
+their lines to it.
 """
 
 from bisect import bisect_left
@@ -39,6 +40,8 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 MANY = 1 << 20
 #: Pairs for each held run, at most, to which lines left over are paired with all that have them.
 BOUND = 4
+#: Rounds of looking for further partners of lines left over, before all that have them are met.
+ROUNDS = 8
 #: The low bits of a line's hash are its words, as many as min_words at most: 0 for a blank line.
 WORDS = 15
 #: Scripts without spaces: two letters count as a word.
@@ -147,7 +150,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         words = F.when(F.trim(x) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(F.lit(min_words), F.greatest(F.size(F.split(F.trim(x), r"\s+", min_words)), unspaced))))
         return F.xxhash64(F.trim(x)).bitwiseAND(F.lit(~WORDS)).bitwiseOR(words.cast("long"))
 
-    hashed = written(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(line, mark).alias("h")), "lines")
+    all_ = written(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(line, mark).alias("h")).withColumns({"a": F.xxhash64("h"), "b": F.hash("h")}), "lines")
+    earliest = all_.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"))
+    known = written(all_.join(earliest.hint("merge"), ["a", "b"]).select("doc_id", "h", (F.col("doc_id") > F.col("earliest")).alias("copy")), "known")
+    hashed, enough = known.filter("not copy").select("doc_id", "h"), F.aggregate("h", F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(WORDS)))
+    copies = known.filter("copy").filter(enough >= min_words).select("doc_id", F.sequence(F.lit(0), F.size("h") - 1).alias("lines"))
     kind = hashed.schema["doc_id"].dataType.simpleString()
 
     def found_by(batches):
@@ -193,12 +200,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     found = aligned(tried)
     more = untried(left_over(tried, found).join(first, "line"), tried)
     tried, found = tried.unionByName(more), found.unionByName(aligned(more))
-    pivots, bound, changed = first.select("line", "early"), BOUND * held.count(), True
+    pivots, bound, changed, rounds = first.select("line", "early"), BOUND * held.count(), True, 0
     while True:
+        rounds += 1
         left = left_over(tried, found)
         work = left.groupBy("line").agg(F.count("*").alias("k")).join(first, "line").agg(F.sum(F.col("k") * F.col("n"))).first()[0] or 0
-        # lines left over meet all earlier documents that have them once these are few, or no round helps any more
-        last = work <= bound or not changed
+        # lines left over meet all earlier documents that have them once these are few, or no round helps any more, or there were many
+        last = work <= bound or not changed or rounds > ROUNDS
         if last:
             more = left.join(held.select("line", F.col("doc_id").alias("early")), "line")
         else:
@@ -209,7 +217,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         new = aligned(more)
         found = found.unionByName(new)
         if last:
-            return union(found)
+            return union(found.unionByName(copies))
         tried, changed = tried.unionByName(more), new.head(1) != []
 
 
@@ -219,15 +227,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     A null text stays null and an empty one empty. A text all of whose lines go becomes empty; no row is dropped. Equal
     lines need not be unique: where none is, a longest common subsequence is aligned. What is shared with fewer than
     min_words words in a row stays. Rows that repeat an id
-    count as one document and are cut alike. A row whose id is null is left as it is. Other columns stay.
+    count as one document and are cut alike. A row whose id is null is left as it is. Other columns stay, whatever their
+    names, but for n_lines_removed.
     """
+    at, gone = (next(n for n in (c + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("__id", "__lines"))
     found = written(repeated(docs, id_col, text_col, min_words), "found")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")).hint("merge")  # its size grows with docs
-    d = docs.drop("n_lines_removed").join(found, F.col(id_col) == F.col("__id"), "left")
+    found = found.select(F.col("doc_id").alias(at), F.col("lines").alias(gone)).hint("merge")  # its size grows with docs
+    d = docs.drop("n_lines_removed").join(found, F.col(id_col) == F.col(at), "left")
     lines = F.split(F.col(text_col), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(rest, lambda k: F.get(x, k)), "\n"))[0]
-    return d.withColumn("n_lines_removed", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__lines")
+    return d.withColumn("n_lines_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).drop(at, gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

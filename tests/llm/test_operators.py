@@ -270,6 +270,16 @@ def test_lines_go_from_later_documents(spark, odd, empty):
     out = linededup.dedup(odd).toPandas()
     assert len(out) == len(ODD) and out[out.doc_id == 11].text.tolist() == [""] and out[out.doc_id == 10].n_lines_removed.tolist() == [0, 0] and out[out.doc_id == 7].text.isna().all()
     assert linededup.dedup(empty).count() == 0
+    clash = spark.createDataFrame([(1, "five words in a line", "a", 5), (2, "five words in a line", "b", 6)], "doc_id long, text string, __id string, __lines int")
+    assert sorted(map(tuple, linededup.dedup(clash).collect())) == [(1, "five words in a line", "a", 5, 0), (2, "", "b", 6, 1)]
+
+
+def test_copies_with_a_line_that_moves(spark):
+    """60 copies of an article with one line more, at one of four places: copies of the same places are one document."""
+    article = [f"this is line number {k} of an article" for k in range(12)]
+    texts = [[*article[: 3 * (k % 4)], "five words of an advertisement", *article[3 * (k % 4) :]] for k in range(60)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[0] == "\n".join(texts[0]) and all(got[k] == "five words of an advertisement" for k in (1, 2, 3)) and all(got[k] == "" for k in range(4, 60))
 
 
 def test_longest(monkeypatch):
