@@ -118,23 +118,26 @@ def answered(requests: DataFrame, documents: DataFrame, stored: DataFrame, most_
     verdict = names.verdict(_param("filename"))
     refused = F.when(~files, F.when(verdict != "OK", verdict).when(F.col("found").isNull(), F.concat(F.lit(NOT_FOUND), _param("filename"))))
 
-    groups = pagespec.groups(_param("groups"), n)
+    groups = F.when(F.col("operation") == "split", pagespec.groups(_param("groups"), n))
     single = F.coalesce(F.regexp_replace(_param("groups"), r"[\x00-\x20]", "") == "", F.lit(True))
     numbers = F.filter(F.transform(groups, lambda g, k: F.when(F.size(g) > 0, k + 1)), lambda k: k.isNotNull())
-    own = lambda kind: F.transform(numbers, lambda k: names.part_name(F.col("name"), kind, k, F.col("job_id")))
-    outputs = {route: F.array(names.output_name(F.col("name"), suffix, extension, F.col("job_id"))) for route, (_, suffix, extension, _) in ROUTES.items() if suffix}
-    outputs |= {"split": F.when(single, own("page")).otherwise(own("part")), "download": F.array(_param("filename"))}
-    done = {route: F.lit(results.DONE.get(told)) for route, (told, *_) in ROUTES.items()}
-    done |= {"split": F.concat(F.lit("PDF split into "), F.size(numbers).cast("string"), F.lit(" documents")), "info": F.concat(F.lit("Pages: "), n.cast("string")), "download": F.lit("OK")}
-
+    # what was found is columns from here on, so that no expression holds another's whole tree twice
+    r = r.withColumns({"too_large": too_large, "no_file": no_file, "missing": missing, "unreadable": unreadable, "bad_list": bad_list, "cause": cause, "refused": refused, "numbers": numbers, "single": single})
     kind = (
-        F.when(~F.col("operation").isin(*ROUTES), F.lit("other")).when(too_large, F.lit("too_large")).when(no_file, F.lit("other")).when(missing.isNotNull(), F.lit("missing"))
-        .when(unreadable, F.lit("other")).when(bad_list.isNotNull(), F.lit("bad_input")).when(refused.isNotNull() | files & cause.isNotNull(), F.lit("failed")).otherwise(F.lit("done"))
+        F.when(~F.col("operation").isin(*ROUTES), F.lit("other")).when(F.col("too_large"), F.lit("too_large")).when(F.col("no_file"), F.lit("other")).when(F.col("missing").isNotNull(), F.lit("missing"))
+        .when(F.col("unreadable"), F.lit("other")).when(F.col("bad_list").isNotNull(), F.lit("bad_input")).when(F.col("refused").isNotNull() | files & F.col("cause").isNotNull(), F.lit("failed")).otherwise(F.lit("done"))
     )
-    judged = r.withColumn("kind", kind).withColumn("outputs", F.when(F.col("kind") == "done", _case(outputs, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    own = F.transform("numbers", lambda k: F.when(F.col("single"), names.part_name(F.col("name"), "page", k, F.col("job_id"))).otherwise(names.part_name(F.col("name"), "part", k, F.col("job_id"))))
+    outputs = {route: F.array(names.output_name(F.col("name"), suffix, extension, F.col("job_id"))) for route, (_, suffix, extension, _) in ROUTES.items() if suffix}
+    outputs |= {"split": own, "download": F.array("filename")}
+    done = {route: F.lit(results.DONE.get(told)) for route, (told, *_) in ROUTES.items()}
+    done |= {"split": F.concat(F.lit("PDF split into "), F.size("numbers").cast("string"), F.lit(" documents")), "info": F.concat(F.lit("Pages: "), n.cast("string")), "download": F.lit("OK")}
+    judged = r.withColumn("kind", kind)
     detail = (
-        F.when(F.col("kind") == "missing", missing).when(F.col("kind") == "bad_input", bad_list).when(F.col("kind") == "done", _case(done, F.lit("")))
-        .when(F.col("kind") == "failed", F.coalesce(refused, F.concat(failed, cause)))
+        F.when(F.col("kind") == "missing", F.col("missing")).when(F.col("kind") == "bad_input", F.col("bad_list")).when(F.col("kind") == "done", _case(done, F.lit("")))
+        .when(F.col("kind") == "failed", F.coalesce("refused", F.concat(failed, "cause")))
     )
-    o = results.outcome(F.col("kind"), F.coalesce(detail, F.lit("")))
+    none = F.array().cast("array<string>")
+    judged = judged.withColumns({"detail": F.coalesce(detail, F.lit("")), "outputs": F.when(F.col("kind") == "done", _case(outputs, none)).otherwise(none)})
+    o = results.outcome(F.col("kind"), F.col("detail"))
     return judged.select("job_id", "doc_id", "operation", o["status"].alias("status"), o["success"].alias("success"), o["message"].alias("message"), "outputs")

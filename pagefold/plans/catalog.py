@@ -316,7 +316,8 @@ NAMES = ("plan..b7.pdf", "../up/list", "a\\b.pdf", "x.exe", "  ", "", "...pdf",
 
 
 def validate_name(spark, d):
-    return pages.selection(spark, list(enumerate(NAMES, 1)), "id int, name string").select("id", names.verdict(F.col("name")).alias("verdict"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("page_id") % len(NAMES) + 1).cast("int"))
+    return _read(spark, d, "pages").select(F.col("page_id").alias("id"), names.verdict(name).alias("verdict"))
 
 
 def validate_urls(spark, d):
@@ -425,7 +426,7 @@ ORACLE_SQL = {
         from (select event_id, case event_id % 3 when 0 then null when 1 then ' ' || chr(9) || chr(10) else 'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) end as text from events)""",
     "output_name": f"select page_id, case when {_STEM} = '' then 'merged' else {_STEM} || '_merged' end as base_name from pages",
     "output_files": f"select page_id, case when {_STEM} = '' then 'extracted' else {_STEM} || '_extracted' end || '_' || left(sha256(page_id::varchar), 8) || '.pdf' as name, page_id || '_extracted.pdf' as saved_as from pages",
-    "validate_name": rf"select id, {_VERDICT} as verdict from (select id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (values (1,'plan..b7.pdf'),(2,'../up/list'),(3,'a\b.pdf'),(4,'x.exe'),(5,'  '),(6,''),(7,'...pdf'),(8,'.pdf'),(9,'x.'),(10,'noext'),(11,'A b.MD'),(12,'d.docx')) f(id,name))",
+    "validate_name": rf"select id, {_VERDICT} as verdict from (select id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (select page_id as id, ['plan..b7.pdf','../up/list','a\b.pdf','x.exe','  ','','...pdf','.pdf','x.','noext','A b.MD','d.docx'][page_id % 12 + 1] as name from pages))",
     "validate_urls": rf"select page_id, {_VERDICT} as verdict from (select page_id, name, regexp_extract(name,'^(.*)\.([^.]*)$',1) as base, regexp_extract(name,'^(.*)\.([^.]*)$',2) as ext from (select page_id, string_split(url, '/')[-1] as name from pages))",
     "error_mapping": """select event_id, [200, 400, 413, 400, 400, 400, 500][event_id % 7 + 1] as status, event_id % 7 = 0 as success, case event_id % 7 when 0 then event_type when 1 then event_type
         when 2 then 'File size exceeds maximum allowed size of 100MB. Please upload a smaller file.' when 3 then 'Error processing file upload. Please ensure you''re uploading valid PDF files.'
