@@ -1,11 +1,12 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed length.
 
-Rows are dealt by a hash of their id into shards of a bounded number of rows, whatever their source or cluster, and each
-shard fills bins of its own. Bins stand in order of their free room. Each has a bitmap of its duplicate clusters and
+Pieces are dealt by a hash of their id and number into shards of a bounded number of pieces, whatever their source or cluster,
+and each shard fills bins of its own. Bins stand in order of their free room. Each has a bitmap of its duplicate clusters and
 bitmaps of its sources, one for each allowed document of a source. For each document, longest first, the search starts
 at the least room that holds it and goes to the next bin until one has no conflict: the tightest compatible bin.
 """
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,13 +58,11 @@ class Bins:
     def _move(self, b: int, room: int, new: bool = False) -> None:
         if not new:
             own = self.by_room[self.room[b]]
-            own.remove(b)
+            del own[bisect_left(own, b)]
             if not own:
                 self.rooms ^= 1 << self.room[b]
         self.room[b] = room
-        own = self.by_room[room]
-        own.append(b)
-        own.sort()
+        insort(self.by_room[room], b)
         self.rooms |= 1 << room
 
 
@@ -85,7 +84,8 @@ def pack(
     length: by default a quarter of the UTF-8 bytes, rounded up. A longer document than capacity is cut into pieces of
     capacity and a rest. cluster: by default the text itself; no bin holds two rows of a cluster, nor two of its own
     pieces unless cluster is null, nor over per_source rows of a source. A null source or cluster conflicts with none. A
-    null or empty text or a null length is one piece of length 0. Repeated rows are rows of one cluster, each placed. An
+    null or empty text or a null length is one piece of length 0. Repeated rows are rows of one cluster, each placed, also with null ids. Longest pieces are placed first, equally
+    long ones by id (null first), piece and cluster. An
     empty table gives no rows; other columns are not carried.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -96,7 +96,8 @@ def pack(
     pieces = sized.select(
         "doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("n") / capacity).cast("long") - 1))).alias("piece")
     ).withColumn("length", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity))
-    shards = max(1, -(-sized.count() // rows_per_shard))
+    n_pieces = sized.agg(F.sum(F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / capacity).cast("long")))).first()[0] or 0
+    shards = max(1, -(-n_pieces // rows_per_shard))
     schema = SCHEMA.format(id=sized.schema["doc_id"].dataType.simpleString())
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +69,15 @@ def test_packing_is_best_fit():
         assert list(zip(got["bin"], got["start"], strict=True)) == brute_packing(rows, 64, 3)
 
 
+def test_many_full_pieces():
+    """Bins without room are never looked at again, and cost no sorting."""
+    rows = pd.DataFrame({"doc_id": range(100_000), "piece": 0, "length": [64] * 99_000 + [7] * 1_000, "source": [str(k % 50) for k in range(100_000)], "cluster": [str(k) for k in range(100_000)]})
+    began = time.perf_counter()
+    out = packing.fill(rows, 64, 4)
+    assert time.perf_counter() - began < 10
+    assert out[out.length == 64].bin.nunique() == 99_000 and out.groupby("bin").length.sum().max() <= 64
+
+
 def test_sequences_of_tokens(spark, odd, empty):
     """Bins packed by token counts hold each document's ids, piece after piece."""
     path = P.path("byte_bpe_50k.tiktoken")
