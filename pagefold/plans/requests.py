@@ -10,7 +10,9 @@ from pagefold.operators import edits, overlays, pages, requests, results, select
 from pagefold.plans.catalog import BOXES, COUNTS, _pages, _read
 from pagefold.sources import committed, documents, files, images
 
-C = F.col("doc_id")
+
+def _c():
+    return F.col("doc_id")
 
 
 def _text(*parts):
@@ -24,12 +26,12 @@ def _docs(spark, d):
 def _lists(spark, d):
     """Two lists for each document; one in eleven of the first kind is malformed."""
     docs = _docs(spark, d)
-    first = docs.select((C * 2).alias("job_id"), "doc_id", F.concat(_text(C % 4 + 1, " , ", C % 7 + 1, ",", C % 4 + 1), F.when(C % 11 == 0, F.lit(",5-7")).otherwise(F.lit(""))).alias("spec"))
-    return first.union(docs.select((C * 2 + 1).alias("job_id"), "doc_id", (C % 9).cast("string").alias("spec")))
+    first = docs.select((_c() * 2).alias("job_id"), "doc_id", F.concat(_text(_c() % 4 + 1, " , ", _c() % 7 + 1, ",", _c() % 4 + 1), F.when(_c() % 11 == 0, F.lit(",5-7")).otherwise(F.lit(""))).alias("spec"))
+    return first.union(docs.select((_c() * 2 + 1).alias("job_id"), "doc_id", (_c() % 9).cast("string").alias("spec")))
 
 
 def _groups(spark, d):
-    return _docs(spark, d).select(C.alias("job_id"), "doc_id", F.concat(_text(C % 3 + 1, "-", C % 5 + 1, ",2;99;", C % 4 + 1), F.when(C % 13 == 0, F.lit(";3-")).otherwise(F.lit(""))).alias("spec"))
+    return _docs(spark, d).select(_c().alias("job_id"), "doc_id", F.concat(_text(_c() % 3 + 1, "-", _c() % 5 + 1, ",2;99;", _c() % 4 + 1), F.when(_c() % 13 == 0, F.lit(";3-")).otherwise(F.lit(""))).alias("spec"))
 
 
 def own_extracts(spark, d):
@@ -70,12 +72,12 @@ def range_sets(spark, d):
 def _steps(spark, d):
     docs = _docs(spark, d)
     step = lambda k, op, spec=None, start=None, target=None, of=None: docs.select(
-        C.alias("job_id"), F.lit(k).alias("step"), F.lit(op).alias("op"), (spec if spec is not None else F.lit(None)).cast("string").alias("spec"),
+        _c().alias("job_id"), F.lit(k).alias("step"), F.lit(op).alias("op"), (spec if spec is not None else F.lit(None)).cast("string").alias("spec"),
         F.lit(start).cast("long").alias("start"), F.lit(target).cast("long").alias("target"), (of if of is not None else F.lit(None)).cast("long").alias("doc_id"),
     )
     all_ = [
-        step(1, "merge", of=C), step(2, "move", start=0, target=2), step(3, "remove", F.lit("1")), step(4, "extract", F.when(C % 5 == 0, F.lit("2,x")).otherwise(F.lit("2,1,2"))),
-        step(5, "merge", of=C + 1), step(6, "drop", start=0),
+        step(1, "merge", of=_c()), step(2, "move", start=0, target=2), step(3, "remove", F.lit("1")), step(4, "extract", F.when(_c() % 5 == 0, F.lit("2,x")).otherwise(F.lit("2,1,2"))),
+        step(5, "merge", of=_c() + 1), step(6, "drop", start=0),
     ]
     out = all_[0]
     for s in all_[1:]:
@@ -126,7 +128,7 @@ def _request_table(spark, d):
 
 def _known(spark, d):
     counts = pages.page_counts(_pages(spark, d))
-    return counts.select("doc_id", "page_count", (C * 1000).alias("length"), F.when(C % 17 == 0, F.lit("encrypted files are not read")).alias("error"))
+    return counts.select("doc_id", "page_count", (_c() * 1000).alias("length"), F.when(_c() % 17 == 0, F.lit("encrypted files are not read")).alias("error"))
 
 
 def request_results(spark, d):
@@ -167,14 +169,14 @@ def last_writers(spark, d):
 
 
 def stamp_status(spark, d):
-    text = F.when(C % 5 == 0, F.lit("naïve 中")).otherwise(F.lit("plain ü"))
-    return overlays.stamp_status(_docs(spark, d), (C % 16 - 2) / 10, text)
+    text = F.when(_c() % 5 == 0, F.lit("naïve 中")).otherwise(F.lit("plain ü"))
+    return overlays.stamp_status(_docs(spark, d), (_c() % 16 - 2) / 10, text)
 
 
 def texts_status(spark, d):
     p = _pages(spark, d)
     item = lambda seq, page, text, font: _docs(spark, d).select("doc_id", F.lit(seq).alias("seq"), F.lit(page).alias("page_no"), text.alias("text"), F.lit(font).alias("font"))
-    items = item(1, 1, F.lit("fine €"), "Times-Roman").union(item(2, 4, F.when(C % 3 == 0, F.lit("two\nlines")).otherwise(F.lit("ok")), "nonesuch")).union(item(3, 1, F.when(C % 4 == 0, F.lit("ok")).otherwise(F.lit("")), "symbol"))
+    items = item(1, 1, F.lit("fine €"), "Times-Roman").union(item(2, 4, F.when(_c() % 3 == 0, F.lit("two\nlines")).otherwise(F.lit("ok")), "nonesuch")).union(item(3, 1, F.when(_c() % 4 == 0, F.lit("ok")).otherwise(F.lit("")), "symbol"))
     return overlays.checked_texts(p, items)
 
 
