@@ -151,7 +151,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         return F.xxhash64(F.trim(x)).bitwiseAND(F.lit(~WORDS)).bitwiseOR(words.cast("long"))
 
     all_ = written(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(line, mark).alias("h")).withColumns({"a": F.xxhash64("h"), "b": F.hash("h")}), "lines")
-    earliest = all_.groupBy("a", "b").agg(F.min("doc_id").alias("earliest"))
+    # written, so that the join can be split where there are very many copies
+    earliest = written(all_.groupBy("a", "b").agg(F.min("doc_id").alias("earliest")), "earliest")
     known = written(all_.join(earliest.hint("merge"), ["a", "b"]).select("doc_id", "h", (F.col("doc_id") > F.col("earliest")).alias("copy")), "known")
     hashed, enough = known.filter("not copy").select("doc_id", "h"), F.aggregate("h", F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(WORDS)))
     copies = known.filter("copy").filter(enough >= min_words).select("doc_id", F.sequence(F.lit(0), F.size("h") - 1).alias("lines"))
