@@ -38,6 +38,7 @@ ROUTES = {
 FLOATS = {"watermark": ("x", "y", "rotation", "opacity"), "add-text": ("x", "y", "fontSize"), "add-signature": ("x", "y"), "redact": ("x", "y", "width", "height")}
 PAGED = ("add-text", "add-signature", "redact")
 NUMERIC = ("x", "y", "width", "height")
+COLUMNS = {"operation": "string", "doc_ids": "array<bigint>", "name": "string", "params": "map<string,string>", "image": "binary"}
 NO_DOCUMENT, NO_IMAGE = "no such document", "not a PNG or JPEG image"
 
 
@@ -84,9 +85,11 @@ def answered(requests: DataFrame, documents: DataFrame, stored: DataFrame, most_
 
     job_id tells requests apart. A route that does not exist, a request without the file that it needs, and a number
     that can't be read are unexpected errors. Digits of outputs follow from job_id, so that a request that is answered
-    again has the same names. Null params are none; a null operation is no route.
+    again has the same names. Null params are none; a null operation is no route. Columns that are not there count as null, others
+    are not looked at.
     """
-    r = facts(requests.withColumns({"params": F.coalesce("params", F.create_map().cast("map<string,string>")), "operation": F.coalesce("operation", F.lit(""))}), documents)
+    own = requests.select("job_id", *((F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in COLUMNS.items()))
+    r = facts(own.withColumns({"params": F.coalesce("params", F.create_map().cast("map<string,string>")), "operation": F.coalesce("operation", F.lit(""))}), documents)
     held = stored.select(F.col("name").alias("filename")).distinct().withColumn("found", F.lit(True))
     r = r.withColumn("filename", F.when(F.col("operation") == "download", _param("filename"))).join(held, "filename", "left")
 
@@ -127,9 +130,9 @@ def answered(requests: DataFrame, documents: DataFrame, stored: DataFrame, most_
         F.when(~F.col("operation").isin(*ROUTES), F.lit("other")).when(F.col("too_large"), F.lit("too_large")).when(F.col("no_file"), F.lit("other")).when(F.col("missing").isNotNull(), F.lit("missing"))
         .when(F.col("unreadable"), F.lit("other")).when(F.col("bad_list").isNotNull(), F.lit("bad_input")).when(F.col("refused").isNotNull() | files & F.col("cause").isNotNull(), F.lit("failed")).otherwise(F.lit("done"))
     )
-    own = F.transform("numbers", lambda k: F.when(F.col("single"), names.part_name(F.col("name"), "page", k, F.col("job_id"))).otherwise(names.part_name(F.col("name"), "part", k, F.col("job_id"))))
+    part = F.transform("numbers", lambda k: F.when(F.col("single"), names.part_name(F.col("name"), "page", k, F.col("job_id"))).otherwise(names.part_name(F.col("name"), "part", k, F.col("job_id"))))
     outputs = {route: F.array(names.output_name(F.col("name"), suffix, extension, F.col("job_id"))) for route, (_, suffix, extension, _) in ROUTES.items() if suffix}
-    outputs |= {"split": own, "download": F.array("filename")}
+    outputs |= {"split": part, "download": F.array("filename")}
     done = {route: F.lit(results.DONE.get(told)) for route, (told, *_) in ROUTES.items()}
     done |= {"split": F.concat(F.lit("PDF split into "), F.size("numbers").cast("string"), F.lit(" documents")), "info": F.concat(F.lit("Pages: "), n.cast("string")), "download": F.lit("OK")}
     judged = r.withColumn("kind", kind)

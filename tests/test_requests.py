@@ -50,6 +50,13 @@ def test_every_case(answers):
         assert answers[k]["success"] == (status == 200)
 
 
+def test_columns_that_lack_or_clash(spark):
+    known = spark.createDataFrame([(1, 5, 40, None, "x")], "doc_id long, page_count long, length long, error string, kind string")
+    asked = spark.createDataFrame([(1, "info", [1], 7, "a", 1), (2, "merge", [1], 7, "b", 2)], "job_id long, operation string, doc_ids array<bigint>, doc_id long, kind string, n_files int")
+    got = {r["job_id"]: (r["status"], r["message"], r["doc_id"], [x[:7] for x in r["outputs"]]) for r in requests.answered(asked, known, spark.createDataFrame([], "name string")).collect()}
+    assert got == {1: (200, "Pages: 5", 1, []), 2: (200, results.DONE["merge"], 1, ["merged_"])}
+
+
 def test_every_route_fails_and_succeeds(answers):
     by_route = {}
     for k, (op, *_) in enumerate(CASES):
