@@ -35,7 +35,7 @@ def test_empty(spark):
 
 
 def test_registered():
-    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 13
 
 
 def corpus():
