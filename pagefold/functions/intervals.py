@@ -64,6 +64,17 @@ def count(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda n, i: n + i["hi"] - i["lo"] + 1)
 
 
+def covered(a: Column) -> Column:
+    """The pages in intervals of any order that may meet, each counted once; what they cost is sorting them."""
+    begin = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+
+    def add(s: Column, i: Column) -> Column:
+        new = F.greatest(i["hi"] - F.greatest(i["lo"] - 1, s["last"]), F.lit(0).cast("long"))
+        return F.struct(F.greatest(s["last"], i["hi"]).alias("last"), (s["n"] + new).alias("n"))
+
+    return F.aggregate(F.array_sort(a), begin, add, lambda s: s["n"])
+
+
 def holds(a: Column, page: Column) -> Column:
     return F.exists(a, lambda i: page.between(i["lo"], i["hi"]))
 

@@ -66,17 +66,28 @@ def groups(text: Column, n: Column) -> Column:
     return F.when(blank, each).otherwise(_let(F.transform(parts, lambda g: group(g, n)), lambda a: F.when(~F.exists(a, lambda g: g.isNull()), a)))
 
 
-def ranges(text: Column, most: int = 100_000) -> Column:
-    """'1,3,5-7' as a form reads it: ascending and unique, items that are no numbers left out. A range of over most pages
-    makes the row null, so that one text can't ask for more memory than there is."""
+def _form(text: Column, most: int) -> Column:
+    """The intervals that ranges() unfolds, in the order of the text."""
 
-    def pages(item: Column) -> Column:
+    def found(item: Column) -> Column:
         one, parts = _int(item), F.split(item, "-")
         lo, hi = _int(F.element_at(parts, 1)), _int(F.try_element_at(parts, F.lit(2)))
         wide = F.contains(item, F.lit("-")) & (lo >= 1) & (lo <= hi)
-        return F.when(wide & (hi - lo >= most), F.lit(None).cast(INTS)).when(wide, F.sequence(lo, hi)).when(one >= 1, F.array(one)).otherwise(F.array().cast(INTS))
+        # an empty interval stands for an item that is no number
+        return F.when(wide & (hi - lo >= most), F.lit(None)).when(wide, intervals.interval(lo, hi)).when(one >= 1, intervals.interval(one, one)).otherwise(intervals.interval(F.lit(1), F.lit(0)))
+
+    return _let(F.transform(F.split(text, ","), found), lambda a: F.when(~F.exists(a, lambda i: i.isNull()), F.filter(a, lambda i: i["lo"] <= i["hi"])))
+
+
+def ranges(text: Column, most: int = 100_000) -> Column:
+    """'1,3,5-7' as a form reads it: ascending and unique, items that are no numbers left out. A range of over most pages
+    makes the row null, so that one text can't ask for more memory than there is."""
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(_form(text, most), lambda i: F.sequence(i["lo"].cast("int"), i["hi"].cast("int"))))))
+
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ","), pages))))
+def range_count(text: Column, most: int = 100_000) -> Column:
+    """The number of pages that ranges() gives, null where it is; nothing is unfolded."""
+    return intervals.covered(_form(text, most)).cast("int")
 
 
 def range_set(text: Column) -> Column:

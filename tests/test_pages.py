@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import pagespec
 from pagefold.operators import pages
+from pagefold.plans import catalog
 
 SPECS = [
     ("1-3", 5, [1, 2, 3]), ("1,2,5", 5, [1, 2, 5]), ("1-3,5", 5, [1, 2, 3, 5]), ("5,1-3", 5, [5, 1, 2, 3]), ("3,3,1", 5, [3, 1]), ("5-3", 5, []), ("0-2", 5, [1, 2]), ("4-99", 5, [4, 5]),
@@ -31,6 +32,20 @@ def test_ints_and_ranges(spark):
     assert list(r) == [[3, 1, 3], None, [], [1, 5, 6, 7]]
 
 
+@pytest.mark.parametrize("spec, want", [("2,1-3", 3), ("2,1-100000", 100_000), ("2,1-100001", None), ("9,x,3-2,,7-8,8-12,1,1", 7), ("1-5,2-3,7", 6), ("5-7,1-9,2147483647", 10), ("2147483648,0,-3", 0), ("0-4, 2 ", 1), ("", 0), (None, None)])
+def test_range_count(spark, spec, want):
+    text = F.lit(spec).cast("string")
+    n, pages_ = spark.range(1).select(pagespec.range_count(text), pagespec.ranges(text)).first()
+    assert n == want and (pages_ is None if want is None else len(pages_) == want and pages_ == sorted(set(pages_)))
+
+
+def test_wide_ranges_are_counted_not_unfolded(spark, tmp_path):
+    spark.range(30_000).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    out = catalog.wide_ranges(spark, str(tmp_path))
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.groupBy("fails", "n").count().collect()} == {(False, 3, 10_000), (True, -1, 10_000), (False, 100_000, 10_000)}
+
+
 @pytest.fixture
 def five(spark):
     return spark.createDataFrame([(d, p, f"{d}.{p}") for d, n in ((1, 5), (2, 3)) for p in range(1, n + 1)], "doc_id long, page_no int, text string")
