@@ -57,6 +57,14 @@ class Memory:
         return out
 
 
+def cut(text: str, matches: Callable[[str], list[str]]) -> tuple[list[str], list[str]]:
+    """The chunks of a text: as they are, and then those that follow a space."""
+    if AWKWARD.search(text):
+        return matches(text), []
+    head, _, rest = text.partition(" ")
+    return [head] if head else [], rest.split(" ") if rest else []
+
+
 class Chunks:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, room: int = 300_000):
         """encode: the ids of each of some chunks, as bytes."""
@@ -64,20 +72,14 @@ class Chunks:
         self.matches = regex.compile(pattern).findall
         self.bare, self.spaced = Memory(room), Memory(room)  # chunks as they are, and after a space
 
-    def _cut(self, text: str) -> tuple[list[str], list[str]]:
-        if AWKWARD.search(text):
-            return self.matches(text), []
-        head, _, rest = text.partition(" ")
-        return [head] if head else [], rest.split(" ") if rest else []
-
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
+        parts = [cut(t, self.matches) for t in texts]
         bare, spaced = set(), set()
-        for a, b in cut:
+        for a, b in parts:
             bare.update(a)
             spaced.update(b)
         one, two = self.bare.hold(bare, self.encode, "").__getitem__, self.spaced.hold(spaced, self.encode, " ").__getitem__
-        return [b"".join(map(one, a)) + b"".join(map(two, b)) for a, b in cut]
+        return [b"".join(map(one, a)) + b"".join(map(two, b)) for a, b in parts]
 
 
 def in_steps(texts: list[str], characters: int = 2_000_000):

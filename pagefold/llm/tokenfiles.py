@@ -14,13 +14,15 @@ import os
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagefold.llm.chunks import Chunks, in_steps, slices
+from pagefold.llm.chunks import LONG, STOPS, cut, slices
 from pagefold.llm.common import new_path, read, texts, written
 
 MAGIC = b"SIMPLE8B"
@@ -56,10 +58,10 @@ def pack(values: np.ndarray) -> np.ndarray:
     for s, (count, bits) in reversed(list(enumerate(SELECTORS, 1))):
         run, have = np.ones(n + count, bool), 1  # where so many values from here on fit; what follows the last one fits
         np.less_equal(width, bits, out=run[:n])
-        while have < count:
+        while have < count and run[:n].any():
             step = min(have, count - have)
             run, have = run[:-step] & run[step:], have + step
-        chosen[run[:n]] = s
+        np.copyto(chosen, s, where=run[:n])
     follows = (np.arange(n) + COUNTS[chosen]).tolist()
     starts, i = [], 0
     while i < n:
@@ -134,11 +136,36 @@ def from_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if x else d for d, x in zip(doc_ids.tolist(), null, strict=True)], lengths.astype(np.int64), np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
+class Known(dict):
+    """Ids of chunks, each encoded when it is first looked up. What has not been looked up since the one before was filled
+    is forgotten with it (see later)."""
+
+    def __init__(self, encode: Callable[[str], bytes], stops: dict[str, bytes], old: dict[str, bytes] | None = None):
+        self.encode, self.stops, self.old = encode, stops, old or {}
+
+    def __missing__(self, c: str) -> bytes:
+        found = self.old.get(c)
+        if found is None:
+            # a word and a stop are two matches: the word alone is encoded
+            found = self[c[:-1]] + self.stops[c[-1]] if c[-1:] in self.stops and c[:-1].isalpha() else self.encode(c)
+        if len(c) <= LONG:
+            self[c] = found
+        return found
+
+    def later(self, room: int) -> "Known":
+        """Itself, or once it holds over room chunks an empty one that still looks them up here."""
+        if len(self) <= room:
+            return self
+        self.old = {}
+        return Known(self.encode, self.stops, self)
+
+
 class Coder:
     """The ids of texts as the library's encode(text, add_special_tokens=False) gives them."""
 
-    def __init__(self, path: str, pattern: str, plain: bool = False):
-        """plain: the strings of added tokens in a text are ordinary text."""
+    def __init__(self, path: str, pattern: str, plain: bool = False, room: int = 300_000):
+        """plain: the strings of added tokens in a text are ordinary text. About twice room chunks after a space are
+        remembered, and as many others."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,25 +173,39 @@ class Coder:
         self.library.encode_special_tokens = plain
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.added = [] if plain else [a.content for a in self.library.get_added_tokens_decoder().values()]
-        self.chunks = Chunks(self._new, pattern)
+        self.room = room
+        matches, tokenize, space = regex.compile(pattern).findall, self.library.model.tokenize, VISIBLE[32]
+        packed = [struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}").pack for n in range(LONG)]
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
         # what the library's own encode() does, less its account of where in the text each token came from
-        tokenize, code, space = self.library.model.tokenize, "H" if self.kind == "<u2" else "I", VISIBLE[32]
-        out = []
-        for c in chunks:
-            if c[0] == " " and c[1:].isalpha():  # one match
-                word = space + c[1:] if c.isascii() else c.encode().decode("latin-1").translate(VISIBLE)
-                found = [x.id for x in tokenize(word)]
-            else:
-                found = [x.id for p in self.chunks.matches(c) for x in tokenize(p.encode().decode("latin-1").translate(VISIBLE))]
-            out.append(struct.pack(f"<{len(found)}{code}", *found))
-        return out
+        def of(words: list[str]) -> bytes:
+            found = [x.id for w in words for x in tokenize(w)]
+            return packed[len(found)](*found) if len(found) < LONG else np.array(found, self.kind).tobytes()
+
+        def visible(match: str) -> str:
+            return match.encode().decode("latin-1").translate(VISIBLE)
+
+        def bare(c: str) -> bytes:
+            return of([visible(p) for p in matches(c)])
+
+        def spaced(c: str) -> bytes:
+            if c.isalpha():  # one match
+                return of([space + (c if c.isascii() else visible(c))])
+            return bare(" " + c)
+
+        stops = {c: bare(c) for c in STOPS}
+        self.matches = matches
+        self.bare, self.spaced = Known(bare, stops), Known(spaced, stops)
+
+    def _own(self, text: str) -> bytes:
+        if any(a in text for a in self.added):  # the library cuts these at its added tokens first
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.bare, self.spaced = self.bare.later(self.room), self.spaced.later(self.room)
+        head, rest = cut(text, self.matches)
+        return b"".join(map(self.bare.__getitem__, head)) + b"".join(map(self.spaced.__getitem__, rest))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in self.added) for t in texts]  # the library cuts these at its added tokens first
-        found = iter(self.chunks.ids([t for t, w in zip(texts, whole, strict=True) if not w]))
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if w else next(found) for t, w in zip(texts, whole, strict=True)]
+        return [self._own(t) for t in texts]
 
 
 @functools.lru_cache(2)
@@ -207,16 +248,14 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int, id
             part, names, held, size = part + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["range", "part", "file", "n_docs", "n_ids"])
 
-        for b in slices(batches, 500):
+        for b in slices(batches, 100):
             now = b.column("range")[0].as_py()
-            docs, at = b.column("doc_id").to_pylist(), 0
-            for step in in_steps(b.column("text").to_pylist(), 1_000_000):
-                for ids in known.ids(step):
-                    names.append(docs[at])
-                    held.append(np.frombuffer(ids + last, known.kind))
-                    size, at = size + len(held[-1]), at + 1
-                    if size >= file_ids:
-                        yield close()
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), known.ids(b.column("text").to_pylist()), strict=True):
+                names.append(doc_id)
+                held.append(np.frombuffer(ids + last, known.kind))
+                size += len(held[-1])
+                if size >= file_ids:
+                    yield close()
         if held:
             yield close()
 

@@ -184,6 +184,18 @@ def test_library_chunks(plain):
     assert (50256 in np.frombuffer(known.ids(["a <|endoftext|> b"])[0], known.kind)) != plain
 
 
+def test_library_chunks_are_encoded_once_and_forgotten():
+    texts = [" ".join(f"{chr(97 + k % 26) * (k % 9 + 1)}{chr(97 + k // 26)}{'.,!'[k % 3]}" for k in range(a, a + 40)) for a in range(0, 600, 10)]
+    known = tokenfiles.Coder(P.path("byte_bpe_50k.json"), P.PATTERN, room=100)
+    asked, encode = [], known.spaced.encode
+    known.spaced.encode = lambda c: asked.append(c) or encode(c)
+    for text, ids in zip(texts, known.ids(texts), strict=True):
+        assert np.frombuffer(ids, known.kind).tolist() == known.library.encode(text, add_special_tokens=False).ids
+        assert len(known.spaced) + len(known.spaced.old) <= 400
+    assert len(asked) == len(set(asked)) > 400  # each comes back before it is forgotten
+    assert not any(c[-1] in ".," for c in asked)
+
+
 # 3
 
 
