@@ -2,12 +2,13 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagefold.functions import names
 from pagefold.operators import results
-from pagefold.sources import committed, files
+from pagefold.sources import batches, committed, files
 
 
 def made(spark, rows):
@@ -53,6 +54,17 @@ def test_downloads_stay_in_their_folder(spark, tmp_path):
     ], key=repr)
 
 
+def test_downloads_hold_few_files_at_a_time(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"a")
+    plan = files.download(spark, spark.createDataFrame([("a.pdf",)], "name string"), f"file://{tmp_path}")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan  # a UDF would hold the files of 10,000 rows
+    kind, seen = pa.schema([("c", pa.binary())]), []
+    rows = (seen.append(k) or ({"c": bytes(n)}, n) for k, n in enumerate([10, 60, 50, 200, *[1] * 5]))
+    made_ = [(b.num_rows, len(seen)) for b in batches.gathered(rows, kind, most_bytes=100, most_rows=3)]
+    assert made_ == [(3, 3), (1, 4), (3, 7), (2, 9)]
+    assert [b.num_rows for b in batches.pieces([pa.record_batch({"c": range(5)}), pa.record_batch({"c": range(2)})], 2)] == [2, 2, 1, 2]
+
+
 def test_paths_with_dots(spark, tmp_path):
     paths = [(f"file://{tmp_path}/x/../y.pdf", True), (f"file://{tmp_path}/../y.pdf", False), (f"file://{tmp_path}", False), (f"file://{tmp_path}2/y.pdf", False)]
     got = files.resolved(spark.createDataFrame(paths, "path string, want boolean"), f"file://{tmp_path}").collect()
