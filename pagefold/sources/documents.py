@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import drawing
 from pagefold.sources import pdf
+from pagefold.sources.batches import gathered, pieces
 
 PAGES = "doc_id long, page_no int, width double, height double, text string, payload binary, error string, loss string"
 _READ = PAGES.replace("text string", "shown array<struct<y:double,x:double,text:string>>")
@@ -92,27 +93,33 @@ def packed(page_rows: DataFrame, overlays: DataFrame | None = None, images: Data
     kind = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("objects", pa.list_(pa.binary())), ("error", pa.string())])
 
     def encode(batches):
-        for b in batches:
-            out = []
-            for p in b.to_pylist():
-                objects, error = [], p["loss"]
-                found = dict(p["shown"] or [])
-                try:
-                    drawn = [o | {"image": found.get(o["image_id"])} if o["kind"] == "image" else o for o in p["drawn"] or []]
-                    objects = pdf.page_objects(p, drawn, p["first"], drawing.FONTS) if error is None else []
-                except ValueError as e:  # an image or a text that can't be drawn
-                    error = str(e)
-                out.append({"doc_id": p["doc_id"], "first": p["first"], "objects": objects, "error": error})
-            yield pa.RecordBatch.from_pylist(out, kind)
-
-    @F.pandas_udf("binary")
-    def file(ready: pd.Series) -> pd.Series:
-        return ready.map(lambda own: pdf.assembled([list(x) for x in own], drawing.FONTS))
+        def pages():
+            for b in pieces(batches):
+                for p in b.to_pylist():
+                    objects, error = [], p["loss"]
+                    found = dict(p["shown"] or [])
+                    try:
+                        drawn = [o | {"image": found.get(o["image_id"])} if o["kind"] == "image" else o for o in p["drawn"] or []]
+                        objects = pdf.page_objects(p, drawn, p["first"], drawing.FONTS) if error is None else []
+                    except ValueError as e:  # an image or a text that can't be drawn
+                        error = str(e)
+                    yield {"doc_id": p["doc_id"], "first": p["first"], "objects": objects, "error": error}, sum(map(len, objects))
+
+        return gathered(pages(), kind)
+
+    def assemble(batches):
+        def files():
+            for b in pieces(batches):
+                for doc_id, own, error in zip(b.column("doc_id").to_pylist(), b.column("own"), b.column("error").to_pylist(), strict=True):
+                    content = pdf.assembled(own.as_py(), drawing.FONTS) if error is None else None
+                    yield {"doc_id": doc_id, "content": content, "error": error}, len(content or b"")
+
+        return gathered(files(), pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("error", pa.string())]))
 
     encoded = rows.mapInArrow(encode, "doc_id long, first long, objects array<binary>, error string")
     whole = encoded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "objects"))).alias("own"), F.min("error").alias("error"))
-    content = F.when(F.col("error").isNull(), file(F.transform("own", lambda x: x["objects"])))
-    return whole.select("doc_id", content.alias("content"), "error")
+    ready = F.when(F.col("error").isNull(), F.transform("own", lambda x: x["objects"]))
+    return whole.select("doc_id", ready.alias("own"), "error").mapInArrow(assemble, "doc_id long, content binary, error string")
 
 
 # The parts of a minimal word-processing package.

@@ -122,3 +122,13 @@ def test_arriving_files(spark, tmp_path, docs):
     for _ in range(2):
         ingest.pages_to(spark, folder, f"file://{tmp_path}/pages", f"file://{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/pages").count() == 5
+
+
+def test_packing_holds_few_documents_at_a_time(spark):
+    p = spark.range(700).select(F.when(F.col("id") < 250, -1).otherwise(F.col("id")).alias("doc_id"), (F.col("id") + 1).cast("int").alias("page_no"), F.lit(100.0).alias("width"), F.lit(200.0).alias("height"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") == 600, "lost").alias("loss")).coalesce(1)
+    out = documents.packed(p)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan  # a UDF would hold 10,000 documents
+    assert [(r["doc_id"], r["content"], r["error"]) for r in out.filter("error is not null").collect()] == [(600, None, "lost")]
+    back = {(r["doc_id"], r["page_no"]): r["text"] for r in documents.pages(out.filter("error is null")).collect()}
+    assert back == {(-1, k + 1): f"t{k}" for k in range(250)} | {(k, 1): f"t{k}" for k in range(250, 700) if k != 600}
